@@ -97,12 +97,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum over all bytes."""
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over all bytes from which span_hashes takes any span's hash, and the matching inverse powers."""
     power, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return sums, inverse
+
+
+def span_hashes(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span."""
+    prefix, inverse = sums
+    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -111,7 +117,7 @@ def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     data, offsets = utf8(texts)
     data = lower_ascii(data)
     starts, ends, counts = word_bounds(data, offsets)
-    words = span_hashes(data, starts, ends)
+    words = span_hashes(byte_sums(data), starts, ends)
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
