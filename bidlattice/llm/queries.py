@@ -3,13 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import exact, lines, minhash, mixing, quality, urls
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    graded = quality.grade_documents(docs.select("doc_id", "text"), model)
+    return graded.select("doc_id", "expected_grade", "tail_probability", F.col("accepted").alias("kept"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", F.col("sampled").alias("kept"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": lines.ORACLE,
+    "op7_url_filters": urls.ORACLE,
+    "op9_exact_dedup": exact.ORACLE,
+}
