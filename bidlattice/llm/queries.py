@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, lines, minhash, mixing, quality, urls
+from . import exact, hilbert, langid, lines, minhash, mixing, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    named = langid.identify(docs, model)
+    return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -45,7 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
     "op7_url_filters": urls.ORACLE,
