@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, htmltext, langid, lines, minhash, mixing, quality, urls
+from . import exact, hilbert, htmltext, langid, lines, minhash, mixing, pieces, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The SentencePiece model on the driver; BIDLATTICE_TOKENIZER names another."""
+    return os.environ.get("BIDLATTICE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -56,7 +63,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup)}
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_samples(_table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
     "op7_url_filters": urls.ORACLE,
