@@ -10,7 +10,8 @@ variable field and counts as `<*>` throughout. Two kinds of template hang on a l
 
 A template with instances in at least min_docs documents is boilerplate. It stays in the document with the smallest
 doc_id and goes from all others. Counts cover all documents; they are combined before each shuffle, and only
-(document, line number, hash) rows travel for all lines. Texts travel for documents with a line in a recurring leaf.
+(document, line number, hash) rows travel for all lines. Texts are dealt by document twice: to read the lines in
+recurring leaves, and to drop lines. The join is told to shuffle, since what it meets grows with the corpus.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("doc", "doc_id", "pos", _tokens(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
     hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"))
+    hashes = stash(hashes)
     leaves = stash(_recurring(hashes, "leaf", min_docs).select("leaf"))
     leafed = stash(hashes.join(leaves, "leaf", "left_semi"))
     plain = leafed.join(_recurring(leafed, "form", min_docs), "form").where("first is null or doc_id is null or doc_id <> first")
 
-    texts = docs.join(leafed.select("doc").distinct(), "doc", "left_semi")
-    held = texts.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    held = held.select("doc", "doc_id", "pos", _tokens(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
-    held = stash(held.withColumn("leaf", _leaf(F.col("t"))).join(leaves, "leaf", "left_semi"))
+    wanted = leafed.groupBy("doc").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
+    held = docs.join(wanted.hint("merge"), "doc").select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
+    held = stash(held.select("doc", "doc_id", "at.pos", "at.leaf", _tokens(F.element_at("lines", F.col("at.pos") + 1)).alias("t")))
     at = held.groupBy("leaf", "t").agg(F.count("*").alias("n")).select("leaf", "n", F.posexplode("t").alias("p", "token"))
     votes = at.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     size = held.groupBy("leaf").agg(F.count("*").alias("m"))
@@ -88,7 +89,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     gone = stash(_dropped(keyed.select("doc", "doc_id", "text").where("text is not null"), min_docs))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    joined = keyed.join(gone, "doc", "left")
+    joined = keyed.join(gone.hint("merge"), "doc", "left")
     return joined.select(
         *[F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
