@@ -202,3 +202,8 @@ def mapped(c: Column, names: Sequence[str]) -> Column:
     """The place of a value in a fixed order, after all others if it is not there."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), c)
     return F.when(F.coalesce(place, F.lit(0)) == 0, len(names) + 1).otherwise(place).cast("int")
+
+
+def lookup_order(c: Column, order: dict) -> Column:
+    """The number that a fixed order gives a value; 99 where it gives none."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), c), F.lit(99))
