@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, values
 
@@ -85,7 +86,7 @@ def hashing_embedder(width: int = 64):
     """A deterministic embedder for tests: tokens hashed into signed buckets."""
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(s: pd.Series) -> pd.Series:
         import zlib
 
