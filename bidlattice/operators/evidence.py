@@ -286,12 +286,14 @@ def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str],
     """
     known = lambda f: (F.coalesce(F.col(f"e_{f}").cast("string"), F.lit("")) != "") & (F.coalesce(F.col(f"a_{f}").cast("string"), F.lit("")) != "")
     conflicts, warnings, compared = [], [], F.lit(False)
+    # the normalised names become columns first: a Python function can't stand inside the similarity's lambdas
+    pairs = pairs.withColumns({f"__{s}_{f}": text.normalise_project_name(F.col(f"{s}_{f}")) for f in names for s in "ea"})
     for f in codes:
         compared = compared | known(f)
         conflicts.append(F.when(known(f) & (text.normalise_code(F.col(f"e_{f}")) != text.normalise_code(F.col(f"a_{f}"))), f))
     for f in names:
         compared = compared | known(f)
-        alike = text.dice(text.normalise_project_name(F.col(f"e_{f}")), text.normalise_project_name(F.col(f"a_{f}")))
+        alike = text.dice(F.col(f"__e_{f}"), F.col(f"__a_{f}"))
         conflicts.append(F.when(known(f) & (alike < 0.35), f))
         warnings.append(F.when(known(f) & alike.between(0.35, 0.5999), f))
     from ..functions.values import relative_gap
@@ -300,4 +302,5 @@ def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str],
     warnings.append(F.when(known(deadline) & (F.to_date(f"e_{deadline}") != F.to_date(f"a_{deadline}")), deadline))
     warnings.append(F.when(~(compared | known(budget) | known(deadline)), "nothing_comparable"))
     out = pairs.withColumns({"conflicts": F.array_compact(F.array(*conflicts)), "warnings": F.array_compact(F.array(*warnings))})
+    out = out.drop(*[f"__{s}_{f}" for f in names for s in "ea"])
     return out.withColumn("identity_status", F.when(F.size("conflicts") > 0, "conflict").when(F.size("warnings") > 0, "warning").otherwise("confirmed"))

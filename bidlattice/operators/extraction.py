@@ -108,9 +108,8 @@ def anchor_candidates(pages: DataFrame, anchors: Sequence[Anchor] = ANCHORS, doc
         for i, a in enumerate(anchors)
     ]))
     found = pages.select(doc, page, body, F.explode(hits).alias("h"))
-    start = F.greatest(F.lit(1), F.col("h.at") - 60)
-    around = F.substr(F.col(body), start, F.lit(160))
-    unticked = around.rlike("□") & ~around.rlike("[☑√■]")
+    sentence = F.concat(F.regexp_extract(F.left(body, F.col("h.at") - 1), r"([^。；\n]*)$", 1), F.regexp_extract(F.substr(F.col(body), F.col("h.at")), r"^([^。；\n]*)", 1))
+    unticked = sentence.contains("□") & ~sentence.rlike("[☑√■]")
     clause = F.element_at(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1)), -1)
     found = found.where(~unticked).select(doc, page, F.col("h.anchor").alias("anchor"), F.col("h.hit").alias("quote"), F.col("h.at").alias("at"), F.when(F.size(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1))) > 0, clause).alias("clause_ref"))
     first = found.groupBy(doc, "anchor").agg(F.min(F.struct(page, "at", "quote", "clause_ref")).alias("f")).select(doc, "anchor", f"f.{page}", "f.quote", "f.clause_ref")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import extraction, kernel, lifecycle, matching, publishing, retrieval, scalars  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
