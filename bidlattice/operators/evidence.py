@@ -203,6 +203,7 @@ def match_matrix(requirements: DataFrame, evidence: DataFrame, at: Column, exemp
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ledger_n", "unverified_n", "expired_n", "early_n")]
     )
     rows = reqs.join(seen, ["run_id", "requirement_id"], "left").join(context, ["run_id", "requirement_id"], "left")
+    rows = rows.fillna(0, ["valid_n", "ok_n", "category_n", "quote_n", "priced_n", "entered_n", "bad_n", "with_refs"])  # all records are of other lots
     rows = rows.withColumn("score_class", F.when(F.col("req_type") == "scored_requirement", score_class()))
     rows = rows.withColumn("hard", _hard_result())
     rows = rows.withColumn(

@@ -11,7 +11,10 @@ from ..operators import reporting as rep
 from ..operators import temporal as tmp
 from .registry import Tables, query
 
-AT = F.lit("1998-06-01").cast("date")
+
+def at():
+    """The instant at which these queries look."""
+    return F.lit("1998-06-01").cast("date")
 
 
 def _terms(t: Tables) -> DataFrame:
@@ -31,14 +34,14 @@ TERMS = """terms AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 5 =
 
 @query(f"WITH {TERMS} SELECT record_id, valid_from, valid_until FROM terms WHERE status = 'active' AND verified_at IS NOT NULL AND coalesce(valid_from <= DATE '1998-06-01', true) AND coalesce(valid_until >= DATE '1998-06-01', true)")
 def c1_asof_snapshot_filter(t: Tables) -> DataFrame:
-    return tmp.as_of(_terms(t), AT).select("record_id", "valid_from", "valid_until")
+    return tmp.as_of(_terms(t), at()).select("record_id", "valid_from", "valid_until")
 
 
 @query(f"WITH {TERMS} SELECT record_id, CASE WHEN valid_until < DATE '1998-06-01' OR valid_from > DATE '1998-06-01' THEN 'failed' ELSE 'passed' END AS state, "
        "CASE WHEN verified_at IS NULL THEN 'unverified' WHEN valid_until < DATE '1998-06-01' THEN 'expired' WHEN valid_from > DATE '1998-06-01' THEN 'not_yet_valid' END AS reason FROM terms")
 def c3_validity_tristate(t: Tables) -> DataFrame:
     s, e = F.col("valid_from"), F.col("valid_until")
-    return _terms(t).select("record_id", tmp.validity_state(s, e, AT).alias("state"), tmp.ineligible_reason(s, e, F.col("verified_at"), AT).alias("reason"))
+    return _terms(t).select("record_id", tmp.validity_state(s, e, at()).alias("state"), tmp.ineligible_reason(s, e, F.col("verified_at"), at()).alias("reason"))
 
 
 @query("""WITH d AS (SELECT doc_id, lang AS layer, source AS scope, CASE WHEN doc_id % 9 = 0 THEN 'stale' ELSE 'current' END AS index_status,
@@ -52,7 +55,7 @@ def c4_row_level_security(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("lot_id"), none.alias("valid_from"), none.alias("valid_until"),
     )
     grants = t.spark.createDataFrame([("analyst", "src0"), ("analyst", "src1"), ("analyst", "src2"), ("guest", "src3")], "role string, scope string")
-    seen = rel.visible(d, ["en", "fr"], [f"src{i}" for i in range(20)], "p1", None, AT)
+    seen = rel.visible(d, ["en", "fr"], [f"src{i}" for i in range(20)], "p1", None, at())
     return rel.permitted(seen, grants, "analyst").select("doc_id", "layer", "scope")
 
 
@@ -69,7 +72,7 @@ def c8_c9_words_and_wildcards(t: Tables) -> DataFrame:
 
 @query(f"WITH {TERMS} SELECT record_id, valid_from, valid_from IS NULL AS pending FROM terms WHERE valid_from IS NULL OR valid_from BETWEEN DATE '1998-05-18' AND DATE '1998-06-01'")
 def c10_date_window_pending(t: Tables) -> DataFrame:
-    return tmp.window_or_unknown(_terms(t), "valid_from", F.date_sub(AT, 14), AT).select("record_id", "valid_from", "pending")
+    return tmp.window_or_unknown(_terms(t), "valid_from", F.date_sub(at(), 14), at()).select("record_id", "valid_from", "pending")
 
 
 @query(f"WITH {TERMS} SELECT record_id, valid_until > DATE '1998-06-01' AND valid_until <= DATE '1998-08-30' AS soon, "
@@ -77,7 +80,7 @@ def c10_date_window_pending(t: Tables) -> DataFrame:
 def c11_c12_expiry_and_overdue(t: Tables) -> DataFrame:
     u = F.col("valid_until")
     late = tmp.overdue(F.when((F.col("record_id") % 2 == 0), u.cast("timestamp")), u, F.lit("1998-06-01 12:00:00").cast("timestamp"))
-    return _terms(t).select("record_id", tmp.expires_soon(u, AT).alias("soon"), late.alias("overdue"))
+    return _terms(t).select("record_id", tmp.expires_soon(u, at()).alias("soon"), late.alias("overdue"))
 
 
 @query("""SELECT page_id, url, CASE WHEN starts_with(p, '/en/7') THEN '/en/7' WHEN starts_with(p, '/en/') THEN '/en/' WHEN starts_with(p, '/de/') THEN '/de/' END AS rule,

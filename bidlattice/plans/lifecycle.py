@@ -10,7 +10,10 @@ from ..operators import relational as rel
 from ..operators import temporal as tmp
 from .registry import Tables, query
 
-TODAY = F.lit("1998-06-15").cast("date")
+
+def today():
+    """The instant at which these queries look."""
+    return F.lit("1998-06-15").cast("date")
 STATES = {("new", "view"): "seen", ("seen", "click"): "active", ("active", "purchase"): "bought", ("bought", "error"): "failed", ("failed", "view"): "seen", ("seen", "error"): "failed"}
 
 
@@ -60,7 +63,7 @@ def l12_not_seen(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderdate::DATE < DATE '1998-06-15' THEN 'expired' WHEN o_orderkey % 3 <> 0 THEN 'active' ELSE 'withdrawn' END AS status FROM orders""")
 def l13_expire_records(t: Tables) -> DataFrame:
     r = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, "active").otherwise("withdrawn").alias("status"), F.to_date("o_orderdate").alias("valid_until"))
-    return lc.expire(r, TODAY).select("o_orderkey", "status")
+    return lc.expire(r, today()).select("o_orderkey", "status")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS approval_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'draft' END AS state FROM orders), w AS (SELECT l_orderkey AS approval_id, max(l_shipdate::DATE) AS u FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -68,7 +71,7 @@ def l13_expire_records(t: Tables) -> DataFrame:
 def l13_n15_waivers(t: Tables) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("draft")
     waivers = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("approval_id"), F.to_date("l_shipdate").alias("valid_until"))
-    return lc.waivers_expired(t.orders.select(F.col("o_orderkey").alias("approval_id"), state.alias("state")), waivers, TODAY).select("approval_id", "state")
+    return lc.waivers_expired(t.orders.select(F.col("o_orderkey").alias("approval_id"), state.alias("state")), waivers, today()).select("approval_id", "state")
 
 
 @query("""WITH e AS (SELECT c_custkey AS fingerprint, CASE c_custkey % 4 WHEN 0 THEN 'closed' ELSE 'open' END AS was FROM customer WHERE c_custkey % 2 = 0), c AS (SELECT DISTINCT o_custkey AS fingerprint, true AS now FROM orders WHERE o_totalprice > 200000)

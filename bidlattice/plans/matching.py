@@ -9,7 +9,10 @@ from ..operators import evidence as ev
 from ..operators import relational as rel
 from .registry import Tables, query
 
-AT = F.lit("1999-01-01").cast("date")
+
+def at():
+    """The instant at which these queries look."""
+    return F.lit("1999-01-01").cast("date")
 
 
 def _evidence(t: Tables) -> DataFrame:
@@ -82,7 +85,7 @@ mx AS (SELECT run_id, requirement_id, position, split_part(v, '/', 1) AS match_r
 
 @query(f"WITH {MATRIX} SELECT run_id, requirement_id, match_result, reason_code, score::DOUBLE AS score FROM mx")
 def n4_match_matrix(t: Tables) -> DataFrame:
-    m = ev.match_matrix(_requirements(t), _evidence(t), AT)
+    m = ev.match_matrix(_requirements(t), _evidence(t), at())
     return m.select("run_id", "requirement_id", "match_result", "reason_code", "score")
 
 
@@ -93,7 +96,7 @@ def n4_match_matrix(t: Tables) -> DataFrame:
  CASE WHEN not_satisfied > 0 THEN 'hard_requirement_failed' WHEN missing_data > 0 THEN 'evidence_pending' WHEN run_id % 9 = 0 THEN 'parse_exceptions_open' ELSE 'approval_actions_open' END AS conclusion FROM a""")
 def n8_evaluate(t: Tables) -> DataFrame:
     """Flagship: matrix, then admission, in one plan."""
-    m = ev.match_matrix(_requirements(t), _evidence(t), AT)
+    m = ev.match_matrix(_requirements(t), _evidence(t), at())
     open_ = t.nation.select(F.col("n_nationkey").cast("long").alias("run_id"), F.when(F.col("n_nationkey") % 9 == 0, 1).otherwise(0).alias("open_n"))
     return ev.admission(m, open_).select("run_id", "satisfied", "not_satisfied", "missing_data", "manual_review", "score", "max_score", "gaps", "qualification_result", "conclusion")
 
@@ -102,7 +105,7 @@ def n8_evaluate(t: Tables) -> DataFrame:
  UNION ALL SELECT 'qualification_record', p_partkey, NULL, CASE WHEN p_partkey % 3 = 0 THEN DATE '1998-06-01' END FROM part UNION ALL SELECT 'safety_officer_cert', s_suppkey, NULL, NULL FROM supplier)
  SELECT kind, count(*) AS ledger_n, count(*) FILTER (k % 6 = 0) AS unverified_n, count(*) FILTER (k % 6 <> 0 AND vu < DATE '1999-01-01') AS expired_n, count(*) FILTER (k % 6 <> 0 AND coalesce(vu >= DATE '1999-01-01', true) AND vf > DATE '1999-01-01') AS early_n FROM e GROUP BY 1""")
 def n2_ledger_context(t: Tables) -> DataFrame:
-    return ev.ledger_context(_evidence(t), AT)
+    return ev.ledger_context(_evidence(t), at())
 
 
 @query("""WITH people AS (SELECT s_suppkey AS person_id, s_nationkey % 3 AS role, s_suppkey % 4 AS lv, s_acctbal >= 0 AS b, s_suppkey % 5 = 0 AS busy, s_suppkey % 3 AS refs FROM supplier),

@@ -10,7 +10,10 @@ from ..operators import reporting as rep
 from ..operators import temporal as tmp
 from .registry import Tables, query
 
-NOW = F.lit("1998-06-15 12:00:00").cast("timestamp")
+
+def now():
+    """The instant at which these queries look."""
+    return F.lit("1998-06-15 12:00:00").cast("timestamp")
 
 
 def _notices(t: Tables) -> DataFrame:
@@ -34,7 +37,7 @@ STATE = """CASE WHEN gate NOT IN ('passed', '') THEN 'gate_rejected' WHEN event_
 @query(f"WITH {NOTICES} SELECT event_id, {STATE} AS state FROM n")
 def c13_participable_admission(t: Tables) -> DataFrame:
     n = _notices(t)
-    return n.select("event_id", tmp.admission_state(F.col("signup"), F.col("bid"), NOW, F.col("gate"), F.col("event_id") % 10 == 0).alias("state"))
+    return n.select("event_id", tmp.admission_state(F.col("signup"), F.col("bid"), now(), F.col("gate"), F.col("event_id") % 10 == 0).alias("state"))
 
 
 @query(f"WITH {NOTICES} SELECT event_id, CASE WHEN publish_time < TIMESTAMP '1998-06-15' THEN 'late' WHEN publish_time >= TIMESTAMP '1998-06-16' THEN 'future' ELSE 'day' END AS bucket FROM n")
@@ -50,7 +53,7 @@ SECTION = "CASE WHEN urgency IN ('urgent', 'high') THEN CASE WHEN basis = 'signu
 
 @query(f"WITH {NOTICES}, {URGENCY} SELECT event_id, urgency, basis, {SECTION} AS section FROM u")
 def i29_urgency_sections(t: Tables) -> DataFrame:
-    n = _notices(t).withColumn("u", classify.urgency(F.col("signup"), F.col("bid"), NOW))
+    n = _notices(t).withColumn("u", classify.urgency(F.col("signup"), F.col("bid"), now()))
     return n.select("event_id", "u.urgency", "u.basis", classify.section(F.col("title_type"), F.col("u.urgency"), F.col("u.basis"), ["change"], ["win"]).alias("section"))
 
 
@@ -71,7 +74,7 @@ def i31_source_priority(t: Tables) -> DataFrame:
 def n18_daily_issue(t: Tables) -> DataFrame:
     n = _notices(t)
     pushed = n.where("event_id % 10 = 0").select("event_id")
-    issue = rep.daily_issue(n, pushed, NOW, "dedup_key", [F.col("platform"), F.col("publish_time")])
+    issue = rep.daily_issue(n, pushed, now(), "dedup_key", [F.col("platform"), F.col("publish_time")])
     items = rep.daily_items(issue.withColumn("issue", F.lit("DI")), "issue", "section", [F.col("publish_time"), F.col("event_id")], F.col("event_id"))
     return items.select("event_id", "dedup_key", "urgency", "section", "display_order")
 
