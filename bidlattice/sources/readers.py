@@ -89,7 +89,7 @@ def routed(files: DataFrame) -> DataFrame:
     magic = F.lit(None).cast("string")
     for head, kind in reversed(MAGIC):
         magic = F.when(first.startswith(head), kind).otherwise(magic)
-    textual = F.is_valid_utf8(F.decode("content", "UTF-8")) & ~F.coalesce(F.hex("content").rlike("^(..)*00"), F.lit(False))
+    textual = F.is_valid_utf8(F.col("content").cast("string")) & ~F.coalesce(F.hex("content").rlike("^(..)*00"), F.lit(False))
     return files.withColumn("kind", F.coalesce(F.try_element_at(known, ext), magic, F.when(textual, "text"), F.lit("unknown")))
 
 
