@@ -119,3 +119,95 @@ def source_score(official: Column, complete: Column, fresh: Column, stable: Colu
     """struct(score, grade) from five shares in 0..1 weighted 25, 25, 25, 15 and 10, cut at 80 and 60."""
     total = F.round(25 * official + 25 * complete + 25 * fresh + 15 * stable + 10 * legal, 2)
     return F.struct(total.alias("score"), F.when(total >= 80, "A").when(total >= 60, "B").when(total.isNotNull(), "C").alias("grade"))
+
+#: Kinds of work by words in a title, in the order of their precedence.
+TITLE_WORKS = (
+    ("EPC总承包", "EPC|工程总承包|设计施工总承包|设计采购施工"), ("施工", "施工"), ("监理", "监理"), ("勘察", "勘察"), ("设计", "设计"), ("货物", "货物"), ("服务", "服务"),
+)
+#: Project types by words of a title or cover, in the order of their precedence.
+PROJECT_TYPES = (
+    ("工程（总承包招标）", "工程总承包|施工总承包|总承包|EPC"), ("工程（设计招标）", "施工图设计"), ("工程（施工招标）", "施工"), ("工程（监理招标）", "监理"), ("工程（设计招标）", "设计"), ("工程（勘察招标）", "勘察"),
+    ("货物（采购）", "(?=.*(采购|询比|磋商|谈判)).*(货物|设备)"), ("服务（采购）", "(?=.*(采购|询比|磋商|谈判)).*服务"),
+)
+#: Categories of quotes found beside the anchors; what a clause does comes before whom it is about.
+QUOTE_CATEGORIES = (
+    ("评分", "得分|评分|加分|分值|满分|评标|(?:得|加|计)[0-9]{1,3}(?:\\.[0-9])?分"), ("动作", "截止|递交|开标|报名|保证金|踏勘|答疑|质疑|有效期|中标通知书|订立合同"),
+    ("资质", "资质要求|施工资质|总承包资质|专业承包|资质等级|工程设计资质|安全生产许可证|营业执照|资格证书|资格条件|资格预审|资格后审"),
+    ("人员", "项目经理|建造师|技术负责人|设计负责人|施工负责人|项目负责人|安全生产管理人员|专职安全|安全员|技术人员|执业资格|安全生产考核|职称|社保|社会保险|养老保险|劳动合同"),
+    ("业绩", "业绩|类似工程|类似项目|竣工验收"), ("财务", "财务|审计|纳税|税收|资产负债|会计报表"), ("信用", "失信|违法|信用|利害关系|投标禁止期|黑名单|信誉"),
+)
+#: Kinds of tasks by words of an action, in the order of their precedence.
+TASK_KINDS = (
+    ("registration", "报名|文件获取|获取招标文件"), ("ca_cert", "(?i)CA|数字证书"), ("bond", "保证金|保函"), ("site_visit", "踏勘|现场"), ("opening", "开标"), ("submission", "递交|投标文件"), ("preparation", "编制"),
+)
+#: What is to be done after a result, and the role that does it.
+NEXT_ACTIONS = {
+    "satisfied": "none", "not_satisfied": "terminate_or_correct", "unverifiable": "create_or_merge_evidence_task", "manual_review": "assign_reviewer", "not_calculable": "supply_scoring_input",
+    "not_applicable": "none", "not_started": "complete_operation_task",
+}
+
+
+def title_works(c: Column) -> Column:
+    """The kind of work that a title names; null where it names none."""
+    return first_match(c, TITLE_WORKS, F.lit(None).cast("string"))
+
+
+def project_type(c: Column) -> Column:
+    """Project type with its way of award; null where it can't be told."""
+    return first_match(F.coalesce(c, F.lit("")), PROJECT_TYPES, F.lit(None).cast("string"))
+
+
+def quote_category(c: Column) -> Column:
+    """The first category with a strong word in the quote; null drops it."""
+    return first_match(c, QUOTE_CATEGORIES, F.lit(None).cast("string"))
+
+
+def task_kind(*parts: Column) -> Column:
+    """The kind of task that an action's category, assertion and clause name."""
+    return first_match(F.concat_ws(" ", *parts), TASK_KINDS, F.lit("other"))
+
+
+def qualification_bucket(c: Column) -> Column:
+    """The bucket of a qualification by its ledger category."""
+    rules = (("safety_license", "安全生产"), ("credit_rating", "信用"), ("ca_cert", "(?i)CA"), ("quality_system", "(?i)质量|ISO"))
+    return first_match(F.coalesce(c, F.lit("")), rules, F.lit("construction_qual"))
+
+
+def next_action(result: Column) -> Column:
+    """What follows a result; an unknown result goes to review, none waits."""
+    table = F.create_map(*[F.lit(x) for kv in NEXT_ACTIONS.items() for x in kv])
+    return F.when(result.isNull(), "wait").otherwise(F.coalesce(F.try_element_at(table, result), F.lit("assign_reviewer")))
+
+
+def exception_type(issue: Column, missing: Column, req_type: Column, located_by: Column) -> Column:
+    """struct(type, rank) of a candidate that waits for a person; the riskiest has rank 1."""
+    put = lambda t, r: F.struct(F.lit(t).alias("type"), F.lit(r).alias("rank"))
+    return (
+        F.when(issue.contains("冲突"), put("conflict", 1)).when(missing & (req_type == "hard_requirement"), put("hard_anchor_miss", 2))
+        .when(located_by == "llm", put("llm_pending", 3)).otherwise(put("probe_miss", 4))
+    )
+
+
+def task_spec(result: Column, bucket: Column, owner: Column, text: Column) -> Column:
+    """struct(type, done_when) of the task that a result asks for."""
+    put = lambda t, d: F.struct(t.alias("type"), F.lit(d).alias("done_when"))
+    review = (
+        F.when(owner.isin("resource_manager", "business_head"), F.when(text.contains("身份"), "identity_confirmation").otherwise("resource_confirmation"))
+        .when(text.contains("身份"), "identity_confirmation").when(text.rlike("文件|条款"), "document_check").otherwise("rule_review")
+    )
+    return (
+        F.when((bucket == "blocked") | (result == "not_satisfied"), put(F.lit("termination_correction"), "resolved_by_new_match"))
+        .when(bucket == "missing", put(F.lit("evidence_supplement"), "verified_evidence_and_new_match")).otherwise(put(review, "resolved_by_new_match"))
+    )
+
+
+def knowledge_layer(owner: Column, kind: Column) -> Column:
+    """The layer that a material belongs to."""
+    return F.when(owner == "enterprise", "L3_enterprise").when(kind == "tender_document", "L2_tender").otherwise("L1_public")
+
+
+def is_submission_package(assertion: Column) -> Column:
+    """A clause that lists papers of persons to attach, not a requirement on persons."""
+    papers = sum(((assertion.contains(w)).cast("int") for w in ("职称证", "养老保险", "注册资格证书")), assertion.contains("身份证").cast("int"))
+    attach = assertion.contains("应附") & assertion.rlike("扫描件|原件")
+    return F.coalesce(attach & (papers >= 2) & assertion.rlike("项目管理机构|技术负责人|合同商务负责人|岗位人员"), F.lit(False))

@@ -135,3 +135,44 @@ def n12_identity_check(t: Tables) -> DataFrame:
     )
     out = ev.identity_check(pairs, ["no"], ["name"])
     return out.select("project_id", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("warnings", ",").alias("warnings"), "identity_status")
+
+
+@query(f"""WITH {MATRIX}, s AS (SELECT run_id, min(position) FILTER (position <= 6 AND match_result = 'not_satisfied') AS stop FROM mx GROUP BY 1) SELECT run_id, requirement_id, stop IS NULL OR position <= stop AS gate_executed FROM mx JOIN s USING (run_id)""")
+def n9_gate_merge(t: Tables) -> DataFrame:
+    from ..operators import verification as vf
+
+    return vf.gate_merge(ev.match_matrix(_requirements(t), _evidence(t), at())).select("run_id", "requirement_id", "gate_executed")
+
+
+@query(f"""WITH {MATRIX}, q AS (SELECT *, CASE match_result WHEN 'not_satisfied' THEN 'blocked' WHEN 'unverifiable' THEN 'pending' WHEN 'manual_review' THEN 'review' WHEN 'not_calculable' THEN 'review' END AS queue FROM mx WHERE position < 8)
+ SELECT run_id, queue, requirement_id, row_number() OVER (PARTITION BY run_id, queue ORDER BY position) AS place FROM q WHERE queue IS NOT NULL""")
+def n17_queues(t: Tables) -> DataFrame:
+    from ..operators import verification as vf
+
+    return vf.queues(ev.match_matrix(_requirements(t), _evidence(t), at())).select("run_id", "queue", "requirement_id", "place")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS material_id, printf('%.2f元', o_totalprice) AS amount, CASE o_orderkey % 4 WHEN 0 THEN '一级' WHEN 1 THEN '二级' WHEN 2 THEN '三级' ELSE '?' END AS level, o_orderdate::DATE AS vf, o_orderdate::DATE + 900 AS vu FROM orders)
+ SELECT material_id, CASE WHEN level = '?' THEN 'blocked' WHEN level = '三级' OR vu < DATE '1999-01-01' OR vf > DATE '1999-01-01' OR regexp_extract(amount, '([0-9.]+)', 1)::DOUBLE < 100000 THEN 'failed' ELSE 'passed' END AS verdict FROM e""")
+def e19_verified_candidates(t: Tables) -> DataFrame:
+    from ..operators import temporal as tmp
+    from ..operators import verification as vf
+
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("一级", "二级", "三级", "?")]), (k % 4 + 1).cast("int"))
+    rows = t.orders.select(k.alias("material_id"), F.format_string("%.2f元", "o_totalprice").alias("amount"), level.alias("level"), d.alias("valid_from"), F.date_add(d, 900).alias("valid_until"))
+    checks = {
+        "amount": vf.amount_check(F.col("amount"), F.lit(100000).cast("decimal(24,4)")), "level": vf.level_check(F.col("level"), F.lit("二级")),
+        "validity": tmp.validity_state(F.col("valid_from"), F.col("valid_until"), at()),
+    }
+    return vf.verified(rows, checks).select("material_id", "verdict")
+
+
+@query("""SELECT c_mktsegment AS bucket, count(*) AS total, count(*) FILTER (c_custkey % 6 <> 0) AS verified, count(*) FILTER (vu > DATE '1999-01-01' AND vu <= DATE '1999-04-01') AS expiring, count(*) FILTER (vu < DATE '1999-01-01') AS expired, round(count(*) FILTER (c_custkey % 10 <> 0) / count(*), 3) AS evidence_ratio
+ FROM (SELECT *, DATE '1998-01-01' + (c_custkey % 700)::INT AS vu FROM customer) GROUP BY 1""")
+def e8_e13_profile(t: Tables) -> DataFrame:
+    from ..operators import verification as vf
+
+    k = F.col("c_custkey")
+    rows = t.customer.select("c_mktsegment", F.when(k % 6 != 0, F.lit(1)).alias("verified_at"), F.date_add(F.lit("1998-01-01").cast("date"), (k % 700).cast("int")).alias("valid_until"), F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("f"))).alias("refs"))
+    return vf.profile(rows, F.col("c_mktsegment"), at())

@@ -17,6 +17,11 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Events whose time is an instant: a time without a zone is taken in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def flag_late(events: DataFrame, ts: str, seen: str, slack: str = "1 day") -> DataFrame:
     """Whether an event came later than the slack after its own time; flagged before any state, so nothing is lost unseen."""
     return events.withColumn("late", F.col(seen) > F.col(ts) + F.expr(f"INTERVAL {slack}"))
@@ -25,19 +30,19 @@ def flag_late(events: DataFrame, ts: str, seen: str, slack: str = "1 day") -> Da
 def tumbling_days(events: DataFrame, ts: str, by: Column, watermark: str = "2 days") -> DataFrame:
     """Counts and sums of each local day."""
     return (
-        events.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day", "1 day", DAY_START).alias("w"), by.alias("k"))
+        _timed(events, ts).withWatermark(ts, watermark).groupBy(F.window(ts, "1 day", "1 day", DAY_START).alias("w"), by.alias("k"))
         .agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "k", "n", "total")
     )
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """L9, an extra: runs of a key's events without a longer gap."""
-    return events.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return _timed(events, ts).withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_only(events: DataFrame, keys: list[str], ts: str, watermark: str = "2 days") -> DataFrame:
     """The first event of each key within the watermark."""
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+    return _timed(events, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def limited(events: DataFrame, key: str, ts: str, min_gap_s: int = 30) -> DataFrame:
@@ -58,7 +63,7 @@ def limited(events: DataFrame, key: str, ts: str, min_gap_s: int = 30) -> DataFr
 
     schema = events.schema
     kind = schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:

@@ -99,3 +99,26 @@ def test_overlay(spark):
     d = spark.sql("select map('a','1','b','2') b, map('b','3','c','4') r, cast(null as map<string,string>) n")
     got = d.select(values.overlay(F.col("b"), F.col("r")).alias("x"), values.overlay(F.col("n"), F.col("r")).alias("y")).first()
     assert got.x == {"a": "1", "b": "3", "c": "4"} and got.y == {"b": "3", "c": "4"}
+
+
+def test_ordered_rules(spark):
+    assert one(spark, "某市设计施工总承包（EPC）招标", classify.title_works) == "EPC总承包"
+    assert one(spark, "施工图设计招标", classify.project_type) == "工程（设计招标）" and one(spark, "办公设备采购", classify.project_type) == "货物（采购）"
+    assert one(spark, "无关", classify.project_type) is None
+    assert one(spark, "每项业绩得3分", classify.quote_category) == "评分" and one(spark, "天气", classify.quote_category) is None
+    assert one(spark, "开标现场递交", classify.task_kind) == "site_visit" and one(spark, "x", classify.task_kind) == "other"
+    assert one(spark, "ISO9001", classify.qualification_bucket) == "quality_system" and one(spark, None, classify.qualification_bucket) == "construction_qual"
+    assert one(spark, "unverifiable", classify.next_action) == "create_or_merge_evidence_task" and one(spark, None, classify.next_action) == "wait"
+    assert one(spark, "项目管理机构人员应附身份证、职称证扫描件", classify.is_submission_package) is True and one(spark, None, classify.is_submission_package) is False
+    assert one(spark, " 待补 ", text.without_placeholder) is None and one(spark, "待补充资料", text.without_placeholder) == "待补充资料"
+
+
+def test_page_addresses(spark):
+    rows = [("http://x/list.html", 3, "path_page", "http://x/list_3.html"), ("http://x/l?a=1&pageNo=9", 2, "pageNo", "http://x/l?a=1&pageNo=2"), ("http://x/l", 2, "p", "http://x/l?p=2"), ("http://x/l", 1, "p", "http://x/l"), ("http://x/l", 5, None, "http://x/l")]
+    d = spark.createDataFrame(rows, "t string, n int, p string, want string")
+    assert [r.u for r in d.select(text.page_url(F.col("t"), F.col("n"), F.col("p")).alias("u")).collect()] == [r[3] for r in rows]
+
+
+def test_region(spark):
+    names = spark.createDataFrame([("石家庄市", "石家庄市", 1), ("正定县", "石家庄市", 2), ("唐山", "唐山市", 1)], "name string, region string, rank int")
+    assert one(spark, "正定县道路工程", lambda c: text.region_of(c, names)) == "石家庄市" and one(spark, "某地", lambda c: text.region_of(c, names)) is None

@@ -187,3 +187,67 @@ def test_streams_equal_their_batches(spark, tmp_path):
 def test_late_events_are_flagged(spark):
     d = spark.sql("select timestamp'2026-01-01' a, timestamp'2026-01-03' b union all select timestamp'2026-01-01', timestamp'2026-01-01 05:00:00'")
     assert sorted(r.late for r in streams.flag_late(d, "a", "b").collect()) == [False, True]
+
+
+def test_fill_only_what_is_missing(spark):
+    from bidlattice.operators import verification as vf
+
+    f = spark.createDataFrame([("a", None), ("b", "x"), ("c", None), ("d", None)], "field string, value string")
+    p = spark.createDataFrame([("a", "1", None), ("b", "2", None), ("c", None, "quote_not_found")], "field string, value string, reject_reason string")
+    assert {r.field: (r.value, r.review) for r in vf.filled(f, p, ["field"]).collect()} == {"a": ("1", "llm_filled"), "b": ("x", None), "c": (None, "llm_failed"), "d": (None, None)}
+
+
+def test_prefix_links_and_prescreen(spark):
+    from bidlattice.operators import verification as vf
+
+    rows, names = spark.createDataFrame([(1, "滨河路改造工程一期合同"), (2, "别的")], "k long, t string"), spark.createDataFrame([("滨河路改造工程一期施工",), ("滨河路改造工程一期",)], "n string")
+    assert {r.k: r.linked for r in vf.linked_by_prefix(rows, names, "k", "t", "n").collect()} == {1: "滨河路改造工程一期", 2: None}
+    projects = spark.createDataFrame([("p", "confirmed", None), ("q", None, date(2026, 9, 1))], "project_id string, identity_status string, bid_deadline date")
+    none = spark.createDataFrame([], "project_id string, missing_data int, manual_review int")
+    got = {r.project_id: r for r in vf.prescreen(projects, spark.createDataFrame([("p",)], "project_id string"), none).collect()}
+    assert got["p"].facts == ["identity_confirmed", "materials_present"] and got["p"].missing == ["deadline"] and got["q"].review == ["identity"]
+
+
+def test_upkeep(spark):
+    people = spark.createDataFrame([("a-row3", "p1", "ledger:csv:row3"), ("b", "p2", "ledger:csv:row4"), ("c", None, "x")], "name string, project string, ref string")
+    sheet = spark.createDataFrame([(3, "no"), (4, "yes")], "row_no int, on_site string")
+    got = {r.name: r.project for r in lc.onsite_repair(people, sheet).collect()}
+    assert got == {"a-row3": None, "b": "p2", "c": None}
+    pool = spark.createDataFrame([(1, "pending"), (2, "deep_dive"), (3, "pending")], "k int, status string")
+    out = lc.rescreen(pool, F.when(F.col("k") < 3, "excluded_keyword").otherwise("recommended"), ["pending"], ["excluded_keyword"])
+    assert [r.status for r in out.orderBy("k").collect()] == ["excluded_keyword", "deep_dive", "pending"]
+    d = spark.createDataFrame([(0.5, None), (0.7, None), (None, False), (0.9, True)], "c double, r boolean")
+    assert [x.n for x in d.select(lc.needs_ocr_review(F.col("c"), F.col("r")).alias("n")).collect()] == [True, False, True, True]
+    step = spark.createDataFrame([("投标保证金",), ("别的",)], "t string").select(lc.submission_step(F.col("t")).alias("s")).collect()
+    assert (step[0].s.stage, step[1].s.stage, step[1].s.required) == ("submission_ready", "approval_ready", None)
+    gate = spark.sql("select 'conflict' i, true o, false t union all select 'confirmed', true, false union all select 'confirmed', true, true")
+    assert [r.g for r in gate.select(lc.gate_reason(F.col("i"), F.col("o"), F.lit(False), F.col("t")).alias("g")).collect()] == ["identity_conflict", "deadline_passed", None]
+
+
+def test_rule_sets_keep_what_the_delta_lacks(spark):
+    old, new = (spark.createDataFrame([(x,) for x in ids], "requirement_id string") for ids in (["a", "b-r2", "c"], ["b-r3", "d"]))
+    assert sorted(r.requirement_id for r in lc.rule_set_delta(old, new).collect()) == ["a", "b-r3", "c", "d"]
+
+
+def test_projects_are_merged_by_title(spark):
+    from bidlattice.operators import reporting as rep
+
+    rows = [(1, "s1", "滨河路改造招标公告"), (2, "s2", "滨河路改造中标候选人公示"), (3, "s1", "另一工程招标公告")]
+    got = {r.project_key: r for r in rep.dedupe_by_project(spark.createDataFrame(rows, "candidate_id int, source_id string, title string")).collect()}
+    one = got["滨河路改造"]
+    assert (one.candidate_id, one.announcement_type, one.source_group, one.stage_count) == (1, "tender", ["s1", "s2"], 2) and len(got) == 2
+
+
+def test_intake_and_rendering(spark):
+    cur, gone = spark.createDataFrame([(1, "a"), (2, "b")], "intake_id int, v string"), spark.createDataFrame([(2, "c")], "intake_id int, v string")
+    assert {r.intake_id: (r.v, r.dropped) for r in readers.intake(cur, gone).collect()} == {1: ("a", False), 2: ("c", True)}
+    items = spark.createDataFrame([("i", 2, "two"), ("i", 1, "one")], "issue string, n int, t string")
+    assert sinks.rendered(items, ["issue"], "n", F.concat(F.lit("- "), F.col("t"))).first().body == "- one\n- two"
+    words = spark.createDataFrame([(1, 90.0), (1, -1.0), (1, 70.0)], "page int, conf double")
+    assert readers.ocr_confidence(words, ["page"]).first().ocr_confidence == 0.8
+
+
+def test_leak_guard_and_equality(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (1,)], "k int")
+    assert rel.same_rows(a, b) and not rel.same_rows(a, b.limit(1))
+    assert [r.k for r in rel.leaked(a, b.where("k = 1"), "k").collect()] == [2]
