@@ -137,15 +137,15 @@ def n12_identity_check(t: Tables) -> DataFrame:
     return out.select("project_id", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("warnings", ",").alias("warnings"), "identity_status")
 
 
-@query(f"""WITH {MATRIX}, s AS (SELECT run_id, min(position) FILTER (position <= 6 AND match_result = 'not_satisfied') AS stop FROM mx GROUP BY 1) SELECT run_id, requirement_id, stop IS NULL OR position <= stop AS gate_executed FROM mx JOIN s USING (run_id)""")
+@query(f"""WITH {MATRIX}, st AS (SELECT run_id, min(position) FILTER (position <= 6 AND match_result = 'not_satisfied') AS stop FROM mx GROUP BY 1) SELECT run_id, requirement_id, stop IS NULL OR position <= stop AS gate_executed FROM mx JOIN st USING (run_id)""")
 def n9_gate_merge(t: Tables) -> DataFrame:
     from ..operators import verification as vf
 
     return vf.gate_merge(ev.match_matrix(_requirements(t), _evidence(t), at())).select("run_id", "requirement_id", "gate_executed")
 
 
-@query(f"""WITH {MATRIX}, q AS (SELECT *, CASE match_result WHEN 'not_satisfied' THEN 'blocked' WHEN 'unverifiable' THEN 'pending' WHEN 'manual_review' THEN 'review' WHEN 'not_calculable' THEN 'review' END AS queue FROM mx WHERE position < 8)
- SELECT run_id, queue, requirement_id, row_number() OVER (PARTITION BY run_id, queue ORDER BY position) AS place FROM q WHERE queue IS NOT NULL""")
+@query(f"""WITH {MATRIX}, qu AS (SELECT *, CASE match_result WHEN 'not_satisfied' THEN 'blocked' WHEN 'unverifiable' THEN 'pending' WHEN 'manual_review' THEN 'review' WHEN 'not_calculable' THEN 'review' END AS queue FROM mx WHERE position < 8)
+ SELECT run_id, queue, requirement_id, row_number() OVER (PARTITION BY run_id, queue ORDER BY position) AS place FROM qu WHERE queue IS NOT NULL""")
 def n17_queues(t: Tables) -> DataFrame:
     from ..operators import verification as vf
 
