@@ -184,15 +184,15 @@ def match_matrix(requirements: DataFrame, evidence: DataFrame, at: Column, exemp
     reqs = requirements.select("run_id", "requirement_id", "position", "req_type", "rule_type", "decision_scope", "lot_id", *[F.col(c).alias(f"r_{c}") for c in PARAMS])
     asked = reqs.withColumn("kind", F.explode_outer(F.try_element_at(kinds, F.col("rule_type"))))
     live = as_of(evidence, at, status=("active", "valid")).select("kind", "record_id", "refs", F.col("lot_id").alias("e_lot"), F.col("kind").alias("e_kind"), *[F.col(c).alias(f"e_{c}") for c in FIELDS])
-    met = asked.join(live, "kind", "left").where(F.col("e_lot").isNull() | (F.col("e_lot") == F.col("lot_id")) | F.col("record_id").isNull())
+    met = live.join(asked, "kind").where(F.col("e_lot").isNull() | (F.col("e_lot") == F.col("lot_id")))  # the smaller side, as a rule the requirements, may be broadcast
     flags = _flags(at)
     ok = F.lit(False)
     for kind, flag in flags.items():
         ok = F.when(F.col("rule_type") == kind, F.coalesce(flag, F.lit(False))).otherwise(ok)
-    there = F.col("record_id").isNotNull()
-    quote = there & F.coalesce(F.col("e_type") == "quoted_price", F.lit(False))
+    there = F.lit(True)
+    quote = F.coalesce(F.col("e_type") == "quoted_price", F.lit(False))
     category_ok = F.col("r_category").isNull() | F.coalesce(text.mutual_containment(F.col("r_category"), F.col("e_category")), F.lit(False))
-    seen = met.withColumn("ok", there & ok).groupBy("run_id", "requirement_id").agg(
+    seen = met.withColumn("ok", ok).groupBy("run_id", "requirement_id").agg(
         F.count_if(there).alias("valid_n"), F.count_if("ok").alias("ok_n"), F.count_if(there & category_ok).alias("category_n"),
         F.count_if(quote).alias("quote_n"), F.count_if(quote & F.col("e_amount").isNotNull()).alias("priced_n"), F.count_if(quote & F.col("e_entered_by").isNotNull()).alias("entered_n"),
         F.count_if(there & F.coalesce(F.col("e_negative"), F.lit(False))).alias("bad_n"),
@@ -203,7 +203,7 @@ def match_matrix(requirements: DataFrame, evidence: DataFrame, at: Column, exemp
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ledger_n", "unverified_n", "expired_n", "early_n")]
     )
     rows = reqs.join(seen, ["run_id", "requirement_id"], "left").join(context, ["run_id", "requirement_id"], "left")
-    rows = rows.fillna(0, ["valid_n", "ok_n", "category_n", "quote_n", "priced_n", "entered_n", "bad_n", "with_refs"])  # all records are of other lots
+    rows = rows.fillna(0, ["valid_n", "ok_n", "category_n", "quote_n", "priced_n", "entered_n", "bad_n", "with_refs"])  # no record of the kind, or only of other lots
     rows = rows.withColumn("score_class", F.when(F.col("req_type") == "scored_requirement", score_class()))
     rows = rows.withColumn("hard", _hard_result())
     rows = rows.withColumn(
