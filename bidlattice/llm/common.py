@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes up to which the tables of powers are kept.
+_KEPT = 2 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,7 +39,29 @@ def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on an executor."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.stash_path = path
+    return held
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing reads any more, such as an earlier round's."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def releasing(run):
+    """Let a task give freed memory back to the system when it ends: its Python worker lives on for later stages."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,8 +75,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE_BYTES + 1, n + 1)
-    if size > SLICE_BYTES + 1:  # one very long text: made for it and not kept
+    size = max(_KEPT, n) + 1
+    if n > _KEPT:  # one very long text: made for it and not kept
         return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
     if 0 not in _powers:
         _powers[0] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
@@ -105,6 +131,12 @@ def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+def span_sums(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each byte span before its finaliser: enough where its high bits find a place in a table."""
+    prefix, inverse = sums
+    return (prefix[ends] - prefix[starts]) * inverse[starts]
+
+
 def span_hashes(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
     prefix, inverse = sums
