@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
     seen = None
     for _ in range(max_rounds):
-        now = stash(_stars(_stars(now, True), False))
+        before, now = now, stash(_stars(_stars(now, True), False))
+        discard(before)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 DIMS = ("source", "lang", "topic")
 #: Largest number of cells that are broadcast to the documents; beyond it the join shuffles.
@@ -63,6 +63,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
     for dim in dims:
         live = live & (F.col(f"to_{dim}") > 0)
     now = stash(cells.withColumn("weight", F.when(live, F.col("tokens").cast("double")).otherwise(0.0)))
+    held = now
     for _ in range(0, ROUNDS, ROUNDS_A_JOB):
         for _ in range(ROUNDS_A_JOB):
             off = []
@@ -72,6 +73,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
                 now = now.withColumn(f"off_{dim}", F.when(F.col("weight") > 0, F.abs(F.col("s") / F.col(f"to_{dim}") - 1)).otherwise(0.0))
                 now = now.withColumn("weight", F.when(F.col("s") > 0, F.col("weight") * F.col(f"to_{dim}") / F.col("s")).otherwise(0.0)).drop("s")
         now = stash(now.withColumn("off", F.array_max(F.array(*off))))
+        discard(held)
+        held = now
         worst = now.agg(F.max("off").alias("x")).first().x
         now = now.drop("off", *[f"off_{d}" for d in dims])
         if worst is None or worst <= TOLERANCE:
