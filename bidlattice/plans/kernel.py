@@ -145,7 +145,8 @@ def d11_nested_children(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT DISTINCT o_orderkey, o_custkey AS material_id FROM orders WHERE o_orderkey % 3 = 0)
  SELECT c_custkey AS material_id, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS place FROM customer JOIN r ON material_id = c_custkey QUALIFY place <= 4""")
 def d12_linked_by_reference(t: Tables) -> DataFrame:
-    refs = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.array(F.concat(F.lit("file:"), F.col("o_custkey").cast("string"))).alias("refs"))
+    file = F.array(F.concat(F.lit("file:"), F.col("o_custkey").cast("string")))
+    refs = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, file).alias("refs"))
     files = t.customer.select(F.col("c_custkey").cast("string").alias("material_id"))
     return rel.linked_by_reference(refs, files, "refs", "material_id", "o_orderkey").withColumn("material_id", F.col("material_id").cast("long"))
 
