@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common
 from .common import stash
 from .minhash import _grouped
 
@@ -193,7 +194,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, recall: float = 0.97) -> Da
     if not few_queries.num_rows:
         return empty
     curves = spark.sparkContext.broadcast(_Curves(_unit(_vectors(sample, width))))
-    keyed = classes.select("id", "asked", "embedding").mapInArrow(_index(curves, width), "curve int, key long, id long, asked boolean, embedding array<float>")
+    keyed = classes.select("id", "asked", "embedding").mapInArrow(common.releasing(_index(curves, width)), "curve int, key long, id long, asked boolean, embedding array<float>")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = stash(
         keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
@@ -224,7 +225,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, recall: float = 0.97) -> Da
     )
     hits = (
         rows.unionByName(asking).withColumn("grp", F.xxhash64("curve", "block")).repartition("grp").sortWithinPartitions("grp")
-        .select("grp", "asks", "id", "embedding").mapInArrow(_search(width, k + 3), "q long, id long, near double")
+        .select("grp", "asks", "id", "embedding").mapInArrow(common.releasing(_search(width, k + 3)), "q long, id long, near double")
     )
     best = _top(hits, k + 3)
     of_q = classes.where("asked").select(F.col("id").alias("q"), F.col("embedding").alias("q_vector"))

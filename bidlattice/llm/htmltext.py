@@ -19,6 +19,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 #: Elements whose content is no text of the page.
 RAW = "script style template noscript iframe svg math object textarea title select"
 INLINE = frozenset(
@@ -322,4 +324,4 @@ def extract_main_text(pages: DataFrame, field: Field) -> DataFrame:
     order. Null or empty html, and a page without a main block, give an empty text. Repeated rows stay.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(common.releasing(_extract(shared)), "page_id long, url string, text string, n_chars long")

@@ -121,7 +121,7 @@ def train(docs: DataFrame, per_language: int = 640) -> Model | None:
     that no language needs to pass through one task. The document frequencies cover all of docs.
     """
     held = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    df = held.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    df = held.select("text").mapInArrow(common.releasing(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     count = dict(zip(df.column("bucket").to_pylist(), df.column("n").to_pylist(), strict=True))
     if not count:
         return None
@@ -133,7 +133,7 @@ def train(docs: DataFrame, per_language: int = 640) -> Model | None:
     first = F.row_number().over(W.partitionBy("lang", salt).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     ids = held.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= -(-per_language // _SALTS)).select("doc_id")
     chosen = held.join(F.broadcast(ids.distinct()), "doc_id", "left_semi") if ids.count() <= 50_000 else held.join(ids, "doc_id", "left_semi")
-    table = chosen.mapInArrow(_bags, "doc_id long, lang string, x array<int>, tf array<float>").toArrow().sort_by("doc_id")
+    table = chosen.mapInArrow(common.releasing(_bags), "doc_id long, lang string, x array<int>, tf array<float>").toArrow().sort_by("doc_id")
     langs = sorted(set(table.column("lang").to_pylist()))
     number = {g: i for i, g in enumerate(langs)}
     bags = [
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs, from text alone; equal probabilities go to the first language
     by name. A text that is null or without any letter is `und` with score 0; so is every text without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.releasing(_predict(shared)), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -240,7 +240,7 @@ def near_duplicates(
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     need = collisions_needed(percent / 100, coordinates, miss)
     sketches = common.stash(
-        docs.mapInArrow(_sketches(width, coordinates), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+        docs.mapInArrow(common.releasing(_sketches(width, coordinates)), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
     )
     classes = sketches.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classed = common.stash(sketches.drop("sig").join(classes, ["f1", "f2", "n_shingles"], "left"))
@@ -265,7 +265,7 @@ def near_duplicates(
     listed = _paired(prefixed.select("rep", "sig", F.explode("keys.key").alias("key")).join(lists, "key"), "key", "rep", "blocks")
     found = (
         listed.select("grp", "rep", "sig").repartition("grp").sortWithinPartitions("grp", "rep")
-        .mapInArrow(_list_links(coordinates, need), "a long, b long")
+        .mapInArrow(common.releasing(_list_links(coordinates, need)), "a long, b long")
     )
     cells = common.stash(connected_components(found))
 
@@ -275,11 +275,11 @@ def near_duplicates(
     )
     members = cells.join(loads, F.col("component") == F.col("cell")).select(F.col("id").alias("doc_id"), F.col("id").alias("rep"), "cell", "blocks")
     sets = members.join(docs, "doc_id").select("rep", "cell", "blocks", "text").mapInArrow(
-        _sets(width), "rep long, cell long, blocks long, shingles binary"
+        common.releasing(_sets(width)), "rep long, cell long, blocks long, shingles binary"
     )
     links = (
         _paired(sets, "cell", "rep", "blocks").select("grp", "rep", "shingles").repartition("grp").sortWithinPartitions("grp", "rep")
-        .mapInArrow(_cell_links(percent), "a long, b long")
+        .mapInArrow(common.releasing(_cell_links(percent)), "a long, b long")
     )
     parts = connected_components(links).select(F.col("id").alias("class_id"), "component")
     own = F.coalesce("component", "class_id", "doc_id")

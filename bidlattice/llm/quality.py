@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Model:
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = (
         docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "grade", "text").mapInArrow(_featurise, "doc_id long, grade int, x array<int>")
+        .select("doc_id", "grade", "text").mapInArrow(common.releasing(_featurise), "doc_id long, grade int, x array<int>")
     )
     table = rows.toArrow().sort_by("doc_id")
     xs = table.column("x").to_numpy()
@@ -166,4 +166,4 @@ def grade_documents(docs: DataFrame, model: Model, tail: int = 2, cut: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("expected_grade", "tail_probability", "accepted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(shared, tail, cut), f"{schema}, expected_grade double, tail_probability double, accepted boolean")
+    return docs.mapInArrow(common.releasing(_score(shared, tail, cut)), f"{schema}, expected_grade double, tail_probability double, accepted boolean")
