@@ -90,7 +90,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], grades: int = len(GRADES), epochs: int = 6, rate: float = 0.3, l1: float = 1e-3) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], grades: int = len(GRADES), epochs: int = 12, rate: float = 0.5, l1: float = 1e-3) -> Model:
     """Fit on (grade, features) pairs; with no rows at all every text gets the highest grade."""
     size = (1 << BITS) + 1024
     w, g2 = np.zeros(size), np.full(size, 1e-2)
