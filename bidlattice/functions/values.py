@@ -179,12 +179,19 @@ def round_trips(text: Column, quote: Column, start: Column, end: Column) -> Colu
     return F.coalesce(F.substr(text, start + 1, end - start) == quote, F.lit(False))
 
 
-def keyword_score(tokens: Column, text: Column) -> Column:
-    """Share of query tokens found, by the root of the text's length, more for an early first hit; 0 for none."""
-    place = F.transform(tokens, lambda t: F.position(t, text))
-    hits = F.size(F.filter(place, lambda p: p > 0))
-    first = F.coalesce(F.array_min(F.filter(place, lambda p: p > 0)) - 1, F.length(text))
-    return F.when(hits <= 0, 0.0).otherwise(hits / F.sqrt(F.greatest(F.length(text), F.lit(1))) * (1 + 1 / (1 + first / 200.0)))
+def keyword_places(tokens: Column, text: Column) -> Column:
+    """Where each token first stands in the text, from 1; 0 where it does not."""
+    return F.transform(tokens, lambda t: F.position(t, text))
+
+
+def keyword_score(places: Column, length: Column) -> Column:
+    """Tokens found by the root of the text's length, more for an early first hit; 0 for none.
+
+    It takes the places as a column of their own, so that the text is searched once.
+    """
+    hits = F.size(F.filter(places, lambda p: p > 0))
+    first = F.coalesce(F.array_min(F.filter(places, lambda p: p > 0)) - 1, length)
+    return F.when(hits <= 0, 0.0).otherwise(hits / F.sqrt(F.greatest(length, F.lit(1))) * (1 + 1 / (1 + first / 200.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -20,8 +20,9 @@ def ready(chunks: DataFrame) -> bool:
 def keyword_search(chunks: DataFrame, query: str, k: int, body: str = "text", key: str = "chunk_id") -> DataFrame:
     """The k best visible chunks by keyword score; all are scored, ties go to the smaller key."""
     tokens = text.tokenise(F.lit(query))
-    score = F.round(values.keyword_score(tokens, text.normalise_keyword(F.col(body))), 9)
-    return chunks.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    norm = chunks.select(key, text.normalise_keyword(F.col(body)).alias("__s"))
+    placed = norm.select(key, F.length("__s").alias("__n"), values.keyword_places(tokens, F.col("__s")).alias("__p"))
+    return placed.select(key, F.round(values.keyword_score(F.col("__p"), F.col("__n")), 9).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
