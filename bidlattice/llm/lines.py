@@ -9,7 +9,9 @@ variable field and counts as `<*>` throughout. Two kinds of template hang on a l
   positions.
 
 A template with instances in at least min_docs documents is boilerplate. It stays in the document with the smallest
-doc_id and goes from all others. Counts cover all documents; they are combined before each shuffle, and only
+doc_id and goes from all others. With whole=True two more kinds of line recur: a long line (LONG tokens, or as many
+characters of scripts without spaces) from its second document on, compared as it is but for the white space between
+tokens, and lines of one or two tokens, at min_docs. Counts cover all documents; they are combined before each shuffle, and only
 (document, line number, hash) rows travel for all lines. Texts are dealt by document twice: to read the lines in
 recurring leaves, and to drop lines. The join is told to shuffle, since what it meets grows with the corpus.
 """
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import stash
 
 DEPTH, MIN_TOKENS, SIMILAR = 3, 3, 0.7
+LONG = 50
+_SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
 _SPACE = r"[ \t\x0B\f\r]"
+_NOT_FIRST = "first is null or doc_id is null or doc_id <> first"
 
 
 def _tokens(line):
@@ -31,6 +36,27 @@ def _tokens(line):
     return F.split(F.regexp_replace(masked, rf"^{_SPACE}+|{_SPACE}+$", ""), _SPACE + "+")
 
 
+def _split(line):
+    """Tokens of a line as they are."""
+    return F.split(F.regexp_replace(line, rf"^{_SPACE}+|{_SPACE}+$", ""), _SPACE + "+")
+
+
+def _fields(rows: DataFrame, *columns: str, whole: bool) -> DataFrame:
+    """rows with their line's tokens as t. A short line of variable fields only says nothing once masked: whole keeps
+    its tokens as they are."""
+    rows = rows.select(*columns, "line", _tokens(F.col("line")).alias("t"))
+    if whole:
+        bare = (F.size("t") < MIN_TOKENS) & F.forall("t", lambda x: x == "<*>")
+        rows = rows.select(*columns, "line", F.when(bare, _split(F.col("line"))).otherwise(F.col("t")).alias("t"))
+    return rows
+
+
+def _long(line, tokens):
+    """A line of LONG tokens or of LONG characters of scripts without spaces, which take three bytes or more each."""
+    marks = F.octet_length(line) - F.length(line)
+    return (F.size(tokens) >= LONG) | ((marks >= 2 * LONG) & (F.length(F.regexp_replace(line, _SPACED, "")) >= LONG))
+
+
 def _leaf(tokens):
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
 
@@ -44,19 +70,21 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     )
 
 
-def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
+def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     """(doc, drop): the numbers of the lines that go, for each document that loses any."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc", "doc_id", "pos", _tokens(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
-    hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"))
+    lines = _fields(lines, "doc", "doc_id", "pos", whole=whole).where(F.element_at("t", 1) != "" if whole else F.size("t") >= MIN_TOKENS)
+    exact = [F.when(_long(F.col("line"), F.col("t")), F.xxhash64(_split(F.col("line")))).alias("exact")] if whole else []
+    hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"), *exact)
     hashes = stash(hashes)
     leaves = stash(_recurring(hashes, "leaf", min_docs).select("leaf"))
     leafed = stash(hashes.join(leaves, "leaf", "left_semi"))
-    plain = leafed.join(_recurring(leafed, "form", min_docs), "form").where("first is null or doc_id is null or doc_id <> first")
+    plain = leafed.join(_recurring(leafed, "form", min_docs), "form").where(_NOT_FIRST)
 
     wanted = leafed.groupBy("doc").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
     held = docs.join(wanted.hint("merge"), "doc").select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    held = stash(held.select("doc", "doc_id", "at.pos", "at.leaf", _tokens(F.element_at("lines", F.col("at.pos") + 1)).alias("t")))
+    held = held.select("doc", "doc_id", "at.pos", "at.leaf", F.element_at("lines", F.col("at.pos") + 1).alias("line"))
+    held = stash(_fields(held, "doc", "doc_id", "pos", "leaf", whole=whole).drop("line"))
     at = held.groupBy("leaf", "t").agg(F.count("*").alias("n")).select("leaf", "n", F.posexplode("t").alias("p", "token"))
     votes = at.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     size = held.groupBy("leaf").agg(F.count("*").alias("m"))
@@ -70,23 +98,28 @@ def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
     agree = F.aggregate(F.zip_with("t", "g", lambda a, b: (a.eqNullSafe(b) & (b != "<*>")).cast("int")), F.lit(0), lambda s, x: s + x)
     alike = held.join(general, "leaf").where(agree >= SIMILAR * F.size("t")).select("doc", "doc_id", "pos", "leaf")
     alike = stash(alike)
-    varied = alike.join(_recurring(alike, "leaf", min_docs), "leaf").where("first is null or doc_id is null or doc_id <> first")
-    gone = plain.select("doc", "pos").unionByName(varied.select("doc", "pos")).distinct()
+    varied = alike.join(_recurring(alike, "leaf", min_docs), "leaf").where(_NOT_FIRST)
+    gone = plain.select("doc", "pos").unionByName(varied.select("doc", "pos"))
+    if whole:
+        passages = hashes.where("exact is not null")
+        passages = passages.join(_recurring(passages, "exact", 2), "exact").where(_NOT_FIRST)
+        gone = gone.unionByName(passages.select("doc", "pos"))
+    gone = gone.distinct()
     return gone.groupBy("doc").agg(F.collect_list("pos").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = False) -> DataFrame:
     """docs with text without its recurring lines, plus n_lines and n_dropped.
 
     docs needs doc_id and text; all other columns pass through (columns named n_lines or n_dropped are replaced).
-    Lines are parted by \\n. Lines of fewer than MIN_TOKENS tokens always stay. A null text stays null and has 0
+    Lines are parted by \\n. Lines of fewer than MIN_TOKENS tokens always stay, unless whole; blank ones stay then too. A null text stays null and has 0
     lines, an empty one has 1. Rows with the same doc_id and text count as one document and get the same result; of
     rows with the same doc_id and other texts each is a document. A null doc_id never owns a template. A text that
     loses every line is empty.
     """
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = stash(_dropped(keyed.select("doc", "doc_id", "text").where("text is not null"), min_docs))
+    gone = stash(_dropped(keyed.select("doc", "doc_id", "text").where("text is not null"), min_docs, whole))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     joined = keyed.join(gone.hint("merge"), "doc", "left")
@@ -97,7 +130,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     )
 
 
-#: For min_docs = 10, with doc_id unique and not null.
+#: For min_docs = 10 and whole = False, with doc_id unique and not null.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
            FROM documents WHERE text IS NOT NULL),

@@ -38,11 +38,20 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+def _lines_left(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of three tokens and more only, as its SQL has them."""
+    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents")))
+
+
+def op5_whole_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline drops lines; beyond SQL."""
+    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents"), whole=True))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -67,7 +76,7 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_samples(_table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op5_whole_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
     "op7_url_filters": urls.ORACLE,

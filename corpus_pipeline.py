@@ -16,7 +16,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines; one that loses all its lines goes. n_chars follows the text."""
-    out = lines.drop_recurring_lines(docs).where("n_dropped = 0 or trim(text) <> ''")
+    out = lines.drop_recurring_lines(docs, whole=True).where("n_dropped = 0 or trim(text) <> ''")
     return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -219,6 +219,21 @@ def test_line_dedup_edges(spark, odd):
     assert all(out[i].text == odd[i] for i in (1, 2, 3, 9, 11))
 
 
+def test_whole_line_dedup(spark):
+    """Long lines go from the second document on, short ones at min_docs; blank lines and lone numbers stay."""
+    passage, thai = " ".join(f"w{chr(97 + i % 26)}{i // 26 * 'x'}" for i in range(50)), "ก" * 50
+    body = [f"own text {chr(97 + i)} here\nShare\nPage {i}\n{i}\n" for i in range(12)]
+    body[3] += f"\n{passage}\n{thai}"
+    body[7] += f"\n {passage.replace(' ', '  ')}\n{thai}"
+    body[8] += "\n" + passage.rsplit(" ", 1)[0] + "\n" + thai[1:]
+    body[9] += "\n" + passage.rsplit(" ", 1)[0] + "\n" + thai[1:]
+    out = {r.doc_id: r for r in lines.drop_recurring_lines(docs(spark, body), min_docs=10, whole=True).collect()}
+    assert out[0].text == body[0] and passage in out[3].text and thai in out[3].text
+    assert [out[i].n_dropped for i in range(12)] == [0] + [2] * 6 + [4] + [2] * 4
+    assert all(out[i].text.split("\n")[:3] == [f"own text {chr(97 + i)} here", str(i), ""] for i in range(1, 12))
+    assert all(passage.rsplit(" ", 1)[0] in out[i].text and thai[1:] in out[i].text for i in (8, 9))
+
+
 # --- 6 ---
 
 
