@@ -11,7 +11,9 @@ variable field and counts as `<*>` throughout. Two kinds of template hang on a l
 A template with instances in at least min_docs documents is boilerplate. It stays in the document with the smallest
 doc_id and goes from all others. With whole=True two more kinds of line recur: a long line (LONG tokens, or as many
 characters of scripts without spaces) from its second document on, compared as it is but for the white space between
-tokens, and lines of one or two tokens, at min_docs. Counts cover all documents; they are combined before each shuffle, and only
+tokens, and lines of one or two tokens, at min_docs. A leaf then holds any number of templates besides its general form: a
+line's template keeps the first DEPTH tokens and, of the others, those that most lines of the leaf have in their place, as
+many as SIMILAR asks for; a token that fewer than min_docs lines have there is a variable field. Counts cover all documents; they are combined before each shuffle, and only
 (document, line number, hash) rows travel for all lines. Texts are dealt by document twice: to read the lines in
 recurring leaves, and to drop lines. The join is told to shuffle, since what it meets grows with the corpus.
 """
@@ -70,6 +72,27 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     )
 
 
+def _templates(held: DataFrame, forms: DataFrame, votes: DataFrame, min_docs: int) -> DataFrame:
+    """held with the template of each line that has one.
+
+    Lines with the same kept tokens rank them alike, so two lines that share more tokens than are needed, all frequent
+    ones, share the needed ones too: one key a line is enough.
+    """
+    places = forms.select("leaf", F.xxhash64("t").alias("form"), F.posexplode("t").alias("p", "token"))
+    free = lambda d: d.where((F.col("p") >= DEPTH) & (F.col("token") != "<*>"))
+    frequent = free(votes).where(F.col("n") >= min_docs)
+    kept = (
+        free(places).join(frequent.hint("merge"), ["leaf", "p", "token"])
+        .groupBy("leaf", "form").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "token"))).alias("kept"))
+    )
+    fixed = F.size(F.filter(F.slice("t", 1, DEPTH), lambda x: x != "<*>"))
+    need = (F.ceil(SIMILAR * F.size("t")) - fixed).cast("int")
+    lines = held.withColumn("form", F.xxhash64("t")).join(kept.hint("merge"), ["leaf", "form"], "left")
+    lines = lines.select("doc", "doc_id", "pos", "leaf", need.alias("need"), F.coalesce("kept", F.expr("array()")).alias("kept"))
+    best = F.slice("kept", F.lit(1), F.greatest(F.lit(0), F.col("need")))
+    return lines.where(F.size("kept") >= F.col("need")).select("doc", "doc_id", "pos", F.xxhash64("leaf", best).alias("template"))
+
+
 def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     """(doc, drop): the numbers of the lines that go, for each document that loses any."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -85,7 +108,8 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     held = docs.join(wanted.hint("merge"), "doc").select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
     held = held.select("doc", "doc_id", "at.pos", "at.leaf", F.element_at("lines", F.col("at.pos") + 1).alias("line"))
     held = stash(_fields(held, "doc", "doc_id", "pos", "leaf", whole=whole).drop("line"))
-    at = held.groupBy("leaf", "t").agg(F.count("*").alias("n")).select("leaf", "n", F.posexplode("t").alias("p", "token"))
+    forms = held.groupBy("leaf", "t").agg(F.count("*").alias("n"))
+    at = forms.select("leaf", "n", F.posexplode("t").alias("p", "token"))
     votes = at.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     size = held.groupBy("leaf").agg(F.count("*").alias("m"))
     general = (
@@ -103,7 +127,9 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     if whole:
         passages = hashes.where("exact is not null")
         passages = passages.join(_recurring(passages, "exact", 2), "exact").where(_NOT_FIRST)
-        gone = gone.unionByName(passages.select("doc", "pos"))
+        several = stash(_templates(held, forms, votes, min_docs))
+        several = several.join(_recurring(several, "template", min_docs), "template").where(_NOT_FIRST)
+        gone = gone.unionByName(passages.select("doc", "pos")).unionByName(several.select("doc", "pos"))
     gone = gone.distinct()
     return gone.groupBy("doc").agg(F.collect_list("pos").alias("drop"))
 

@@ -234,6 +234,18 @@ def test_whole_line_dedup(spark):
     assert all(passage.rsplit(" ", 1)[0] in out[i].text and thai[1:] in out[i].text for i in (8, 9))
 
 
+def test_whole_line_dedup_several_templates(spark):
+    """Three templates of one leaf, and one amid more ordinary lines, are each found whatever else the leaf holds."""
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
+    kinds = "{} sent by post to the old office in town", "{} held back until all the fees have been paid", "{} moved from here under seal and with two keys"
+    body = ["the order was " + kinds[i % 3].format(word(i)) for i in range(60)]
+    body += [f"a note of {word(i)} has come from our friends" for i in range(12)]
+    body += ["a note of " + " ".join(word(100 + 10 * i + k) for k in range(6)) for i in range(40)]
+    found = {w: {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(docs(spark, body), whole=w).collect()} for w in (False, True)}
+    assert sum(found[False].values()) == 0
+    assert found[True] == {i: int(3 <= i < 60 or 60 < i < 72) for i in range(len(body))}
+
+
 # --- 6 ---
 
 
