@@ -21,11 +21,15 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Elements whose content is no text of the page.
-RAW = "script style template noscript iframe svg math object textarea title select"
+#: Elements whose content is no text of the page. The first two run to the end of the page if not closed, the others
+#: only lose their tag then.
+TO_END = "script style"
+RAW = f"{TO_END} template noscript iframe svg annotation annotation-xml object textarea title select"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp"
-    " small span strike strong sub sup time tt u var wbr".split()
+    " small span strike strong sub sup time tt u var wbr"
+    " math mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable"
+    " mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of these names (up to the nearest container).
@@ -34,7 +38,9 @@ CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article mai
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    rf"|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?</\1\s*>"
+    rf"|<(?:{TO_END.replace(' ', '|')})(?=[\s/>])[^>]*>.*\Z"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )

@@ -151,6 +151,17 @@ def test_main_text_details(field):
     assert [b.text for b in htmltext.leaf_blocks("<p>1 < 2 <b class='x>y'>z</b><!-- <p>no</p> -->")] == ["1 < 2 z"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a<svg-icon name=x></svg-icon> b</p><title-bar>c</title-bar><p>d</p>", ["a", "b", "c", "d"]),
+    ("<p>a <svg width='1'/> b</p><svg/><p>c <svg><path d=''/>no</svg> d</p>", ["a b", "c d"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> be</p><p>a <math/> b</p>", ["let x=1 be", "a b"]),
+    ("<p>a</p><select><p>b</p><object data=x><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><script>let b = '<p>b</p>'", ["a"]), ("<p>a</p><title/>b</title><STYLE >p {}</style><p>c</p>", ["a", "c"]),
+])
+def test_raw_elements(page, want):
+    assert [b.text for b in htmltext.leaf_blocks(page)] == want
+
+
 def test_pages(spark, field):
     d = spark.createDataFrame([(1, None, None, "c"), (2, "u", "", "c"), (2, "u", "<article><p>Hallo du da</p></article>" * 2000, "c")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in htmltext.extract_main_text(d, field).collect())
