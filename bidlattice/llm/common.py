@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes up to which the tables of powers are kept.
-_KEPT = 2 << 20
+_KEPT = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -26,28 +26,55 @@ _COMBINE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.ui
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Stashed tables of this driver that still stand, oldest first.
+_standing: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets
+    a fresh one; on a cluster that is an error, since executors would write their own disks."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
 
+def _file_system(df: DataFrame):
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on an executor."""
+    """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on an executor. The
+    files go when they are discarded or swept, and with the session at the latest."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held.stash_path = path
+    fs, there = _file_system(held)
+    fs.deleteOnExit(there)
+    _standing.append(held)
     return held
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more, such as an earlier round's."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    fs, there = _file_system(df)
+    fs.delete(there, True)
+    fs.cancelDeleteOnExit(there)
+    _standing[:] = [x for x in _standing if x is not df]
+
+
+@contextlib.contextmanager
+def sweeping(keep: list[DataFrame]):
+    """Discard the tables stashed inside but those of keep, which the body fills: for code that has its whole result."""
+    before = len(_standing)
+    yield
+    for df in [x for x in _standing[before:] if all(x is not k for k in keep)]:
+        discard(df)
 
 
 def releasing(run):
@@ -75,12 +102,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_KEPT, n) + 1
-    if n > _KEPT:  # one very long text: made for it and not kept
-        return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
-    if 0 not in _powers:
-        _powers[0] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
-    return _powers[0]
+    if len(_powers.get(0, ((),))[0]) >= n:
+        return _powers[0]
+    size = n if n > _KEPT else 1 << max(16, (n - 1).bit_length())  # those for one very long text are not kept
+    tables = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))
+    if n <= _KEPT:
+        _powers[0] = tables
+    return tables
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
