@@ -53,5 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.stash(stage(spark, docs, sf_dir))
+        kept = []
+        with common.sweeping(kept):
+            docs = common.stash(stage(spark, docs, sf_dir))
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
