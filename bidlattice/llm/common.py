@@ -151,6 +151,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def text_parts(data: np.ndarray, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Spans of about limit bytes that end before a white space, so that no word is cut: what bounds the memory that one
+    very long text takes. A longer word stays whole."""
+    space = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    near = np.searchsorted(space, np.arange(limit, len(data), limit))
+    edges = [0, *np.unique(space[near[near < len(space)]]).tolist(), len(data)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+
+
 def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums over all bytes from which span_hashes takes any span's hash, and the matching inverse powers."""
     power, inverse = _power_tables(len(data))
@@ -171,13 +180,24 @@ def span_hashes(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: n
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of ascending spans that don't overlap, worked out for about SLICE_BYTES of data at a time."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        out[at:to] = span_hashes(byte_sums(data[base : ends[to - 1]]), starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
 def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its width-word shingles over the A-Z-lowered text; the
     whole sequence as one where it has fewer words; empty without words."""
     data, offsets = utf8(texts)
     data = lower_ascii(data)
     starts, ends, counts = word_bounds(data, offsets)
-    words = span_hashes(byte_sums(data), starts, ends)
+    words = hashes_of(data, starts, ends)
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):

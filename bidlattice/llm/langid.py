@@ -32,32 +32,53 @@ class Model(NamedTuple):
     temperature: float
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all n-grams, text by text, and the n + 1 offsets."""
-    folded = [f" {t.lower()} " if t else "" for t in texts]
+def _grams(folded: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.array([len(t) for t in folded], np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
-    n, most = len(codes), max(ORDERS)
+    n = len(codes)
     rolled = np.zeros(n, np.uint64)
     left = np.repeat(at[1:], size) - np.arange(n)  # code points up to the text's end
     flat = np.zeros((len(ORDERS), n), np.int64)
-    for k in range(most):
+    for k in range(max(ORDERS)):
         rolled[: n - k] = (rolled[: n - k] + codes[k:]) * _MIX[k]
         if k + 1 in ORDERS:
             h = rolled ^ (rolled >> np.uint64(29))
             flat[ORDERS.index(k + 1)] = np.where(left > k, ((h * _MIX[0]) >> np.uint64(64 - BITS)).astype(np.int64), 0)
-    flat = flat.T.ravel()  # an n-gram that would run over the end falls into bucket 0, which has weight 0
-    return flat, at * len(ORDERS)
+    flat = flat[:, :most].T.ravel()  # an n-gram that would run over the end falls into bucket 0, which has weight 0
+    return flat, at.clip(max=most) * len(ORDERS) if most else at * len(ORDERS)
+
+
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of all n-grams, text by text, and the n + 1 offsets. One very long text comes in parts, to be added up."""
+    folded = [f" {t.lower()} " if t else "" for t in texts]
+    if len(folded) == 1 and len(folded[0]) > common.SLICE_BYTES:
+        t, size = folded[0], common.SLICE_BYTES
+        for a in range(0, len(t), size):
+            yield _grams([t[a : a + size + max(ORDERS) - 1]], size)
+    else:
+        yield _grams(folded)
+
+
+def _counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's number and how often it has each bucket."""
+    held: dict[int, np.ndarray] = {}
+    for flat, at in grams(texts):
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            n = np.bincount(flat[a:b], minlength=1 << BITS)
+            if len(texts) == 1:
+                held[0] = held.get(0, 0) + n
+            else:
+                yield i, n
+    yield from held.items()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, docs = np.zeros(1 << BITS, np.int64), 0
     for whole in batches:
         for batch in common.text_slices(whole):
-            flat, at = grams(batch.column("text").to_pylist())
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                df += np.bincount(flat[a:b], minlength=1 << BITS) > 0
+            for _, n in _counts(batch.column("text").to_pylist()):
+                df += n > 0
             docs += batch.num_rows
     if docs:
         seen = np.flatnonzero(df)
@@ -67,8 +88,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in common.text_slices(whole):
-            flat, at = grams(batch.column("text").to_pylist())
-            bags = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
+            bags = [(np.flatnonzero(n), n[n > 0]) for _, n in _counts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("lang"),
@@ -149,12 +169,13 @@ def train(docs: DataFrame, per_language: int = 640) -> Model | None:
 
 def probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
     """P(language) of each text, one row a text."""
-    flat, at = grams(texts)
-    size = np.maximum(1, np.diff(at))
-    out = np.zeros((len(texts), len(model.languages)))
-    for k, w in enumerate(model.weights * model.idf):
-        sums = np.concatenate([[0.0], np.cumsum(w[flat])])
-        out[:, k] = 100 * (sums[at[1:]] - sums[at[:-1]]) / size + model.bias[k]
+    out, size = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    for flat, at in grams(texts):
+        size += np.diff(at)
+        for k, w in enumerate(model.weights * model.idf):
+            sums = np.concatenate([[0.0], np.cumsum(w[flat])])
+            out[:, k] += sums[at[1:]] - sums[at[:-1]]
+    out = 100 * out / np.maximum(1, size)[:, None] + model.bias
     return _softmax(out / model.temperature)
 
 

@@ -2,10 +2,13 @@
 
 P(grade <= j) = sigmoid(threshold_j - w.x) with one weight vector for all grades and ordered thresholds, fitted by
 proximal AdaGrad with an L1 penalty, so that words without bearing on the grade get weight 0 and a long clean text
-doesn't gather noise. x holds, once each, hashed words (A-Z lowered, as they are and without the ASCII marks around
-them), hashed word starts, and buckets of the text's shape (case, marks, repetition).
+doesn't gather noise. The weights of the last half of all epochs are averaged, so the fit depends little on the order
+of its rows. x holds, once each, hashed words (A-Z lowered, as they are and without the ASCII marks around them),
+hashed word starts, and buckets of the text's shape (case, marks, repetition), alone and by the text's length; the
+latter have value SHAPE, since a few of them stand against hundreds of words.
 
-The fit uses a bounded sample: `limit` labelled rows, by hash of doc_id. Scoring is a map over whole texts.
+The fit uses a bounded sample: `limit` labelled rows, by hash of doc_id. Scoring is a map over whole texts; a very
+long text is read in parts.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from . import common
 BITS = 18
 #: Bytes of the word starts that are features.
 STARTS = (3, 4, 5, 6, 7)
+#: Value of a feature of the text's shape, and how many numbers these take up.
+SHAPE, SHAPES = 1.5, 2048
+_CUTS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 GRADES = ("toxic", "poor", "good")
 
 
@@ -31,48 +37,62 @@ class Model(NamedTuple):
     thresholds: np.ndarray
 
 
-def _shape(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bucketed ratios of each row: upper case, marks, digits, distinct words, words equal to the one before."""
-    n = np.maximum(1, np.diff(offsets))
-    sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-    letters = ((data | 32) >= 97) & ((data | 32) <= 122)
-    marks = (data > 32) & (data < 127) & ~letters & ~((data >= 48) & (data <= 57))
+def _read(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each row: sums over its bytes and words; its words' hashes and their number; its distinct features."""
+    data = common.lower_ascii(raw)
+    starts, ends, counts = common.word_bounds(data, offsets)
+    hashes = common.byte_sums(data)
+    words = common.span_hashes(hashes, starts, ends)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    over = lambda mask, cut: np.diff(np.concatenate([[0], np.cumsum(mask)])[cut])
+    upto = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    letter = (data >= 97) & (data <= 122)
+    upper = (raw >= 65) & (raw <= 90)
+    digit = (data >= 48) & (data <= 57)
+    mark = (data > 32) & (data < 127) & ~letter & ~digit
+    marks, uppers, letters = upto(mark), upto(upper), upto(letter)
+    of = lambda sums: sums[ends] - sums[starts]
+    doubled = mark[ends - 1] & mark[np.maximum(starts, ends - 2)] & (ends - starts > 1)
+    sums = [
+        np.diff(offsets), over(letter, offsets), over(upper, offsets), over(mark, offsets), over(digit, offsets),
+        over(of(marks) == ends - starts, at), over(doubled, at), over((of(uppers) == of(letters)) & (of(uppers) > 1), at),
+    ]
+    edge = (data < 48) | ((data > 57) & (data < 97)) | ((data > 122) & (data < 127))
+    solid, first = upto(~edge), np.flatnonzero(~edge)
+    full = solid[ends] > solid[starts]
+    a, b = starts.copy(), ends.copy()
+    a[full] = first[solid[starts[full]]]
+    b[full] = first[solid[ends[full]] - 1] + 1
+    bare = common.span_hashes(hashes, a, b)
+    all_of = [bare] + [np.where(b - a > k, common.span_hashes(hashes, a, np.minimum(a + k, b)) + np.uint64(k), bare) for k in STARTS]
+    hashed = (np.stack(all_of) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.stack(sums, axis=1), words, counts, [np.unique(hashed[:, p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+
+
+def _shape(sums: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Buckets of each row's ratios: upper case, marks, digits, repeated words, words of marks only, words that end in two
+    marks, words in capitals, distinct words; each alone and by the text's length."""
     at = np.concatenate([[0], np.cumsum(counts)])
     same = np.concatenate([[0], np.cumsum(words[1:] == words[:-1])]) if len(words) else np.zeros(1, np.int64)
     repeats = np.array([same[b - 1] - same[a] if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)])
     distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)])
-    c = np.maximum(1, counts)
-    long = np.minimum(3, np.log10(c).astype(np.int64))
-    cuts = [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
-    ratios = [
-        sums((data >= 65) & (data <= 90)) / np.maximum(1, sums(letters)), sums(marks) / n,
-        sums((data >= 48) & (data <= 57)) / n, repeats / c, sums(data == 124) / c, sums(data == 33) / c,
-    ]
-    cells = [np.digitize(r, cuts) for r in ratios] + [np.digitize(distinct / c, cuts) * 4 + long, np.digitize(repeats / c, cuts) * 4 + long]
-    return np.stack([k * 64 + cell for k, cell in enumerate(cells)], axis=1)
+    size, letters, upper, marks, digits, bare, doubled, capitals = np.maximum(sums, 0).T
+    c, n = np.maximum(1, counts), np.maximum(1, size)
+    ratios = [upper / np.maximum(1, letters), marks / n, digits / n, repeats / c, bare / c, doubled / c, capitals / c, distinct / c]
+    long = np.minimum(5, np.log2(c).astype(np.int64) // 2)
+    cells = [np.digitize(r, _CUTS) for r in ratios]
+    return np.stack([k * 128 + x for k, x in enumerate(cells)] + [1024 + k * 128 + x * 6 + long for k, x in enumerate(cells)], axis=1)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all rows, one row after another and distinct within a row, and the n + 1 row offsets."""
     raw, offsets = common.utf8(texts)
-    data = common.lower_ascii(raw)
-    starts, ends, counts = common.word_bounds(data, offsets)
-    sums = common.byte_sums(data)
-    words = common.span_hashes(sums, starts, ends)
-    shape = _shape(raw, offsets, words, counts)
-    mark = (data < 48) | ((data > 57) & (data < 97)) | ((data > 122) & (data < 127))
-    solid = np.concatenate([[0], np.cumsum(~mark)])
-    first = np.flatnonzero(~mark)
-    full = solid[ends] > solid[starts]
-    a, b = starts.copy(), ends.copy()
-    if len(first):
-        a[full] = first[solid[starts[full]]]
-        b[full] = first[solid[ends[full]] - 1] + 1
-    bare = common.span_hashes(sums, a, b)
-    all_of = [bare] + [np.where(b - a > k, common.span_hashes(sums, a, np.minimum(a + k, b)) + np.uint64(k), bare) for k in STARTS]
-    hashed = (np.stack(all_of) >> np.uint64(64 - BITS)).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    out = [np.unique(np.concatenate([hashed[:, p:q].ravel(), s + (1 << BITS)])) for p, q, s in zip(at[:-1], at[1:], shape, strict=True)]
+    if len(texts) == 1 and len(raw) > 2 * common.SLICE_BYTES:
+        sums, words, counts, found = zip(*(_read(raw[a:b], np.array([0, b - a])) for a, b in common.text_parts(raw)), strict=True)
+        sums, words, counts, found = sum(sums), np.concatenate(words), sum(counts), [np.unique(np.concatenate([x for f in found for x in f]))]
+    else:
+        sums, words, counts, found = _read(raw, offsets)
+    out = [np.concatenate([x, s + (1 << BITS)]) for x, s in zip(found, _shape(sums, words, counts), strict=True)] if len(texts) else []
     return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
@@ -90,27 +110,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], grades: int = len(GRADES), epochs: int = 12, rate: float = 0.5, l1: float = 1e-3) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], grades: int = len(GRADES), epochs: int = 16, rate: float = 0.15, l1: float = 1e-3) -> Model:
     """Fit on (grade, features) pairs; with no rows at all every text gets the highest grade."""
-    size = (1 << BITS) + 1024
+    size = (1 << BITS) + SHAPES
     w, g2 = np.zeros(size), np.full(size, 1e-2)
     theta, t2 = np.linspace(-2.0, -1.0, grades - 1), np.full(grades - 1, 1e-2)
     if not rows:
         return Model(w.astype(np.float32), np.linspace(-6.0, -5.0, grades - 1))
     last, step = np.zeros(size, np.int64), 0
+    mean_w, mean_theta, averaged = np.zeros(size), np.zeros(grades - 1), (epochs + 1) // 2
     order = np.random.Generator(np.random.PCG64(3))
-    for _ in range(epochs):
+    shrunk = lambda x, pull: np.sign(x) * np.maximum(0, np.abs(x) - pull)
+    for epoch in range(epochs):
         for i in order.permutation(len(rows)).tolist():
             y, x = rows[i]
+            value = np.where(x >= 1 << BITS, SHAPE, 1.0)
             step += 1
-            pull = rate / np.sqrt(g2[x]) * l1 * (step - last[x])  # the steps since the weight was last seen
-            w[x] = np.sign(w[x]) * np.maximum(0, np.abs(w[x]) - pull)
+            w[x] = shrunk(w[x], rate / np.sqrt(g2[x]) * l1 * (step - last[x]))  # for the steps since the weight was last seen
             last[x] = step
-            cut = _sigmoid(np.concatenate([[-np.inf], theta - w[x].sum(), [np.inf]]).clip(-30, 30))
+            cut = _sigmoid(np.concatenate([[-np.inf], theta - w[x] @ value, [np.inf]]).clip(-30, 30))
             cut[0], cut[-1] = 0.0, 1.0
             slope = cut * (1 - cut)
             p = max(cut[y + 1] - cut[y], 1e-9)
-            d = (slope[y + 1] - slope[y]) / p  # of the loss by the score w.x
+            d = (slope[y + 1] - slope[y]) / p * value  # of the loss by each weight
             g2[x] += d * d
             w[x] -= rate * d / np.sqrt(g2[x])
             grad = np.zeros(grades + 1)
@@ -118,9 +140,13 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = len(GRADES), epochs: i
             grad[y] += slope[y] / p
             t2 += grad[1:-1] ** 2
             theta = np.sort(theta - rate * grad[1:-1] / np.sqrt(t2))
-    pull = rate / np.sqrt(g2) * l1 * (step - last)
-    w = np.sign(w) * np.maximum(0, np.abs(w) - pull)
-    return Model(w.astype(np.float32), theta)
+        w = shrunk(w, rate / np.sqrt(g2) * l1 * (step - last))
+        last[:] = step
+        if epoch >= epochs - averaged:
+            mean_w += w / averaged
+            mean_theta += theta / averaged
+    mean_w[1 << BITS :] *= SHAPE
+    return Model(mean_w.astype(np.float32), mean_theta)
 
 
 def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
