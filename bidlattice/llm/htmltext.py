@@ -23,37 +23,35 @@ from . import common
 
 #: Elements whose content is no text of the page. The first two run to the end of the page if not closed, the others
 #: only lose their tag then.
-TO_END = "script style"
-RAW = f"{TO_END} template noscript iframe svg annotation annotation-xml object textarea title select"
+TO_END = frozenset("script style".split())
+RAW = TO_END | frozenset("template noscript iframe svg annotation annotation-xml textarea title select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp"
     " small span strike strong sub sup time tt u var wbr"
     " math mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable"
-    " mtd mtext mtr munder munderover semantics".split()
+    " mtd mtext mtr munder munderover semantics object".split()
 )
+#: Open elements whose marks count; a page nested deeper is read whole, its further levels add no features. Also how far
+#: up a start tag looks for an element that it closes.
+LEVELS = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of these names (up to the nearest container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body blockquote".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>"
-    rf"|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?</\1\s*>"
-    rf"|<(?:{TO_END.replace(' ', '|')})(?=[\s/>])[^>]*>.*\Z"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Block(NamedTuple):
-    """Text as shown, the code points of it inside links, and the ancestors as (tag, words of class, id and role)."""
+    """Text as shown, the code points of it inside links, and what its open elements say: features, the innermost block."""
 
     text: str
     linked: int
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    inside: frozenset[str]
+    leaf: str
 
 
 def _marks(attributes: str) -> tuple[str, ...]:
@@ -69,10 +67,73 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(words)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of each tag, and of what is no text with an empty name.
+
+    Each character is looked at a bounded number of times: a tag's end is searched for with its quotes, and without them
+    where they don't close; scans that lead nowhere may read a few times the page in all, after which quotes are ignored.
+    """
+    at, last, spare, unclosed = 0, page.rfind(">"), 8 * len(page) + 64, set()
+    while (at := page.find("<", at)) >= 0:
+        begin = at
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + (4 if mark == "-->" else 9))
+            at = end + 3 if end >= 0 else len(page)
+            yield begin, at, "", False, ""
+            continue
+        if at > last:  # no tag ends from here on
+            return
+        if page[at + 1] in "!?":
+            at = page.find(">", at) + 1
+            yield begin, at, "", False, ""
+            continue
+        slash = page[at + 1] == "/"
+        m = _NAME.match(page, at + 1 + slash)
+        if not m:
+            at += 1
+            continue
+        i, end = m.end(), -1
+        while spare > 0 and (stop := _STOP.search(page, i)):
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            i = page.find(stop[0], stop.end()) + 1
+            if not i:
+                break
+        if end < 0:
+            spare -= len(page) - begin
+            end = page.find(">", m.end())
+        name, at = m[0].lower(), end + 1
+        attributes = page[m.end() : end]
+        if name in RAW and not slash and not (name == "svg" and attributes.endswith("/")):
+            close = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:  # nor will a later one be closed
+                unclosed.add(name)
+                if name in TO_END:
+                    at = len(page)
+            name = ""
+        elif name in RAW:
+            name = ""
+        yield begin, at, name, slash, attributes
+
+
+class _Open(NamedTuple):
+    """An open element: its name, and what it and those around it say of a block inside."""
+
+    name: str
+    inside: frozenset[str]
+    leaf: str
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order, without those of white space only."""
+    """The blocks of a page in order, without those of white space only; linear in the page's size."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = _Open("", frozenset(["outside"]), "")
+    stack: list[_Open] = []
+    count: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
     page = page or ""
@@ -81,7 +142,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, min(linked, len(text)), tuple(stack)))
+            top = stack[-1] if stack else root
+            blocks.append(Block(text, min(linked, len(text)), top.inside, top.leaf))
         parts.clear()
         linked = 0
 
@@ -89,37 +151,48 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if count.get("a"):
                 linked += len(text.strip())
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            count[x.name] -= 1
+        del stack[i:]
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        slash, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    for begin, end, name, slash, attributes in _tags(page):
+        add(page[at:begin])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
         if name not in INLINE:
             flush()
         if slash:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if count.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             continue
         closes = CLOSES.get(name) or ({"p"} if name not in INLINE else ())
-        if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
+        if any(count.get(x) for x in closes):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - LEVELS), -1):
+                if stack[i].name in closes:
+                    close(i)
                     break
-                if stack[i][0] in CONTAINERS:
+                if stack[i].name in CONTAINERS:
                     break
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, _marks(attributes) if attributes else ()))
+            top = stack[-1] if stack else root
+            inside = top.inside
+            if len(stack) < LEVELS:
+                if name in ("article", "main") and "outside" in inside:
+                    inside = inside - {"outside"}
+                if (own := f"in {name}") not in inside:
+                    inside = inside | {own}
+                if attributes and not (marks := {f"mark {w}" for w in _marks(attributes)}) <= inside:
+                    inside = inside | marks
+            stack.append(_Open(name, inside, top.leaf if name in INLINE else name))
+            count[name] = count.get(name, 0) + 1
     add(page[at:])
     flush()
     return blocks
@@ -130,15 +203,9 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         f = {"bias", f"n{min(12, int(math.log2(len(b.text) + 1)))}", f"link{round(4 * b.linked / len(b.text))}"}
-        tags = [t for t, _ in b.path]
-        f |= {f"in {t}" for t in tags}
-        f |= {f"mark {w}" for _, words in b.path for w in words}
-        block = next((t for t in reversed(tags) if t not in INLINE), "")
-        f |= {f"leaf {block}", f"end {b.text[-1] if not b.text[-1].isalnum() else 'word'}"}
+        f |= {f"leaf {b.leaf}", f"end {b.text[-1] if not b.text[-1].isalnum() else 'word'}"} | b.inside
         if "©" in b.text or "(c)" in b.text:
             f.add("copyright")
-        if not {"article", "main"} & set(tags):
-            f.add("outside")
         f.add(f"place {min(2, 3 * i // len(blocks))}")
         out.append(sorted(f))
     return out
