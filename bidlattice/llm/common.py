@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
@@ -26,6 +27,8 @@ _COMBINE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.ui
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Largest number of keys that `met` broadcasts: those that hold at least one row of so many.
+HEAVY = 500
 #: Stashed tables of this driver that still stand, oldest first.
 _standing: list[DataFrame] = []
 
@@ -77,6 +80,30 @@ def sweeping(keep: list[DataFrame]):
         discard(df)
 
 
+def met(rows: DataFrame, found: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows with what found, which has no more than `count` as the number of rows of each key, says of their keys.
+
+    A key with one row of HEAVY or more of all `total` rows is broadcast; there are at most HEAVY such keys, and their rows
+    stay where they are. The others meet in a shuffle, in which no key exceeds that share. The column `count` goes.
+    """
+    found = stash(found)
+    often = F.col(count) * HEAVY >= total
+    heavy, light = found.where(often).drop(count), found.where(~often).drop(count)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores behind them as keep them apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def releasing(run):
     """Let a task give freed memory back to the system when it ends: its Python worker lives on for later stages."""
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import met, spare, stash
 
 DEPTH, MIN_TOKENS, SIMILAR = 3, 3, 0.7
 LONG = 50
@@ -63,12 +63,12 @@ def _leaf(tokens):
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
 
 
-def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """Keys in at least min_docs documents, with the smallest doc_id that has one."""
+def _recurring(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """Keys in at least min_docs documents, how many these are, and the smallest doc_id that has one."""
     return (
-        rows.select(key, "doc", "doc_id").distinct()
-        .groupBy(key).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-        .where(F.col("docs") >= min_docs).drop("docs")
+        rows.select(*keys, "doc", "doc_id").distinct()
+        .groupBy(*keys).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+        .where(F.col("docs") >= min_docs)
     )
 
 
@@ -90,22 +90,23 @@ def _templates(held: DataFrame, forms: DataFrame, votes: DataFrame, min_docs: in
     lines = held.withColumn("form", F.xxhash64("t")).join(kept.hint("merge"), ["leaf", "form"], "left")
     lines = lines.select("doc", "doc_id", "pos", "leaf", need.alias("need"), F.coalesce("kept", F.expr("array()")).alias("kept"))
     best = F.slice("kept", F.lit(1), F.greatest(F.lit(0), F.col("need")))
-    return lines.where(F.size("kept") >= F.col("need")).select("doc", "doc_id", "pos", F.xxhash64("leaf", best).alias("template"))
+    return lines.where(F.size("kept") >= F.col("need")).select("doc", "doc_id", "pos", "leaf", F.xxhash64("leaf", best).alias("template"))
 
 
 def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
-    """(doc, drop): the numbers of the lines that go, for each document that loses any."""
+    """(doc, doc_id, drop): the numbers of the lines that go, for each document that loses any."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = _fields(lines, "doc", "doc_id", "pos", whole=whole).where(F.element_at("t", 1) != "" if whole else F.size("t") >= MIN_TOKENS)
     exact = [F.when(_long(F.col("line"), F.col("t")), F.xxhash64(_split(F.col("line")))).alias("exact")] if whole else []
     hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"), *exact)
     hashes = stash(hashes)
-    leaves = stash(_recurring(hashes, "leaf", min_docs).select("leaf"))
-    leafed = stash(hashes.join(leaves, "leaf", "left_semi"))
-    plain = leafed.join(_recurring(leafed, "form", min_docs), "form").where(_NOT_FIRST)
+    total = hashes.count()
+    leafed = stash(met(hashes, _recurring(hashes, ["leaf"], min_docs), ["leaf"], "docs", total).drop("first"))
+    plain = met(leafed, _recurring(leafed, ["leaf", "form"], min_docs), ["leaf", "form"], "docs", total).where(_NOT_FIRST)
 
-    wanted = leafed.groupBy("doc").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
-    held = docs.join(wanted.hint("merge"), "doc").select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
+    wanted = leafed.groupBy("doc", "doc_id").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
+    wanted = wanted.withColumnRenamed("doc_id", "own")
+    held = docs.join(wanted.hint("merge"), "doc").where(F.col("doc_id").eqNullSafe(F.col("own"))).select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
     held = held.select("doc", "doc_id", "at.pos", "at.leaf", F.element_at("lines", F.col("at.pos") + 1).alias("line"))
     held = stash(_fields(held, "doc", "doc_id", "pos", "leaf", whole=whole).drop("line"))
     forms = held.groupBy("leaf", "t").agg(F.count("*").alias("n"))
@@ -122,16 +123,17 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     agree = F.aggregate(F.zip_with("t", "g", lambda a, b: (a.eqNullSafe(b) & (b != "<*>")).cast("int")), F.lit(0), lambda s, x: s + x)
     alike = held.join(general, "leaf").where(agree >= SIMILAR * F.size("t")).select("doc", "doc_id", "pos", "leaf")
     alike = stash(alike)
-    varied = alike.join(_recurring(alike, "leaf", min_docs), "leaf").where(_NOT_FIRST)
-    gone = plain.select("doc", "pos").unionByName(varied.select("doc", "pos"))
+    varied = met(alike, _recurring(alike, ["leaf"], min_docs), ["leaf"], "docs", total).where(_NOT_FIRST)
+    at = ["doc", "doc_id", "pos"]
+    gone = plain.select(*at).unionByName(varied.select(*at))
     if whole:
         passages = hashes.where("exact is not null")
-        passages = passages.join(_recurring(passages, "exact", 2), "exact").where(_NOT_FIRST)
+        passages = met(passages, _recurring(passages, ["leaf", "exact"], 2), ["leaf", "exact"], "docs", total).where(_NOT_FIRST)
         several = stash(_templates(held, forms, votes, min_docs))
-        several = several.join(_recurring(several, "template", min_docs), "template").where(_NOT_FIRST)
-        gone = gone.unionByName(passages.select("doc", "pos")).unionByName(several.select("doc", "pos"))
+        several = met(several, _recurring(several, ["leaf", "template"], min_docs), ["leaf", "template"], "docs", total).where(_NOT_FIRST)
+        gone = gone.unionByName(passages.select(*at)).unionByName(several.select(*at))
     gone = gone.distinct()
-    return gone.groupBy("doc").agg(F.collect_list("pos").alias("drop"))
+    return gone.groupBy("doc", "doc_id").agg(F.collect_list("pos").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = False) -> DataFrame:
@@ -144,15 +146,17 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = Fals
     loses every line is empty.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = stash(_dropped(keyed.select("doc", "doc_id", "text").where("text is not null"), min_docs, whole))
+    doc, own, drop = spare(docs, "doc", "own", "drop")
+    keyed = docs.withColumn(doc, F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col(doc).alias("doc"), "doc_id", "text").where("text is not null")
+    gone = stash(_dropped(rows, min_docs, whole).select(F.col("doc").alias(doc), F.col("doc_id").alias(own), F.col("drop").alias(drop)))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    joined = keyed.join(gone.hint("merge"), "doc", "left")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    joined = keyed.join(gone.hint("merge"), [keyed[doc] == gone[doc], keyed["doc_id"].eqNullSafe(gone[own])], "left").drop(gone[doc])
     return joined.select(
-        *[F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_dropped"),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).alias("n_dropped"),
     )
 
 

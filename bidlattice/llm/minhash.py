@@ -235,15 +235,20 @@ def near_duplicates(
     docs needs doc_id (unique) and text; other columns are ignored. Documents are linked when
     100 * |A and B| >= percent * |A or B| over sets of width-word shingles. component_id is the smallest doc_id
     reachable by links, kept tells whether it is the document's own. class_id is the smallest doc_id with the same
-    set. Ties do not arise; an empty table gives an empty result; a null doc_id is left out.
+    set. Ties do not arise; an empty table gives an empty result. A null doc_id is linked with nothing: its row has no
+    component_id and stays. Repeated rows stay and share their result.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("doc_id", "text")
     need = collisions_needed(percent / 100, coordinates, miss)
     sketches = common.stash(
         docs.mapInArrow(common.releasing(_sketches(width, coordinates)), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
     )
-    classes = sketches.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classed = common.stash(sketches.drop("sig").join(classes, ["f1", "f2", "n_shingles"], "left"))
+    whole = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    bare, keys = sketches.drop("sig"), ["f1", "f2", "n_shingles"]
+    classes = bare.where(whole).groupBy(*keys).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    classed = common.met(bare.where(whole), classes, keys, "n", sketches.count()).select("doc_id", "n_shingles", "class_id")
+    alone = bare.where(~whole).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id"))
+    classed = common.stash(classed.unionByName(alone))
     reps = sketches.join(classed.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("rep"), "n_shingles", "sig"
     )
@@ -284,5 +289,5 @@ def near_duplicates(
     parts = connected_components(links).select(F.col("id").alias("class_id"), "component")
     own = F.coalesce("component", "class_id", "doc_id")
     return classed.join(parts, "class_id", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id")
+        "doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id")
     )

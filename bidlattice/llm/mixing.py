@@ -7,13 +7,14 @@ the expected tokens meet the budget. A hash of doc_id and seed decides, so a rer
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, spare, stash
 
 DIMS = ("source", "lang", "topic")
 #: Largest number of cells that are broadcast to the documents; beyond it the join shuffles.
@@ -22,9 +23,9 @@ ROUNDS, ROUNDS_A_JOB, TOLERANCE = 60, 4, 1e-6
 
 
 def token_count(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text; 0 for null."""
-    bare = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    return F.when(text.isNull() | (bare == ""), 0).otherwise(F.size(F.split(bare, r"[ \t\n\x0B\f\r]+"))).cast("long")
+    """Words `[^\\x20\\x09-\\x0D]+` of a text; 0 for null. Each word becomes one character, whose number is counted."""
+    words = F.regexp_replace(text, r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*", "w")
+    return F.when(text.rlike(r"[^ \t\n\x0B\f\r]"), F.length(words)).otherwise(0).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -53,8 +54,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
     """cells (one row for each combination, with tokens > 0) plus weight: proportional to tokens within the marginals.
 
     Each of targets has one row (value, target) per value; values without a target keep weight 0. Stops once no
-    marginal is off by more than TOLERANCE relatively, or after ROUNDS. The sums are windows over the cells, which are
-    already aggregated: a round adds one exchange a marginal to the plan, where self-joins would double it.
+    marginal is off by more than TOLERANCE relatively, or after ROUNDS with a warning that says by how much: marginals that
+    no weights meet (a value whose cells all belong to values of weight 0, say) never settle. The sums are windows over
+    the cells, which are already aggregated: a round adds one exchange a marginal to the plan, where self-joins would
+    double it.
     """
     for dim, target in targets.items():
         cells = cells.join(target.select(dim, F.col("target").alias(f"to_{dim}")), dim, "left").fillna(0.0, [f"to_{dim}"])
@@ -79,6 +82,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
         now = now.drop("off", *[f"off_{d}" for d in dims])
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"the rake has not settled in {ROUNDS} rounds: a marginal is off by {worst:.2g} of its target", stacklevel=2)
     return now.drop(*[f"to_{d}" for d in dims])
 
 
@@ -121,16 +126,17 @@ def mix_sources(
     """
     docs = docs.drop("topic", "tokens", "weight", "probability", "sampled")
     sized = docs.withColumns({"topic": topic_of(F.col("text")), "tokens": token_count(F.col("text"))})
-    keys = {f"k_{d}": _key(d) for d in DIMS}
+    names = dict(zip(DIMS, spare(docs, *[f"k_{d}" for d in DIMS]), strict=True))
+    keys = {names[d]: _key(d) for d in DIMS}
     cells = stash(
         sized.select("tokens", *[k.alias(n) for n, k in keys.items()]).where("tokens > 0")
         .groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
     )
     if targets is None:
         exponents = exponents or {"source": 0.5, "lang": 0.7, "topic": 0.7}
-        wanted = tempered_targets(cells, {f"k_{d}": exponents[d] for d in DIMS})
+        wanted = tempered_targets(cells, {names[d]: exponents[d] for d in DIMS})
     else:
-        wanted = {f"k_{d}": t.select(_key(d).alias(f"k_{d}"), "target") for d, t in targets.items()}
+        wanted = {names[d]: t.select(_key(d).alias(names[d]), "target") for d, t in targets.items()}
     raked = rake(cells, wanted)
     total = cells.agg(F.sum("tokens").alias("n")).first().n or 0
     scale = _scale(raked, fraction * total)
