@@ -265,7 +265,7 @@ def person_plans(people: DataFrame, rules: DataFrame) -> DataFrame:
     need_free). Every person meets only the rules of its role, which are few. Among complete plans the one with the
     most references comes first, then the highest certificate, then the larger id.
     """
-    pair = people.join(F.broadcast(rules.select("role", "rule_id", F.col("specialty").alias("w_specialty"), F.col("level").alias("w_level"), "need_b", "need_free")), "role")
+    pair = people.join(rules.select("role", "rule_id", F.col("specialty").alias("w_specialty"), F.col("level").alias("w_level"), "need_b", "need_free"), "role")
     fail = (
         F.when(F.col("w_specialty").isNotNull() & ~F.arrays_overlap(text.specialty_tokens(F.col("w_specialty")), text.specialty_tokens(F.col("specialty"))), "specialty_mismatch")
         .when(F.col("w_level").isNotNull() & (text.rule_level_rank(F.col("cert_level")) < text.rule_level_rank(F.col("w_level"))), "grade_below_requirement")
@@ -276,7 +276,7 @@ def person_plans(people: DataFrame, rules: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("fail")), ",").alias("gaps"), F.max(F.size("refs")).alias("refs"), F.max(text.rule_level_rank(F.col("cert_level"))).alias("rank"),
     )
     best = plans.where("complete").groupBy("role").agg(F.max_by("person_id", F.struct("refs", "rank", "person_id")).alias("primary_id"))
-    return plans.join(F.broadcast(best), "role", "left").withColumn("primary", F.coalesce(F.col("person_id") == F.col("primary_id"), F.lit(False))).drop("primary_id", "refs", "rank")
+    return plans.join(best, "role", "left").withColumn("primary", F.coalesce(F.col("person_id") == F.col("primary_id"), F.lit(False))).drop("primary_id", "refs", "rank")
 
 
 def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str], budget: str = "budget_amount", deadline: str = "bid_deadline") -> DataFrame:

@@ -113,8 +113,8 @@ def anchor_candidates(pages: DataFrame, anchors: Sequence[Anchor] = ANCHORS, doc
     clause = F.element_at(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1)), -1)
     found = found.where(~unticked).select(doc, page, F.col("h.anchor").alias("anchor"), F.col("h.hit").alias("quote"), F.col("h.at").alias("at"), F.when(F.size(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1))) > 0, clause).alias("clause_ref"))
     first = found.groupBy(doc, "anchor").agg(F.min(F.struct(page, "at", "quote", "clause_ref")).alias("f")).select(doc, "anchor", f"f.{page}", "f.quote", "f.clause_ref")
-    table = pages.sparkSession.createDataFrame([(i, *a[:3], a.must) for i, a in enumerate(anchors)], "anchor int, anchor_key string, req_type string, category string, must boolean")
-    wanted = pages.select(doc).distinct().join(F.broadcast(table))
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip((i, *a[:3], a.must), ("anchor", "anchor_key", "req_type", "category", "must"), strict=True)]) for i, a in enumerate(anchors)])
+    wanted = pages.select(doc).distinct().select(doc, F.inline(table))
     return (
         wanted.join(first, [doc, "anchor"], "left").where(F.col("quote").isNotNull() | F.col("must"))
         .select(doc, "anchor_key", "req_type", "category", page, F.coalesce("quote", F.lit(MISSING)).alias("assertion"), "clause_ref", F.col("quote").isNull().alias("missing"))
@@ -222,6 +222,27 @@ def chunks(docs: DataFrame, doc: str = "doc_id", body: str = "text", size: int =
     return whole.unionByName(parts).withColumn("chunk_seq", n)
 
 
+def passage_links(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", body: str = "text", words: int = 4) -> DataFrame:
+    """(doc, item) where a document's text holds the whole text of a passage.
+
+    Both sides meet on a hash of `words` words in a row. Those of a passage are its second and following ones, since its
+    first and last may stand inside longer words of the document; a passage with fewer words between its ends gives as many
+    as it has. What meets is confirmed on whole texts. Passages of one or two words have no inner word and are compared with
+    every text. Empty and null passages link with nothing.
+    """
+    tokens = F.split(body, r"[ \t\n\x0B\f\r]+")
+    p = passages.where(F.col(body) != "").select(item, F.col(body).alias("__passage"), tokens.alias("__w")).withColumn("__n", F.least(F.lit(words), F.size("__w") - 2))
+    keyed = p.where("__n > 0").select(item, "__passage", F.xxhash64("__n", F.slice("__w", F.lit(2), F.col("__n"))).alias("__key"))
+    sizes = [r[0] for r in p.where("__n > 0").select("__n").distinct().collect()]  # at most `words` numbers
+    at = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice(w, i, F.lit(n))))
+    keys = text.bound(tokens, lambda w: F.array_distinct(F.concat(*[at(w, n) for n in sizes]))) if sizes else F.array().cast("array<bigint>")
+    d = docs.select(doc, F.explode(keys).alias("__key"))
+    met = d.join(keyed.select(item, "__key"), "__key").select(doc, item).distinct()
+    long = met.join(keyed.select(item, "__passage"), item).join(docs.select(doc, body), doc)
+    short = docs.select(doc, body).crossJoin(p.where("__n <= 0").select(item, "__passage"))
+    return long.unionByName(short, allowMissingColumns=True).where(F.col(body).contains(F.col("__passage"))).select(doc, item).distinct()
+
+
 def folded(c: Column) -> Column:
     """O1: white space runs to one space, trimmed; a quote's place in the original comes from quote_at on the original."""
     return F.trim(F.regexp_replace(c, text.SPACE + "+", " "))

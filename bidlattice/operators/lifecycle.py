@@ -170,7 +170,8 @@ def needs_ocr_review(confidence: Column, routed: Column, limit: float = 0.6) ->
 
 def per_lot(requirements: DataFrame, lots: DataFrame) -> DataFrame:
     """One copy of the common requirements for each lot, and each lot's own; lots (lot_id) are few."""
-    common = requirements.where("lot_id is null").drop("lot_id").join(F.broadcast(lots.select("lot_id").distinct()))
+    every = lots.agg(F.collect_set("lot_id").alias("__lots"))  # one row
+    common = requirements.where("lot_id is null").drop("lot_id").crossJoin(every).withColumn("lot_id", F.explode("__lots")).drop("__lots")
     return common.unionByName(requirements.where("lot_id is not null"))
 
 

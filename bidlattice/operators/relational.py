@@ -101,6 +101,35 @@ def nested(parents: DataFrame, children: Mapping[str, DataFrame], key: str) -> D
     return out
 
 
+def similar_names(df: DataFrame, key: str, name: str, block: str, least: float) -> DataFrame:
+    """(key, class_id, links, best): names of a block whose Dice coefficient over bigrams reaches `least`.
+
+    Equal names are one class, whose id is its smallest key, so copies are never paired. Two sets can only reach `least` if
+    they share one of the size - ceil(least * size / (2 - least)) + 1 rarest bigrams of each; classes that do are compared.
+    links counts the other classes that are alike, best is the largest coefficient among these, null without any. Empty
+    and null names are classes without links.
+    """
+    from ..functions import text
+
+    classes = df.groupBy(block, name).agg(F.min(key).alias("class_id"))
+    sets = classes.where(F.col(name) != "").select(block, "class_id", text.bigram_items(F.col(name)).alias("items"))
+    posted = sets.select(block, "class_id", F.size("items").alias("size"), F.explode("items").alias("item"))
+    often = posted.groupBy(block, "item").agg(F.count("*").alias("n"))
+    ranked = posted.join(often, [block, "item"]).groupBy(block, "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o"))
+    needed = F.ceil(F.lit(least) * F.col("size") / F.lit(2 - least) - 1e-9).cast("int")
+    heads = ranked.select(block, "class_id", "size", F.explode(F.slice("o", F.lit(1), F.col("size") - needed + 1)).alias("h")).select(block, "class_id", "size", "h.item")
+    other = heads.select(block, "item", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
+    near = 2.0 * F.least("size", "size_b") >= F.lit(least) * (F.col("size") + F.col("size_b"))
+    pairs = heads.join(other, [block, "item"]).where(F.col("class_id") < F.col("b")).where(near).select(F.col("class_id").alias("a"), "b").distinct()
+    pairs = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
+    pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
+    links = pairs.where(2.0 * F.col("both") >= F.lit(least) * F.col("all")).withColumn("dice", F.round(2.0 * F.col("both") / F.col("all"), 4))
+    ends = links.select(F.col("a").alias("class_id"), "dice").unionByName(links.select(F.col("b").alias("class_id"), "dice"))
+    found = classes.join(ends.groupBy("class_id").agg(F.count("*").alias("links"), F.max("dice").alias("best")), "class_id", "left")
+    found = found.select(F.col(block).alias("__b"), F.col(name).alias("__n"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best")
+    return df.join(found, F.col(block).eqNullSafe(F.col("__b")) & F.col(name).eqNullSafe(F.col("__n"))).select(key, "class_id", "links", "best")
+
+
 def region_coverage(source: Column, wanted: Column, country: str = "全国") -> Column:
     """Direct if the regions are the same, broader if the source's holds the wanted one, else none."""
     return F.when(source == wanted, "direct").when((source == country) | wanted.startswith(source), "broader").otherwise("none")
@@ -164,3 +193,21 @@ def upsert_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], refr
         stale = stored.where(refreshable).join(incoming.select(*keys), list(keys), "left_semi").select(*keys)
         stored = stored.join(stale, list(keys), "left_anti")
     return stored.unionByName(incoming.join(stored.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def sync_outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming events (event_id, dedup_key, content_hash, gate) with what a sync does with each.
+
+    In this order: without id or key it is skipped, a rejected one is gate_blocked, a known id is unchanged or updated as
+    its content says, an unknown id whose dedup_key is stored is merged into the smallest such id, any other is created.
+    """
+    known = stored.select("event_id", F.col("content_hash").alias("__hash"), F.lit(True).alias("__known"))
+    same = stored.groupBy("dedup_key").agg(F.min("event_id").alias("__into"))
+    j = incoming.join(known, "event_id", "left").join(same, "dedup_key", "left")
+    outcome = (
+        F.when(F.col("event_id").isNull() | F.col("dedup_key").isNull(), "skipped").when(F.col("gate") == "rejected", "gate_blocked")
+        .when(F.col("__known") & F.col("content_hash").eqNullSafe(F.col("__hash")), "unchanged").when(F.col("__known"), "updated")
+        .when(F.col("__into").isNotNull(), "merged").otherwise("created")
+    )
+    j = j.withColumn("outcome", outcome).withColumn("stored_id", F.when(F.col("outcome") == "merged", F.col("__into")).when(F.col("outcome").isin("unchanged", "updated", "created"), F.col("event_id")))
+    return j.select(*incoming.columns, "outcome", "stored_id")

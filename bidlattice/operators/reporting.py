@@ -117,36 +117,58 @@ def preview_samples(df: DataFrame, state: str, key: str, last: int, order: Seque
     return recent.groupBy(state).agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list(F.col(key))), 1, samples), ",").alias("samples"))
 
 
-def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """Recall at k over all gold pairs, and the mean reciprocal of the first hit over queries with one.
+def metrics_of_hits(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Recall at k over all wanted items, and the mean reciprocal of the first hit over queries with one.
 
-    ranked (query, item, rank), gold (query, item).
+    hits (query, rank) holds the ranks of wanted items only, wanted (query, wanted) how many there are.
     """
-    hits = gold.join(ranked, ["query", "item"], "left")
-    by_query = hits.groupBy("query").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= k).alias("found"), F.count("*").alias("wanted"))
-    return by_query.agg(
-        F.count("*").alias("queries"), F.try_divide(F.sum("found"), F.sum("wanted")).alias("recall"), F.avg(1 / F.col("first")).alias("mrr"),
+    of_query = hits.groupBy("query").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= k).alias("found"))
+    return wanted.join(of_query, "query", "left").agg(
+        F.count("*").alias("queries"), F.try_divide(F.sum(F.coalesce("found", F.lit(0))), F.sum("wanted")).alias("recall"), F.avg(1 / F.col("first")).alias("mrr"),
     )
 
 
+def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """metrics_of_hits for ranked (query, item, rank) against listed gold (query, item)."""
+    return metrics_of_hits(gold.join(ranked, ["query", "item"]).select("query", "rank"), gold.groupBy("query").agg(F.count("*").alias("wanted")), k)
+
+
 def rate_limit(requests: DataFrame, domain: str, ts: str, min_gap_s: int = 30, hourly: int = 1000) -> DataFrame:
-    """Whether each request keeps the gap to the domain's last one and the number of the past hour."""
-    at = F.unix_timestamp(ts)
-    by = W.partitionBy(domain).orderBy("__at")
-    out = requests.withColumn("__at", at)
-    out = out.withColumn("since_last", F.col("__at") - F.lag("__at").over(W.partitionBy(domain).orderBy("__at", *[c for c in requests.columns if c.endswith("_id")])))
-    out = out.withColumn("past_hour", F.count("*").over(by.rangeBetween(-3600, 0)))
-    return out.withColumn("allowed", (F.coalesce("since_last", F.lit(min_gap_s)) >= min_gap_s) & (F.col("past_hour") <= hourly)).drop("__at")
+    """Whether each request keeps the gap to the domain's last one and the number of the past hour.
+
+    A busy domain is dealt by the hour: a row counts among those of its own hour and of the one before, and the first of an
+    hour finds its predecessor in a small table of each hour's last request.
+    """
+    ids = [c for c in requests.columns if c.endswith("_id")]
+    at = requests.withColumn("__at", F.unix_timestamp(ts)).withColumn("__h", F.floor(F.col("__at") / 3600))
+    ends = at.groupBy(domain, "__h").agg(F.max("__at").alias("__end"))
+    ends = ends.select(F.col(domain).alias("__d"), F.col("__h").alias("__b"), F.lag("__end").over(W.partitionBy(domain).orderBy("__h")).alias("__before"))
+    dealt = at.withColumn("__b", F.explode(F.array("__h", F.col("__h") + 1)))
+    by = W.partitionBy(domain, "__b").orderBy("__at")
+    dealt = dealt.withColumns({"past_hour": F.count("*").over(by.rangeBetween(-3600, 0)), "__last": F.lag("__at").over(W.partitionBy(domain, "__b").orderBy("__at", *ids))})
+    own = dealt.where(F.col("__b") == F.col("__h"))
+    out = own.join(ends.withColumnRenamed("__b", "__hour"), (F.col(domain).eqNullSafe(F.col("__d"))) & (F.col("__h") == F.col("__hour")), "left")
+    out = out.withColumn("since_last", F.col("__at") - F.coalesce("__last", "__before"))
+    out = out.withColumn("allowed", (F.coalesce("since_last", F.lit(min_gap_s)) >= min_gap_s) & (F.col("past_hour") <= hourly))
+    return out.select(*requests.columns, "since_last", "past_hour", "allowed")
 
 
 def gap_groups(gaps: DataFrame, key: str, seq: str) -> DataFrame:
-    """Gaps merged by key: the first by order stands for all, whose requirements are listed."""
-    return gaps.groupBy(key).agg(F.min(seq).alias("first_seq"), F.count("*").alias("gaps"), F.array_join(F.array_sort(F.collect_set(F.col(seq).cast("string"))), ",").alias("requirement_refs"))
+    """Gaps merged by key: the first by order stands for all. What each group refers to is gap_members."""
+    return gaps.groupBy(key).agg(F.min(seq).alias("first_seq"), F.count("*").alias("gaps"))
 
 
+def gap_members(gaps: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, seq, first_seq): the requirements of each merged gap, one a row, however many there are."""
+    return gaps.select(key, seq).distinct().join(gap_groups(gaps, key, seq).select(key, "first_seq"), key)
 
 
 def stage_plan(actions: DataFrame) -> DataFrame:
-    """Actions by stage: how many, whether all are done, and their ids in order."""
+    """Actions by stage: how many and whether all are done."""
     done = F.col("status").isin("ready", "completed")
-    return actions.groupBy("stage").agg(F.count("*").alias("n"), F.bool_and(done).alias("ready"), F.sort_array(F.collect_list("action_id")).alias("actions"))
+    return actions.groupBy("stage").agg(F.count("*").alias("n"), F.bool_and(done).alias("ready"))
+
+
+def staged_actions(actions: DataFrame) -> DataFrame:
+    """Actions with whether their whole stage is done; page by (stage, action_id) to list a stage in order."""
+    return actions.join(stage_plan(actions).select("stage", "ready"), "stage")

@@ -18,11 +18,17 @@ def ready(chunks: DataFrame) -> bool:
 
 
 def keyword_search(chunks: DataFrame, query: str, k: int, body: str = "text", key: str = "chunk_id") -> DataFrame:
-    """The k best visible chunks by keyword score; all are scored, ties go to the smaller key."""
-    tokens = text.tokenise(F.lit(query))
+    """The k best visible chunks by keyword score; all are scored, ties go to the smaller key.
+
+    The query's tokens are constants, so that each text is normalised once; chunks without a hit go after the cut, where
+    no filter can be pushed below the columns that it needs.
+    """
+    tokens = chunks.sparkSession.range(1).select(text.tokenise(F.lit(query))).first()[0]
     norm = chunks.select(key, text.normalise_keyword(F.col(body)).alias("__s"))
-    placed = norm.select(key, F.length("__s").alias("__n"), values.keyword_places(tokens, F.col("__s")).alias("__p"))
-    return placed.select(key, F.round(values.keyword_score(F.col("__p"), F.col("__n")), 9).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    places = F.array(*[F.position(F.lit(w), F.col("__s")) for w in tokens]).cast("array<int>")
+    placed = norm.select(key, F.length("__s").alias("__n"), places.alias("__p"))
+    best = placed.select(key, F.round(values.keyword_score(F.col("__p"), F.col("__n")), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return best.where("score > 0")
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

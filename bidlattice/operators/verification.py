@@ -51,14 +51,21 @@ def gate_merge(matrix: DataFrame, run: str = "run_id", position: str = "position
     return matrix.join(stop, run, "left").withColumn("gate_executed", F.col("__stop").isNull() | (F.col(position) <= F.col("__stop"))).drop("__stop")
 
 
-def queues(matrix: DataFrame, limit: int = 500) -> DataFrame:
-    """Open rows of the admission scope by queue, hard failures first, at most so many shown a queue."""
+def queues(matrix: DataFrame, limit: int | None = None) -> DataFrame:
+    """Open rows of the admission scope by queue, hard failures first, with their place in it.
+
+    With a limit a queue shows so many rows; `hidden` says how many more it has.
+    """
     m = F.col("match_result")
     queue = F.when(m == "not_satisfied", "blocked").when(m == "unverifiable", "pending").when(m.isin("manual_review", "not_calculable"), "review")
+    rows = matrix.where((F.col("decision_scope") == "admission") & (F.col("req_type") != "action_requirement")).withColumn("queue", queue).where("queue is not null")
     from .relational import top_per_group
 
-    rows = matrix.where((F.col("decision_scope") == "admission") & (F.col("req_type") != "action_requirement")).withColumn("queue", queue).where("queue is not null")
-    return top_per_group(rows, ["run_id", "queue"], [F.col("position"), F.col("requirement_id")], limit)
+    shown = top_per_group(rows, ["run_id", "queue"], [F.col("position"), F.col("requirement_id")], limit or (1 << 31) - 1)
+    if limit is None:
+        return shown.withColumn("hidden", F.lit(0).cast("long"))
+    sizes = rows.groupBy("run_id", "queue").agg(F.greatest(F.lit(0), F.count("*") - limit).alias("hidden"))
+    return shown.join(sizes, ["run_id", "queue"])
 
 
 def filled(fields: DataFrame, proposals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,10 +97,16 @@ def prescreen(projects: DataFrame, materials: DataFrame, admissions: DataFrame)
 
 
 def linked_by_prefix(rows: DataFrame, names: DataFrame, key: str, title: str, name: str, size: int = 8) -> DataFrame:
-    """Each row with the shortest name that starts with the first characters of its title; equality on those
-    characters makes it a plain join."""
-    heads = names.select(F.left(name, F.lit(size)).alias("__h"), F.col(name).alias("linked"))
-    best = heads.groupBy("__h").agg(F.min_by("linked", F.struct(F.length("linked"), "linked")).alias("linked"))
+    """Each row with the shortest name that holds the first `size` characters of its title anywhere, as file names do
+    that begin with a number; ties go to the smaller name. null where no name does.
+
+    Names are dealt to all their pieces of that length, so this is a plain join; titles shorter than that meet the pieces of
+    their own length.
+    """
+    heads = rows.select(F.left(title, F.lit(size)).alias("__h")).where(F.col("__h") != "").distinct()
+    spans = names.select(F.col(name).alias("linked")).where(F.col(name) != "").distinct().select("linked", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.length("linked")))).alias("__n"))
+    spans = spans.select("linked", F.explode(F.transform(F.sequence(F.lit(1), F.length("linked") - F.col("__n") + 1), lambda i: F.substr("linked", i, F.col("__n")))).alias("__h"))
+    best = spans.join(heads, "__h", "left_semi").groupBy("__h").agg(F.min_by("linked", F.struct(F.length("linked"), "linked")).alias("linked"))
     return rows.withColumn("__h", F.left(title, F.lit(size))).join(best, "__h", "left").drop("__h")
 
 
@@ -106,3 +119,32 @@ def profile(records: DataFrame, bucket: Column, today: Column) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("verified_at").isNotNull()).alias("verified"), F.count_if(expires_soon(end, today)).alias("expiring"),
         F.count_if(end < today).alias("expired"), F.bround(F.try_divide(F.count_if(F.size("refs") > 0), F.count("*")), 3).alias("evidence_ratio"),
     )
+
+
+def performance_profile(records: DataFrame, today: Column, years: int = 5, top: int = 8) -> DataFrame:
+    """One row: all performances, those completed within so many years, their sum of contracts, and the most frequent
+    types with their counts. records (project_type, completed_at, contract_amount)."""
+    recent = F.col("completed_at") >= F.add_months(today, -12 * years)
+    types = records.where("project_type is not null").groupBy("project_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project_type").limit(top)
+    listed = types.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "project_type", "n"))), lambda x: F.concat_ws(":", x["project_type"], x["n"])), ",").alias("top_types"))
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(recent).alias("recent"), F.sum(F.when(recent, F.col("contract_amount"))).alias("recent_amount"), F.sum("contract_amount").alias("amount"),
+    ).crossJoin(listed)
+
+
+def manager_profile(records: DataFrame, today: Column) -> DataFrame:
+    """One row: managers, those free, those with a second certificate, and conflicts between what a row says of them:
+    free but with active projects, or active with an expired certificate. records (availability, active_n, b_cert, cert_valid_until)."""
+    free, busy = F.col("availability") == "free", F.coalesce("active_n", F.lit(0)) > 0
+    over = F.coalesce(F.col("cert_valid_until") < today, F.lit(False))
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(free).alias("free"), F.count_if(F.coalesce("b_cert", F.lit("")) != "").alias("with_b_cert"),
+        F.count_if(free & busy).alias("free_but_busy"), F.count_if(busy & over).alias("busy_but_expired"),
+    )
+
+
+def evidence_profile(records: DataFrame, limit: float = 0.9) -> DataFrame:
+    """By kind: files, those whose recognised text is below the limit, and those without a confidence."""
+    return records.groupBy("kind").agg(
+        F.count("*").alias("total"), F.count_if(F.col("ocr_confidence") < limit).alias("low_confidence"), F.count_if(F.col("ocr_confidence").isNull()).alias("unread"), F.round(F.avg("ocr_confidence"), 6).alias("mean_confidence"),
+    )

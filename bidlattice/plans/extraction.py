@@ -10,12 +10,10 @@ from ..sources import readers
 from .registry import Tables, query
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', '', 'g'), '[\s]+', ' ', 'g'))) AS text_md5
- FROM (SELECT page_id, regexp_replace(html, '&[#A-Za-z0-9]*;?', '', 'g') AS html FROM pages)""")
+@query()
 def a4_html_to_text(t: Tables) -> DataFrame:
-    """References are taken out first, so that SQL, which cannot decode them, can follow."""
-    p = t.pages.select("page_id", F.regexp_replace("html", "&[#A-Za-z0-9]*;?", "").alias("html"))
-    return p.select("page_id", F.md5(ex.html_to_text(F.col("html"))).alias("text_md5"))
+    """Whole pages; SQL can't decode character references, so a test holds it against plain Python."""
+    return t.pages.select("page_id", F.md5(ex.html_to_text(F.col("html"))).alias("text_md5"))
 
 
 @query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS pos FROM pages),
@@ -85,8 +83,7 @@ def o7_pages_within_budget(t: Tables) -> DataFrame:
     return ex.pages_within_budget(pages, ["the", "and", "ing", "tion"], 1000).select("doc_id", "page_no", "score", "used")
 
 
-@query("""WITH b AS (SELECT item_id, left(text, 60) AS quote FROM benchmark) SELECT d.doc_id, item_id FROM documents d JOIN b ON contains(d.text, quote)""")
+@query("""SELECT d.doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def d12_j7_passage_links(t: Tables) -> DataFrame:
-    """Documents that hold the first 60 characters of a benchmark passage; the passages are few and bounded in length."""
-    b = t.benchmark.select("item_id", F.left("text", F.lit(60)).alias("quote"))
-    return t.documents.join(F.broadcast(b), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    """Documents that hold a whole benchmark passage."""
+    return ex.passage_links(t.documents, t.benchmark)

@@ -124,17 +124,18 @@ def p5_backfill_latest(t: Tables) -> DataFrame:
     return lc.backfill(v, "candidate_id", "version", F.concat(F.lit("new-"), F.col("l_linestatus")), "summary").select("candidate_id", "version", "summary")
 
 
-@query("""SELECT event_id AS project_id, max(ts::DATE) AS bid_deadline FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
+@query("""SELECT o_orderkey AS project_id, o_orderdate::DATE AS bid_deadline FROM orders ANTI JOIN (SELECT event_id AS o_orderkey FROM events) USING (o_orderkey)""")
 def p7_restored_projects(t: Tables) -> DataFrame:
-    refs = t.events.select(F.col("event_id").alias("project_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("deadline"))
-    return lc.restored_projects(refs, t.orders.select(F.col("o_orderkey").alias("project_id")))
+    refs = t.orders.select(F.col("o_orderkey").alias("project_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("deadline"))
+    return lc.restored_projects(refs, t.events.select(F.col("event_id").alias("project_id")))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, 1 AS rev FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT o_orderkey AS id, 'N' AS status, 2 AS rev FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, 1 AS rev FROM orders), i AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS id, 'N' AS status, 2 AS rev FROM orders)
  SELECT * FROM s WHERE NOT (status = 'P' AND id IN (SELECT id FROM i)) UNION ALL SELECT * FROM i WHERE id NOT IN (SELECT id FROM s WHERE NOT (status = 'P' AND id IN (SELECT id FROM i)))""")
 def b1_upsert_new_rows(t: Tables) -> DataFrame:
-    s = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("rev"))
-    i = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("status"), F.lit(2).alias("rev"))
+    k = F.col("o_orderkey")
+    s = t.orders.select(k.alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("rev"))
+    i = t.orders.select(F.when(k % 3 == 0, k).otherwise(-1 - k).alias("id"), F.lit("N").alias("status"), F.lit(2).alias("rev"))
     return rel.upsert_new(s, i, ["id"], F.col("status") == "P")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, values
+from ..operators import relational as rel
 from .registry import Tables, query
 
 
@@ -16,16 +17,15 @@ def i1_i11_i12_normalise_and_tokenise(t: Tables) -> DataFrame:
     return d.select("doc_id", F.md5(text.normalise_name(F.col("text"))).alias("name_md5"), F.size(text.tokenise(F.col("text"))).alias("tokens"), text.text_width(F.col("text")).alias("width"))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_brand, p_type, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS s FROM part),
- g AS (SELECT p_partkey, substr(s, i::INT, 2) AS gram, count(*) AS c FROM n, generate_series(1, length(s) - 1) AS x(i) GROUP BY 1, 2), t AS (SELECT p_partkey, sum(c) AS total FROM g GROUP BY 1),
- pairs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.s = b.s AS same FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
- o AS (SELECT a, b, sum(least(x.c, y.c)) AS shared FROM pairs JOIN g x ON x.p_partkey = a JOIN g y ON y.p_partkey = b AND x.gram = y.gram GROUP BY 1, 2)
- SELECT a, b, CASE WHEN same THEN 1.0 ELSE round(2.0 * coalesce(shared, 0) / (ta.total + tb.total), 4)::DOUBLE END AS dice FROM pairs LEFT JOIN o USING (a, b) JOIN t ta ON ta.p_partkey = a JOIN t tb ON tb.p_partkey = b""")
+@query("""WITH n AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS s FROM part), c AS (SELECT p_brand, s, min(p_partkey) AS class_id FROM n GROUP BY 1, 2),
+ g AS (SELECT p_brand, class_id, substr(s, i::INT, 2) AS gram, count(*) AS k FROM c, generate_series(1, length(s) - 1) AS x(i) GROUP BY ALL), t AS (SELECT class_id, sum(k) AS total FROM g GROUP BY 1),
+ o AS (SELECT x.class_id AS a, y.class_id AS b, sum(least(x.k, y.k)) AS shared FROM g x JOIN g y ON x.p_brand = y.p_brand AND x.gram = y.gram AND x.class_id <> y.class_id GROUP BY 1, 2),
+ l AS (SELECT a AS class_id, count(*) AS links, max(round(2.0 * shared / (ta.total + tb.total), 4)::DOUBLE) AS best FROM o JOIN t ta ON ta.class_id = a JOIN t tb ON tb.class_id = b WHERE 2 * shared >= 0.6 * (ta.total + tb.total) GROUP BY 1)
+ SELECT p_partkey, class_id, coalesce(links, 0) AS links, best FROM n JOIN c USING (p_brand, s) LEFT JOIN l USING (class_id)""")
 def i8_dice_similarity_pairs(t: Tables) -> DataFrame:
-    """Pairs within a block of equal brand and type."""
-    n = t.part.select("p_partkey", "p_brand", "p_type", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", "")).alias("s"))
-    a, b = n.select(F.col("p_partkey").alias("a"), "p_brand", "p_type", F.col("s").alias("sa")), n.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", F.col("s").alias("sb"))
-    return a.join(b, ["p_brand", "p_type"]).where("a < b").select("a", "b", text.dice(F.col("sa"), F.col("sb")).alias("dice"))
+    """Part names of a brand that are alike, from a Dice coefficient of 0.6."""
+    n = t.part.select("p_partkey", "p_brand", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", "")).alias("s"))
+    return rel.similar_names(n, "p_partkey", "s", "p_brand", 0.6)
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\b\d{17}[\dXx]\b', '[REDACTED]', 'g'), '\b1[3-9]\d{9}\b', '[REDACTED]', 'g') AS redacted, left(role, 1) || repeat('*', length(role) - 1) AS masked FROM conversations""")

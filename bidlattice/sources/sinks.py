@@ -18,7 +18,8 @@ def store_objects(files: DataFrame, root: str) -> DataFrame:
 
 def new_deliveries(issues: DataFrame, channels: DataFrame, stored: DataFrame) -> DataFrame:
     """One record for each issue and channel that has none; channels are few."""
-    return issues.select("issue_id").join(F.broadcast(channels.select("channel"))).join(stored, ["issue_id", "channel"], "left_anti")
+    every = channels.agg(F.collect_set("channel").alias("__c"))  # one row
+    return issues.select("issue_id").crossJoin(every).select("issue_id", F.explode("__c").alias("channel")).join(stored, ["issue_id", "channel"], "left_anti")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -121,4 +121,5 @@ def test_page_addresses(spark):
 
 def test_region(spark):
     names = spark.createDataFrame([("石家庄市", "石家庄市", 1), ("正定县", "石家庄市", 2), ("唐山", "唐山市", 1)], "name string, region string, rank int")
-    assert one(spark, "正定县道路工程", lambda c: text.region_of(c, names)) == "石家庄市" and one(spark, "某地", lambda c: text.region_of(c, names)) is None
+    rows = spark.createDataFrame([("正定县道路工程",), ("某地",), (None,)], "t string")
+    assert {r.t: r.region for r in text.with_region(rows, "t", names).collect()} == {"正定县道路工程": "石家庄市", "某地": None, None: None}
