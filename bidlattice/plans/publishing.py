@@ -106,10 +106,11 @@ def e6_source_stats(t: Tables) -> DataFrame:
     return rep.source_stats(_runs(t))
 
 
-@query("""WITH i AS (SELECT o_orderkey AS event_id, o_orderdate::DATE AS issue_date FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'late_discovered' WHEN 'click' THEN 'excluded' ELSE 'delivered' END AS delivery_status FROM events)
+@query("""WITH i AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS event_id, o_orderdate::DATE AS issue_date FROM orders), e AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'late_discovered' WHEN 'click' THEN 'excluded' ELSE 'delivered' END AS delivery_status FROM events)
  SELECT event_id, issue_date, delivery_status FROM i JOIN e USING (event_id) UNION ALL SELECT event_id, NULL, delivery_status FROM e WHERE delivery_status <> 'delivered' AND event_id NOT IN (SELECT event_id FROM i)""")
 def d7_n19_lineage(t: Tables) -> DataFrame:
-    items = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("issue_date"))
+    k = F.col("o_orderkey")
+    items = t.orders.select(F.when(k % 3 == 0, k).otherwise(-1 - k).alias("event_id"), F.to_date("o_orderdate").alias("issue_date"))
     state = F.when(F.col("event_type") == "error", "late_discovered").when(F.col("event_type") == "click", "excluded").otherwise("delivered")
     return rep.lineage(items, t.events.select("event_id", "ts", state.alias("delivery_status")), F.lit(True))
 
