@@ -116,12 +116,12 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     general = (
         votes.groupBy("leaf", "p").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("top"))
         .join(size, "leaf")
-        .groupBy("leaf")
+        .groupBy("leaf", "m")
         .agg(F.sort_array(F.collect_list(F.struct("p", F.when(-2 * F.col("top.n") >= F.col("m"), F.col("top.token")).otherwise("<*>").alias("token")))).alias("g"))
-        .select("leaf", F.col("g.token").alias("g"))
+        .select("leaf", "m", F.col("g.token").alias("g"))
     )
     agree = F.aggregate(F.zip_with("t", "g", lambda a, b: (a.eqNullSafe(b) & (b != "<*>")).cast("int")), F.lit(0), lambda s, x: s + x)
-    alike = held.join(general, "leaf").where(agree >= SIMILAR * F.size("t")).select("doc", "doc_id", "pos", "leaf")
+    alike = met(held, general, ["leaf"], "m", total).where(agree >= SIMILAR * F.size("t")).select("doc", "doc_id", "pos", "leaf")
     alike = stash(alike)
     varied = met(alike, _recurring(alike, ["leaf"], min_docs), ["leaf"], "docs", total).where(_NOT_FIRST)
     at = ["doc", "doc_id", "pos"]
