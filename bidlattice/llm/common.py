@@ -129,7 +129,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get(0, ((),))[0]) >= n:
+    if 0 in _powers and len(_powers[0][0]) >= n:
         return _powers[0]
     size = n if n > _KEPT else 1 << max(16, (n - 1).bit_length())  # those for one very long text are not kept
     tables = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE))

@@ -96,9 +96,64 @@ def test_collisions_needed():
     assert miss(need) <= 1e-4 < miss(need + 1)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """A null doc_id is linked with nothing and stays; repeated rows share their result."""
+    d = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(-1, 2, None, True), (-1, 0, None, True), (3, 2, 3, True), (3, 2, 3, True), (7, 2, 3, False)], key=str)
+
+
 # --- 2 ---
 
 
+def test_language_scores_against_plain_python(spark):
+    """Probabilities of a fitted model, n-gram by n-gram, and those of a long text read in parts."""
+    d = docs(spark, ["the cat and the dog " * 3, "über die größe der häuser " * 3] * 60).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    m = langid.train(d)
+    text = "Die Katze and the Häuser"
+    folded, mask = f" {text.lower()} ", (1 << 64) - 1
+    total, n = np.zeros(len(m.languages)), 0
+    for i in range(len(folded)):
+        rolled = 0
+        for k in range(3):
+            if i + k < len(folded):
+                rolled = (rolled + ord(folded[i + k])) * int(langid._MIX[k]) & mask
+                bucket = ((rolled ^ (rolled >> 29)) * int(langid._MIX[0]) & mask) >> (64 - langid.BITS)
+                total += m.weights[:, bucket] * m.idf[bucket]
+            n += 1
+    z = (100 * total / n + m.bias) / m.temperature
+    want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert np.abs(langid.probabilities(m, [text])[0] - want).max() < 1e-9
+    long = "the größe of a cat " * 60_000
+    assert np.abs(langid.probabilities(m, [long]) - langid.probabilities(m, [long, ""])[:1]).max() < 1e-9
+
+
+def test_ftrl_against_plain_python():
+    """Weights after single steps, coordinate by coordinate."""
+    rng = np.random.default_rng(1)
+    bags = [(int(rng.integers(2)), np.array(sorted(set(rng.integers(1, 9, 3).tolist()))), None) for _ in range(20)]
+    bags = [(y, x, rng.random(len(x))) for y, x, _ in bags]
+    w, bias = langid.fit_ftrl(bags, 2, epochs=2)
+    z, n, b, bn = Counter(), Counter(), [0.0, 0.0], [1.0, 1.0]
+    solve = lambda k: 0.0 if abs(z[k]) <= 1e-5 else -(z[k] - math.copysign(1e-5, z[k])) / ((1 + math.sqrt(n[k])) / 0.5 + 1e-4)
+    order = np.random.Generator(np.random.PCG64(11))
+    for _ in range(2):
+        for i in order.permutation(20).tolist():
+            y, x, v = bags[i]
+            old = {(c, j): solve((c, j)) for c in (0, 1) for j in x.tolist()}
+            s = [sum(old[c, j] * q for j, q in zip(x.tolist(), v, strict=True)) + b[c] for c in (0, 1)]
+            e = [math.exp(a - max(s)) for a in s]
+            for c in (0, 1):
+                g = e[c] / sum(e) - (c == y)
+                bn[c] += g * g
+                b[c] -= 0.1 * g / math.sqrt(bn[c])
+                for j, q in zip(x.tolist(), v, strict=True):
+                    step = g * q
+                    z[c, j] += step - (math.sqrt(n[c, j] + step * step) - math.sqrt(n[c, j])) / 0.5 * old[c, j]
+                    n[c, j] += step * step
+    assert all(abs(w[c, j] - solve((c, j))) < 1e-9 for c in (0, 1) for j in range(1, 9)) and np.abs(bias - b).max() < 1e-9
+
+
 def test_language_is_learned_and_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -162,6 +217,32 @@ def test_raw_elements(page, want):
     assert [b.text for b in htmltext.leaf_blocks(page)] == want
 
 
+def test_viterbi_against_enumeration(field):
+    """The best of all label sequences, for short pages."""
+    from itertools import product
+
+    for page, _ in htmltext.sample_pages(40, seed=5):
+        f = htmltext.block_features(htmltext.leaf_blocks(page)[:9])
+        s = htmltext._scores(field.weights, f)
+        of = lambda ys: sum(v if y else -v for v, y in zip(s, ys, strict=True)) + sum(field.steps[a][b] for a, b in zip(ys[:-1], ys[1:], strict=True))  # noqa: E731, B023
+        assert abs(of(htmltext.viterbi(field, f)) - max(map(of, product((0, 1), repeat=len(f))))) < 1e-9
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a x="', "<div>", "<div>a", "<svg>", "</p>", "<li class=b>c", "<!--", "<x y='\""])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_malformed_pages_take_linear_time(part, end):
+    import time
+
+    page, begin = part * ((1 << 20) // len(part)) + end, time.process_time()
+    htmltext.block_features(htmltext.leaf_blocks(page))
+    assert time.process_time() - begin < 10
+
+
+def test_text_of_formulas_and_objects_stays():
+    page = "<p>let <math><mi>x</mi></math> be <object data=y><p>shown instead</p></object> &amp; <a href='>'>so</a> on</p><p>1 < 2<br>3</p>"
+    assert " ".join(b.text for b in htmltext.leaf_blocks(page)) == "let x be shown instead & so on 1 < 2 3"
+
+
 def test_pages(spark, field):
     d = spark.createDataFrame([(1, None, None, "c"), (2, "u", "", "c"), (2, "u", "<article><p>Hallo du da</p></article>" * 2000, "c")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in htmltext.extract_main_text(d, field).collect())
@@ -204,6 +285,15 @@ def test_nearest_ties_and_bad_vectors(spark):
     assert [(r.vec_id, r["rank"]) for r in few] == [(1, 1)]
 
 
+def test_nearest_doubles_scaled_copies_and_clashes(spark):
+    """Double vectors, directions that tie, repeated rows and clashing names."""
+    rows = [(i, [float(i % 7 + 1), 0.0]) for i in range(60)] + [(100, [1e-300, 1e-300]), (101, [0.0, -1.0]), (101, [0.0, -1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("id", "asked", "n", "curve")})
+    got = hilbert.nearest(d, F.col("vec_id") % 50 == 0).collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50, 100)}
+    assert by == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
+
+
 # --- 5 ---
 
 
@@ -224,8 +314,10 @@ def test_line_dedup_general_form(spark):
 
 
 def test_line_dedup_edges(spark, odd):
-    d = docs(spark, odd).withColumn("n_lines", F.lit("x")).withColumn("drop", F.lit("mine")).drop("drop")
-    out = {r.doc_id: r for r in lines.drop_recurring_lines(d.unionByName(d.limit(1)), min_docs=2).collect()}
+    d = docs(spark, odd).withColumn("n_lines", F.lit("x")).withColumns({c: F.lit("mine") for c in ("drop", "doc", "own", "leaf", "first")})
+    rows = lines.drop_recurring_lines(d.unionByName(d.limit(1)), min_docs=2)
+    assert rows.columns == [*[c for c in d.columns if c != "n_lines"], "n_lines", "n_dropped"] and rows.where("doc <> 'mine' or drop <> 'mine' or own <> 'mine'").count() == 0
+    out = {r.doc_id: r for r in rows.collect()}
     assert out[0].text is None and out[0].n_lines == 0 and out[1].n_lines == 1 and out[10].n_lines == 3
     assert all(out[i].text == odd[i] for i in (1, 2, 3, 9, 11))
 
@@ -277,6 +369,29 @@ def test_quality_edges(spark, odd):
     assert all(r.accepted for r in quality.grade_documents(d, quality.train(d, lab.limit(0))).collect())
 
 
+def test_quality_scores_against_plain_python():
+    """Features found word by word, and the probabilities that follow; a long text in parts scores as in one."""
+    import pyarrow as pa
+    from bidlattice.llm import common
+
+    rng = np.random.default_rng(2)
+    m = quality.Model(rng.normal(size=(1 << quality.BITS) + quality.SHAPES).astype(np.float32) / 9, np.array([-1.0, 0.5]))
+    text = "The *cat* sat!! THE Cat"
+    h = lambda b: int(common.span_hashes(common.byte_sums(np.frombuffer(b, np.uint8)), np.array([0]), np.array([len(b)]))[0])
+    want = set()
+    for w in text.lower().split():
+        bare = w.strip("*!").encode()
+        want.add(h(bare) >> (64 - quality.BITS))
+        want |= {(h(bare[:k]) + k) % (1 << 64) >> (64 - quality.BITS) for k in quality.STARTS if len(bare) > k}
+    flat, at = quality.features(pa.array([text, None, ""]))
+    words = [x for x in flat[: at[1]].tolist() if x < 1 << quality.BITS]
+    assert sorted(words) == sorted(want) and all(np.diff(at) > 0)
+    z = m.weights[flat[: at[1]]].sum(dtype=np.float64)
+    assert np.abs(quality.probabilities(m, pa.array([text]))[0] - [1 / (1 + math.exp(t - z)) for t in m.thresholds]).max() < 1e-5
+    long = "good words and some $$$ marks!! " * 60_000
+    assert np.abs(quality.probabilities(m, pa.array([long])) - quality.probabilities(m, pa.array([long, ""]))[:1]).max() < 1e-9
+
+
 def test_thresholds_are_ordered():
     rng = random.Random(0)
     rows = [(g, np.array(sorted({g * 10 + rng.randrange(5), 100 + rng.randrange(50)}))) for g in (0, 1, 2) for _ in range(60)]
@@ -333,6 +448,46 @@ def test_mixing(spark, odd):
     assert [(edges[i].tokens, edges[i].probability, edges[i].sampled) for i in range(3)] == [(0, 0.0, False)] * 3 and edges[8].tokens == 60_000
 
 
+def test_mixing_against_plain_python(spark):
+    """Probabilities and draws from brute-force weights; columns by the names of internal keys pass through."""
+    rng = random.Random(8)
+    texts = ["w " * rng.randint(3, 200) + (" | x" if i % 4 == 0 else "") for i in range(300)] + [None, "", " \n"]
+    d = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en")).withColumns({f"k_{c}": F.lit("mine") for c in mixing.DIMS})
+    got = {r.doc_id: r for r in mixing.mix_sources(d, fraction=0.5).collect()}
+    assert len(got) == len(texts) and all(r.k_source == r.k_lang == r.k_topic == "mine" for r in got.values())
+    cells = Counter()
+    for i, t in enumerate(texts):
+        n = len(brute.WORD.findall(t or ""))
+        assert got[i].tokens == n
+        if n:
+            cells[got[i].source, got[i].lang, got[i].topic] += n
+    targets = []
+    for k, power in enumerate((0.5, 0.7, 0.7)):
+        share = Counter()
+        for key, n in cells.items():
+            share[key[k]] += n
+        x = {v: n**power for v, n in share.items()}
+        targets.append({v: y / sum(x.values()) for v, y in x.items()})
+    w, budget = brute.rake(cells, targets), 0.5 * sum(cells.values())
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * w[c] / n) * n for c, n in cells.items()) < budget else (low, mid)
+    for i in range(300):
+        c = got[i].source, got[i].lang, got[i].topic
+        p = min(1.0, low * w[c] / cells[c])
+        u = int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert abs(got[i].probability - p) < 1e-4 and got[i].sampled == (u < got[i].probability)
+
+
+def test_a_rake_without_solution_says_so(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    df = spark.createDataFrame([("p", "x", 5), ("q", "y", 5)], "a string, b string, tokens long")
+    tables = {"a": spark.createDataFrame([("p", 0.9), ("q", 0.1)], "a string, target double"), "b": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "b string, target double")}
+    with pytest.warns(UserWarning, match="not settled"):
+        assert mixing.rake(df, tables).count() == 2
+
+
 def test_probability_is_at_most_one(spark):
     out = mixing.mix_sources(docs(spark, ["a b c"] * 9 + ["d e f " * 500]), fraction=1.0).collect()
     assert all(r.probability == 1.0 and r.sampled for r in out)
@@ -363,6 +518,12 @@ def test_misra_gries_keeps_every_frequent_digest():
     assert "h" in held
 
 
+def test_exact_duplicates_of_repeated_rows_and_null_ids(spark):
+    d = spark.createDataFrame([(4, "a b"), (4, "a b"), (None, "ab"), (9, "a  b")], "doc_id long, text string").withColumn("size", F.lit("mine"))
+    got = sorted(((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(d).collect()), key=str)
+    assert got == sorted([(4, 9, 4, False), (4, 9, 4, False), (-1, 9, 4, False), (9, 9, 4, True)], key=str)
+
+
 # --- 10 ---
 
 

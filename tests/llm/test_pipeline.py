@@ -54,3 +54,41 @@ def test_run_on_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Null, empty, long, repeated and clashing input: no stage fails, clean rows come through, and columns stay."""
+    texts = [None, "", " \n", "word", " ".join(f"w{i % 977}" for i in range(60_000)), "a b c d e f g", "a b c d e f g"]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, "no id", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("mine") for c in ("doc", "drop", "k_source", "rep", "rank")})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        out = common.stash(stage(spark, docs, str(tmp_path)))
+        assert out.columns == docs.columns and out.where("doc <> 'mine' or drop <> 'mine' or k_source <> 'mine'").count() == 0, name
+        if name == "quality classifier":
+            assert out.count() == docs.count()
+        if name == "MinHash near-dedup":
+            assert out.where("doc_id = 6").count() == 0 and out.where("doc_id = 5 or doc_id is null").count() == 2
+        docs = out
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).where("n_pieces < 0").count() == 0
+
+
+def test_quality_stage_keeps_what_the_model_accepts(spark):
+    """The stage against probabilities worked out on the driver."""
+    import pyarrow as pa
+    from bidlattice.llm import quality
+
+    docs, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, lab)
+    rows = docs.collect()
+    p = quality.probabilities(model, pa.array([r.text for r in rows]))[:, 1]
+    assert {r.doc_id for r in cp.quality_classifier(spark, docs, SF).collect()} == {r.doc_id for r, x in zip(rows, p, strict=True) if x >= 0.5}
+
+
+def test_mixing_stage_keeps_what_is_drawn(spark):
+    from bidlattice.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id for r in mixing.mix_sources(docs).collect() if r.probability > 0 and int(__import__("hashlib").md5(f"{r.doc_id}:17".encode()).hexdigest()[:13], 16) / (1 << 52) < r.probability}
+    assert {r.doc_id for r in cp.source_mixing(spark, docs, SF).collect()} == want
