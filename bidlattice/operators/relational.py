@@ -111,23 +111,24 @@ def similar_names(df: DataFrame, key: str, name: str, block: str, least: float)
     """
     from ..functions import text
 
-    classes = df.groupBy(block, name).agg(F.min(key).alias("class_id"))
-    sets = classes.where(F.col(name) != "").select(block, "class_id", text.bigram_items(F.col(name)).alias("items"))
-    posted = sets.select(block, "class_id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    often = posted.groupBy(block, "item").agg(F.count("*").alias("n"))
-    ranked = posted.join(often, [block, "item"]).groupBy(block, "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o"))
+    rows = df.select(F.col(block).alias("block"), F.col(name).alias("name"), F.col(key).alias("key"))
+    classes = rows.groupBy("block", "name").agg(F.min("key").alias("class_id"))
+    sets = classes.where("name <> ''").select("block", "class_id", text.bigram_items(F.col("name")).alias("items"))
+    posted = sets.select("block", "class_id", F.size("items").alias("size"), F.explode("items").alias("item"))
+    often = posted.groupBy("block", "item").agg(F.count("*").alias("n"))
+    ranked = posted.join(often, ["block", "item"]).groupBy("block", "class_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o"))
     needed = F.ceil(F.lit(least) * F.col("size") / F.lit(2 - least) - 1e-9).cast("int")
-    heads = ranked.select(block, "class_id", "size", F.explode(F.slice("o", F.lit(1), F.col("size") - needed + 1)).alias("h")).select(block, "class_id", "size", "h.item")
-    other = heads.select(block, "item", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
+    heads = ranked.select("block", "class_id", "size", F.explode(F.slice("o", F.lit(1), F.col("size") - needed + 1)).alias("h")).select("block", "class_id", "size", "h.item")
+    other = heads.select("block", "item", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
     near = 2.0 * F.least("size", "size_b") >= F.lit(least) * (F.col("size") + F.col("size_b"))
-    pairs = heads.join(other, [block, "item"]).where(F.col("class_id") < F.col("b")).where(near).select(F.col("class_id").alias("a"), "b").distinct()
+    pairs = heads.join(other, ["block", "item"]).where(F.col("class_id") < F.col("b")).where(near).select(F.col("class_id").alias("a"), "b").distinct()
     pairs = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
     pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
     links = pairs.where(2.0 * F.col("both") >= F.lit(least) * F.col("all")).withColumn("dice", F.round(2.0 * F.col("both") / F.col("all"), 4))
     ends = links.select(F.col("a").alias("class_id"), "dice").unionByName(links.select(F.col("b").alias("class_id"), "dice"))
     found = classes.join(ends.groupBy("class_id").agg(F.count("*").alias("links"), F.max("dice").alias("best")), "class_id", "left")
-    found = found.select(F.col(block).alias("__b"), F.col(name).alias("__n"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best")
-    return df.join(found, F.col(block).eqNullSafe(F.col("__b")) & F.col(name).eqNullSafe(F.col("__n"))).select(key, "class_id", "links", "best")
+    found = found.select(F.col("block").alias("b"), F.col("name").alias("n"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best")
+    return rows.join(found, F.col("block").eqNullSafe(F.col("b")) & F.col("name").eqNullSafe(F.col("n"))).select(F.col("key").alias(key), "class_id", "links", "best")
 
 
 def region_coverage(source: Column, wanted: Column, country: str = "全国") -> Column:

@@ -251,3 +251,46 @@ def test_leak_guard_and_equality(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (1,)], "k int")
     assert rel.same_rows(a, b) and not rel.same_rows(a, b.limit(1))
     assert [r.k for r in rel.leaked(a, b.where("k = 1"), "k").collect()] == [2]
+
+
+def test_html_to_text_against_plain_python(spark):
+    """References are decoded after tags are gone; the registered query runs over whole pages."""
+    import html
+    import re
+
+    from bidlattice.operators import extraction as ex
+
+    pages = ["<p>R&amp;D &lt;b&gt; &#20013;&nbsp;x</p><script>no&amp;</script>y", "AT&T <br> a&b;", "", None, "<style>p</style>&copy; 2026<div>z</div>"]
+
+    def plain(p):
+        s = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ", p or "")
+        s = re.sub(r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>", "\n", s)
+        return re.sub(r"[\s\u3000\xa0]+", " ", html.unescape(re.sub(r"<[^>]+>", "", s))).strip()
+
+    d = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    assert {r.id: r.t for r in d.select("id", ex.html_to_text(F.col("html")).alias("t")).collect()} == dict(enumerate(map(plain, pages)))
+
+
+def test_passage_links_of_short_and_cut_passages(spark):
+    """Passages of any number of words, inside longer words, and none for empty ones."""
+    from bidlattice.operators import extraction as ex
+
+    docs = spark.createDataFrame([(1, "xone two three four five sixy end"), (2, "one  two three"), (3, None), (4, "")], "doc_id int, text string")
+    wanted = ["one two three four five six", "two three", "one", "", None, "one two three", "four five end"]
+    got = {(r.doc_id, r.item_id) for r in ex.passage_links(docs, spark.createDataFrame(list(enumerate(wanted)), "item_id int, text string")).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (1, 5), (2, 1), (2, 2)}
+
+
+def test_similar_names_of_copies_and_blanks(spark):
+    from bidlattice.operators import relational as rel
+
+    rows = [(1, "x", "abcdef"), (2, "x", "abcdef"), (3, "x", "abcdeg"), (4, "y", "abcdef"), (5, "x", ""), (6, "x", None), (7, None, "abcdef"), (8, "x", "a")]
+    got = {r.k: (r.class_id, r.links, r.best) for r in rel.similar_names(spark.createDataFrame(rows, "k int, b string, n string"), "k", "n", "b", 0.8).collect()}
+    assert got == {1: (1, 1, 0.8), 2: (1, 1, 0.8), 3: (3, 1, 0.8), 4: (4, 0, None), 5: (5, 0, None), 6: (6, 0, None), 7: (7, 0, None), 8: (8, 0, None)}
+
+
+def test_queue_with_a_limit_counts_the_hidden(spark):
+    from bidlattice.operators import verification as vf
+
+    m = spark.createDataFrame([("r", f"q{i}", i, "hard_requirement", "admission", "not_satisfied") for i in range(5)], "run_id string, requirement_id string, position int, req_type string, decision_scope string, match_result string")
+    assert [(r.place, r.hidden) for r in vf.queues(m, 2).orderBy("place").collect()] == [(1, 3), (2, 3)] and vf.queues(m).count() == 5
