@@ -44,8 +44,8 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece_sampling),
 ]
 
-#: The classifier, the components and the sampled segmentations are beyond SQL; the tests hold each stage against a
-#: brute-force version.
+#: The classifier, the components and the sampled segmentations are beyond SQL. The tests hold the classifier, near-dedup
+#: and mixing stages against plain versions, encoding against an exact round trip, and line dedup against small cases.
 ORACLE_SQL = None
 
 
