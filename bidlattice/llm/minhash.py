@@ -10,8 +10,10 @@
 4. Links that reach `need` make cells (connected components); each class sends its full set to its cell once, where
    links are confirmed on full sets. Confirmed links make the components of the result.
 
-Long posting lists and large cells are cut into blocks; every pair of blocks is a group of its own, so no task gets a
-whole hot group, and a group returns at most a spanning forest of its links, never all pairs.
+Long posting lists and large cells are cut into blocks, so no task gets a whole hot group, and a group returns at most a
+spanning forest of its links, never all pairs. First each block is linked on its own, together with a few pivots that
+stand in every block of their key. Rows that this leaves in the largest component of their key need not meet each other
+any more; only the others visit all blocks. A group of m near-copies so costs about 2 m rows, however large it is.
 
 `need` follows from the threshold: the largest count that a pair at the threshold misses with probability `miss` or less.
 Nulls, empty texts and texts of white space only have an empty set: n_shingles 0, linked with nothing.
@@ -24,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components
@@ -33,6 +36,8 @@ from .components import connected_components
 COORDINATES = 32
 #: Rows of a posting list, and shingles or rows of a cell, in one block.
 LIST_BLOCK, CELL_SHINGLES, CELL_ROWS = 1024, 1 << 20, 1024
+#: Rows of a key, about so many, that stand in each of its blocks.
+PIVOTS = 8
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
 
@@ -100,6 +105,19 @@ def _forest(rows: int, near) -> list[tuple[int, int]]:
     return links
 
 
+def _bridges(part: np.ndarray, guest: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links of guests with rows of other parts: as many as join the same parts as all these links do."""
+    part, homes, links = part.copy(), np.flatnonzero(~guest), []
+    for x in np.flatnonzero(guest).tolist():
+        rest = homes[part[homes] != part[x]]
+        if len(rest):
+            hit = rest[near(x, rest)]
+            joined, first = np.unique(part[hit], return_index=True)
+            links += [(x, y) for y in hit[first].tolist()]
+            part[np.isin(part, joined)] = part[x]
+    return links
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of whole groups out of batches that are sorted by key; a group may span batches."""
     held: list[pa.RecordBatch] = []
@@ -125,7 +143,8 @@ def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _list_links(coordinates: int, need: int):
-    """Links of `need` equal coordinates in each posting list; a list comes as rows of one `grp`."""
+    """Links of `need` equal coordinates in each posting list; a list, or a block of one, comes as rows of one `grp`.
+    Where rows have a part, guests are compared with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "grp"):
@@ -135,6 +154,15 @@ def _list_links(coordinates: int, need: int):
             cut = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
             size = np.repeat(np.diff(cut), np.diff(cut))
             a, b = [], []
+            if "part" in table.column_names:
+                part, guest = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("part", "guest"))
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    s = sig[lo:hi]
+                    for x, y in _bridges(part[lo:hi], guest[lo:hi], lambda x, rest, s=s: (s[rest] == s[x]).sum(axis=1) >= need):
+                        a.append(int(ids[lo + x]))
+                        b.append(int(ids[lo + y]))
+                yield _edges(a, b)
+                continue
             small = np.flatnonzero(size <= 8)  # all lists of up to 8 rows at once
             for d in range(1, 8):
                 x = small[small + d < len(grp)]
@@ -153,7 +181,8 @@ def _list_links(coordinates: int, need: int):
 
 
 def _cell_links(percent: int):
-    """Links with 100 * intersection >= percent * union, on the full sets of each cell or pair of its blocks."""
+    """Links with 100 * intersection >= percent * union, on the full sets of each cell or of a block of it. Where rows have
+    a part, guests are compared with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "grp"):
@@ -190,7 +219,12 @@ def _cell_links(percent: int):
                     return hit
 
                 own = ids[lo:hi]
-                for x, y in _forest(hi - lo, near):
+                if "part" in table.column_names:
+                    part, guest = (table.column(c).chunk(0).to_numpy(zero_copy_only=False)[lo:hi] for c in ("part", "guest"))
+                    links = _bridges(part, guest, near)
+                else:
+                    links = _forest(hi - lo, near)
+                for x, y in links:
                     a.append(int(own[x]))
                     b.append(int(own[y]))
             yield _edges(a, b)
@@ -202,25 +236,61 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.text_slices(whole):
-                sets = common.shingles(batch.column("text"), width)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), batch.column("cell"), batch.column("blocks"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["rep", "cell", "blocks", "shingles"],
-                )
+                sets = pa.array([s.tobytes() for s in common.shingles(batch.column("text"), width)], pa.binary())
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], names=[*kept, "shingles"])
 
     return run
 
 
-def _paired(rows: DataFrame, key: str, own: str, blocks: str) -> DataFrame:
-    """Deal the rows of a key to the pairs of its blocks: each row meets every other of its key in some group."""
-    n, mine = F.col(blocks), F.pmod(F.xxhash64(F.lit(11), own), F.col(blocks)).cast("int")
-    met = F.when(n == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), (n - 1).cast("int")),
-            lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")),
-        )
-    )
-    return rows.withColumn("met", F.explode(met)).withColumn("grp", F.xxhash64(key, "met.i", "met.j")).drop("met")
+def _block(blocks: str, salt: int) -> Column:
+    """The block, of so many, that a row of a key is in."""
+    return F.pmod(F.xxhash64(F.lit(salt), "key", "rep"), F.col(blocks))
+
+
+def _all(blocks: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+
+
+def _first_groups(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a key to its blocks: each to its own, pivots to all."""
+    pivot = F.pmod(F.xxhash64(F.lit(13), "key", "rep"), F.ceil(F.col("m") / PIVOTS)) == 0
+    at = F.when((F.col("blocks") > 1) & pivot, _all("blocks")).otherwise(F.array(_block("blocks", 11)))
+    return rows.withColumn("i", F.explode(at)).withColumn("grp", F.xxhash64("key", "i"))
+
+
+def _second_groups(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a key to groups of one block and one block of guests, who are the rows outside the part `top`."""
+    home, own = _block("blocks", 11), _block("guest_blocks", 12)
+    met = F.transform(_all("guest_blocks"), lambda j: F.struct(home.alias("i"), j.alias("j"), F.lit(False).alias("guest")))
+    visits = F.transform(_all("blocks"), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(True).alias("guest")))
+    met = F.when(F.col("part") == F.col("top"), met).otherwise(F.concat(met, visits))
+    return rows.withColumn("at", F.explode(met)).withColumn("grp", F.xxhash64("key", "at.i", "at.j")).withColumn("guest", F.col("at.guest"))
+
+
+def _linked(members: DataFrame, found: DataFrame, fill, payload: str, run) -> DataFrame:
+    """(id, component) of the links that run finds between members (rep, key) of one key.
+
+    found has the number m of rows and of blocks of each key; fill joins the payload to members.
+    """
+
+    def links(groups: DataFrame, *more: str) -> DataFrame:
+        dealt = groups.select("grp", "rep", *more, payload).repartition("grp").sortWithinPartitions("grp", "rep")
+        return dealt.mapInArrow(common.releasing(run), "a long, b long")
+
+    parts = connected_components(links(_first_groups(fill(members.join(found, "key")))))
+    many = found.where("blocks > 1")
+    if many.isEmpty():
+        return parts
+    parts = common.stash(parts)
+    rows = members.join(many, "key").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = common.stash(rows.withColumn("part", F.coalesce("component", "rep")).drop("component"))
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
+    rest = rows.join(split.where("others > 0"), "key")
+    rest = rest.withColumn("guest_blocks", F.ceil(F.col("others") * F.col("blocks") / F.col("m")))
+    joined = links(_second_groups(fill(rest)), "part", "guest")
+    return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joined))
 
 
 def near_duplicates(
@@ -263,30 +333,26 @@ def near_duplicates(
         .select("rep", F.slice("keys", F.lit(1), F.size("keys") - need + 1).alias("keys"))
     )
     prefixed = common.stash(prefixed.join(reps, "rep").select("rep", "n_shingles", "sig", "keys"))
-    lists = (
-        prefixed.select(F.explode("keys.key").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        .withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK))
+    members = prefixed.select("rep", F.explode("keys.key").alias("key"))
+    lists = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK))
+    signed = prefixed.select("rep", "sig")
+    cells = common.stash(
+        _linked(members, common.stash(lists), lambda rows: rows.join(signed, "rep"), "sig", _list_links(coordinates, need))
     )
-    listed = _paired(prefixed.select("rep", "sig", F.explode("keys.key").alias("key")).join(lists, "key"), "key", "rep", "blocks")
-    found = (
-        listed.select("grp", "rep", "sig").repartition("grp").sortWithinPartitions("grp", "rep")
-        .mapInArrow(common.releasing(_list_links(coordinates, need)), "a long, b long")
-    )
-    cells = common.stash(connected_components(found))
 
-    sized = cells.join(prefixed.select(F.col("rep").alias("id"), "n_shingles"), "id")
-    loads = sized.groupBy("component").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("m")).select(
-        F.col("component").alias("cell"), F.greatest(F.ceil(F.col("w") / CELL_SHINGLES), F.ceil(F.col("m") / CELL_ROWS)).alias("blocks")
-    )
-    members = cells.join(loads, F.col("component") == F.col("cell")).select(F.col("id").alias("doc_id"), F.col("id").alias("rep"), "cell", "blocks")
-    sets = members.join(docs, "doc_id").select("rep", "cell", "blocks", "text").mapInArrow(
-        common.releasing(_sets(width)), "rep long, cell long, blocks long, shingles binary"
-    )
-    links = (
-        _paired(sets, "cell", "rep", "blocks").select("grp", "rep", "shingles").repartition("grp").sortWithinPartitions("grp", "rep")
-        .mapInArrow(common.releasing(_cell_links(percent)), "a long, b long")
+    members = cells.select(F.col("id").alias("rep"), F.col("component").alias("key"))
+    loads = members.join(prefixed.select("rep", "n_shingles"), "rep").groupBy("key").agg(
+        F.count("*").alias("m"), F.sum("n_shingles").alias("w")
     )
-    parts = connected_components(links).select(F.col("id").alias("class_id"), "component")
+    blocks = F.greatest(F.ceil(F.col("w") / CELL_SHINGLES), F.ceil(F.col("m") / CELL_ROWS))
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        read = rows.join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+        return read.mapInArrow(common.releasing(_sets(width)), T.StructType(read.drop("text").schema.fields).add("shingles", "binary"))
+
+    parts = _linked(
+        members, common.stash(loads.select("key", "m", blocks.alias("blocks"))), with_sets, "shingles", _cell_links(percent)
+    ).select(F.col("id").alias("class_id"), "component")
     own = F.coalesce("component", "class_id", "doc_id")
     return classed.join(parts, "class_id", "left").select(
         "doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id")

@@ -70,15 +70,50 @@ def test_near_duplicates(spark, width, percent, seed, odd):
     assert got == brute.components(list(enumerate(texts)), width, percent)
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """Posting lists and cells beyond one block are compared in pairs of blocks."""
+@pytest.mark.parametrize("seed, pivots", [(9, 8), (10, 1), (11, 0.01)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, seed, pivots):
+    """Posting lists and cells beyond one block are linked in their blocks, then by the rows outside the largest part."""
     monkeypatch.setattr(minhash, "LIST_BLOCK", 3)
     monkeypatch.setattr(minhash, "CELL_ROWS", 4)
-    texts = near_texts(9, 50)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    texts = near_texts(seed, 50)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts).repartition(7), 3, 85).collect()}
     assert got == brute.components(list(enumerate(texts)), 3, 85)
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_a_group_of_near_copies_costs_about_its_rows(spark, monkeypatch, n):
+    """All rows of one cell are linked; the rows dealt to groups of sets grow as n, whatever the number of blocks."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", 40)
+    dealt = []
+    for name in ("_first_groups", "_second_groups"):
+        own = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda rows, own=own: dealt.append(own(rows)) or dealt[-1])
+    texts = [" ".join([*(f"w{i}" for i in range(60)), f"x{i}"]) for i in range(n)]
+    got = minhash.near_duplicates(docs(spark, texts), 3, 85)
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(g.count() for g in dealt if "shingles" in g.columns) <= 2 * n
+
+
+def test_bridges_join_what_all_links_join():
+    rng = random.Random(5)
+    for _ in range(50):
+        n = rng.randint(1, 12)
+        part, guest = np.array([rng.randrange(4) for _ in range(n)]), np.array([rng.random() < 0.4 for _ in range(n)])
+        near = {(x, y) for x in range(n) for y in range(n) if rng.random() < 0.3}
+
+        def joined(links, part=part):
+            name = {p: p for p in part.tolist()}
+            for x, y in links:
+                old, new = name[part[x]], name[part[y]]
+                name = {p: new if q == old else q for p, q in name.items()}
+            return {frozenset(p for p, q in name.items() if q == r) for r in name.values()}
+
+        links = minhash._bridges(part, guest, lambda x, rest, near=near: np.array([(x, y) in near for y in rest.tolist()]))
+        assert set(links) <= near and len(links) < 4
+        assert joined(links) == joined([(x, y) for x, y in near if guest[x] and not guest[y]])
+
+
 def test_near_duplicates_ignore_other_columns(spark):
     d = docs(spark, ["a b c d", "a b c d"], 5).withColumn("component_id", F.lit("x")).withColumn("sig", F.lit(1))
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect()} == {(5, 5, True), (6, 5, False)}
