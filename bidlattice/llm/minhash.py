@@ -12,8 +12,9 @@
 
 Long posting lists and large cells are cut into blocks, so no task gets a whole hot group, and a group returns at most a
 spanning forest of its links, never all pairs. First each block is linked on its own, together with a few pivots that
-stand in every block of their key. Rows that this leaves in the largest component of their key need not meet each other
-any more; only the others visit all blocks. A group of m near-copies so costs about 2 m rows, however large it is.
+stand in every block of their key and are the first to be roots of its trees. Rows of the root that most rows of their key
+have need not meet each other any more; only the others visit all blocks. A group of m near-copies that hang together so
+costs about 2 m rows, however large it is.
 
 `need` follows from the threshold: the largest count that a pair at the threshold misses with probability `miss` or less.
 Nulls, empty texts and texts of white space only have an empty set: n_shingles 0, linked with nothing.
@@ -90,30 +91,32 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _forest(rows: int, near) -> list[tuple[int, int]]:
-    """Links that join the same rows as all links do: from each reached row, only rows not reached yet are compared."""
+def _forest(rows: int, near) -> list[tuple[int, int, int]]:
+    """Links that join the same rows as all links do, with the root of their tree: from each reached row, only rows not
+    reached yet are compared."""
     left, links = np.arange(rows), []
     while len(left):
-        todo, left = [left[0]], left[1:]
+        root, todo, left = int(left[0]), [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
             hit = near(x, left)
             if hit.any():
-                links += [(x, y) for y in left[hit].tolist()]
+                links += [(x, y, root) for y in left[hit].tolist()]
                 todo += left[hit].tolist()
                 left = left[~hit]
     return links
 
 
-def _bridges(part: np.ndarray, guest: np.ndarray, near) -> list[tuple[int, int]]:
-    """Links of guests with rows of other parts: as many as join the same parts as all these links do."""
+def _bridges(part: np.ndarray, guest: np.ndarray, near) -> list[tuple[int, int, int]]:
+    """Links of guests with rows of other parts, with the guest as their root: as many as join the same parts as all
+    these links do."""
     part, homes, links = part.copy(), np.flatnonzero(~guest), []
     for x in np.flatnonzero(guest).tolist():
         rest = homes[part[homes] != part[x]]
         if len(rest):
             hit = rest[near(x, rest)]
             joined, first = np.unique(part[hit], return_index=True)
-            links += [(x, y) for y in hit[first].tolist()]
+            links += [(x, y, x) for y in hit[first].tolist()]
             part[np.isin(part, joined)] = part[x]
     return links
 
@@ -138,8 +141,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+_EDGES = "key long, a long, b long, root long"
+
+
+def _edges(*columns: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b", "root"])
+
+
+def _group_links(table: pa.Table, lo: int, hi: int, near) -> list[tuple[int, int, int]]:
+    """Links of the rows lo to hi: those of guests with other parts where rows have a part, else those of all rows."""
+    if "part" not in table.column_names:
+        return _forest(hi - lo, near)
+    return _bridges(*(table.column(c).chunk(0).to_numpy(zero_copy_only=False)[lo:hi] for c in ("part", "guest")), near)
 
 
 def _list_links(coordinates: int, need: int):
@@ -149,33 +162,29 @@ def _list_links(coordinates: int, need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "grp"):
             table = table.combine_chunks()
-            grp, ids = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("grp", "rep"))
+            grp, key, ids = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("grp", "key", "rep"))
             sig = _matrix(table.column("sig").chunk(0), coordinates)
             cut = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
             size = np.repeat(np.diff(cut), np.diff(cut))
-            a, b = [], []
-            if "part" in table.column_names:
-                part, guest = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("part", "guest"))
-                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    s = sig[lo:hi]
-                    for x, y in _bridges(part[lo:hi], guest[lo:hi], lambda x, rest, s=s: (s[rest] == s[x]).sum(axis=1) >= need):
-                        a.append(int(ids[lo + x]))
-                        b.append(int(ids[lo + y]))
-                yield _edges(a, b)
-                continue
+            second = "part" in table.column_names
+            a, b, roots = [], [], []
             small = np.flatnonzero(size <= 8)  # all lists of up to 8 rows at once
-            for d in range(1, 8):
+            for d in range(1, 0 if second else 8):
                 x = small[small + d < len(grp)]
                 x = x[grp[x] == grp[x + d]]
                 x = x[(sig[x] == sig[x + d]).sum(axis=1) >= need]
-                a += ids[x].tolist()
-                b += ids[x + d].tolist()
-            for i in np.flatnonzero(np.diff(cut) > 8).tolist():
-                s, own = sig[cut[i] : cut[i + 1]], ids[cut[i] : cut[i + 1]]
-                for x, y in _forest(len(s), lambda x, rest, s=s: (s[rest] == s[x]).sum(axis=1) >= need):
-                    a.append(int(own[x]))
-                    b.append(int(own[y]))
-            yield _edges(a, b)
+                a += x.tolist()
+                b += (x + d).tolist()
+                roots += x.tolist()
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo <= 8 and not second:
+                    continue
+                s = sig[lo:hi]
+                for x, y, root in _group_links(table, lo, hi, lambda x, rest, s=s: (s[rest] == s[x]).sum(axis=1) >= need):
+                    a.append(lo + x)
+                    b.append(lo + y)
+                    roots.append(lo + root)
+            yield _edges(key[a], ids[a], ids[b], ids[roots]) if a else _edges([], [], [], [])
 
     return run
 
@@ -187,10 +196,10 @@ def _cell_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "grp"):
             table = table.combine_chunks()
-            grp, ids = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("grp", "rep"))
+            grp, key, ids = (table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("grp", "key", "rep"))
             sets = table.column("shingles").chunk(0)
             cut = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
-            a, b = [], []
+            a, b, roots = [], [], []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
@@ -218,16 +227,11 @@ def _cell_links(percent: int):
                         hit[fits] = 100 * both >= percent * (size[y] + size[x] - both)
                     return hit
 
-                own = ids[lo:hi]
-                if "part" in table.column_names:
-                    part, guest = (table.column(c).chunk(0).to_numpy(zero_copy_only=False)[lo:hi] for c in ("part", "guest"))
-                    links = _bridges(part, guest, near)
-                else:
-                    links = _forest(hi - lo, near)
-                for x, y in links:
-                    a.append(int(own[x]))
-                    b.append(int(own[y]))
-            yield _edges(a, b)
+                for x, y, root in _group_links(table, lo, hi, near):
+                    a.append(lo + x)
+                    b.append(lo + y)
+                    roots.append(lo + root)
+            yield _edges(key[a], ids[a], ids[b], ids[roots]) if a else _edges([], [], [], [])
 
     return run
 
@@ -253,10 +257,10 @@ def _all(blocks: str) -> Column:
 
 
 def _first_groups(rows: DataFrame) -> DataFrame:
-    """Deal the rows of a key to its blocks: each to its own, pivots to all."""
-    pivot = F.pmod(F.xxhash64(F.lit(13), "key", "rep"), F.ceil(F.col("m") / PIVOTS)) == 0
-    at = F.when((F.col("blocks") > 1) & pivot, _all("blocks")).otherwise(F.array(_block("blocks", 11)))
-    return rows.withColumn("i", F.explode(at)).withColumn("grp", F.xxhash64("key", "i"))
+    """Deal the rows of a key to its blocks: each to its own, pivots to all and before the others."""
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(13), "key", "rep"), F.ceil(F.col("m") / PIVOTS)) == 0)
+    at = F.when(pivot, _all("blocks")).otherwise(F.array(_block("blocks", 11)))
+    return rows.withColumn("late", ~pivot).withColumn("i", F.explode(at)).withColumn("grp", F.xxhash64("key", "i"))
 
 
 def _second_groups(rows: DataFrame) -> DataFrame:
@@ -275,22 +279,24 @@ def _linked(members: DataFrame, found: DataFrame, fill, payload: str, run) -> Da
     """
 
     def links(groups: DataFrame, *more: str) -> DataFrame:
-        dealt = groups.select("grp", "rep", *more, payload).repartition("grp").sortWithinPartitions("grp", "rep")
-        return dealt.mapInArrow(common.releasing(run), "a long, b long")
+        dealt = groups.select("grp", "key", "rep", *more, payload).repartition("grp").sortWithinPartitions("grp", more[0], "rep")
+        return dealt.mapInArrow(common.releasing(run), _EDGES)
 
-    parts = connected_components(links(_first_groups(fill(members.join(found, "key")))))
+    first = links(_first_groups(fill(members.join(found, "key"))), "late")
     many = found.where("blocks > 1")
     if many.isEmpty():
-        return parts
-    parts = common.stash(parts)
-    rows = members.join(many, "key").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = common.stash(rows.withColumn("part", F.coalesce("component", "rep")).drop("component"))
+        return connected_components(first)
+    first = common.stash(first)
+    roots = first.groupBy("key", F.col("b").alias("rep")).agg(F.min("root").alias("part"))
+    rows = members.join(many, "key").join(roots, ["key", "rep"], "left")
+    rows = common.stash(rows.withColumn("part", F.coalesce("part", "rep")))
     sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
-    rest = rows.join(split.where("others > 0"), "key")
-    rest = rest.withColumn("guest_blocks", F.ceil(F.col("others") * F.col("blocks") / F.col("m")))
-    joined = links(_second_groups(fill(rest)), "part", "guest")
-    return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joined))
+    split = common.stash(split.where("others > 0"))
+    if split.isEmpty():
+        return connected_components(first)
+    rest = rows.join(split, "key").withColumn("guest_blocks", F.ceil(F.col("others") * F.col("blocks") / F.col("m")))
+    return connected_components(first.unionByName(links(_second_groups(fill(rest)), "guest", "part")))
 
 
 def near_duplicates(
