@@ -160,13 +160,25 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = Fals
     )
 
 
-#: For min_docs = 10 and whole = False, with doc_id unique and not null.
-ORACLE = r"""
+def oracle(whole: bool) -> str:
+    """SQL of drop_recurring_lines for min_docs = 10, with doc_id unique and not null."""
+    share = f"{SIMILAR}::DOUBLE"
+    bare = f"len(t) < {MIN_TOKENS} AND len(list_filter(t, lambda x: x <> '<*>')) = 0"
+    fields = f"CASE WHEN {bare} THEN raw ELSE t END" if whole else "t"
+    taken = "t[1] <> ''" if whole else f"len(t) >= {MIN_TOKENS}"
+    more = _MORE.format(long=LONG, depth=DEPTH, share=share) if whole else ""
+    also = " UNION SELECT * FROM passages UNION SELECT * FROM several" if whole else ""
+    return _ORACLE.format(fields=fields, taken=taken, more=more, also=also, depth=DEPTH, share=share)
+
+
+_ORACLE = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
            FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, pos, regexp_split_to_array(regexp_replace(
-        regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+') AS t FROM l),
-h AS (SELECT *, {'n': len(t), 'lead': t[1:3]} AS leaf FROM m WHERE len(t) >= 3),
+k AS (SELECT *, regexp_split_to_array(regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+') AS raw,
+        regexp_split_to_array(regexp_replace(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'),
+          '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+') AS t FROM l),
+m AS (SELECT doc_id, pos, line, raw, {fields} AS t FROM k),
+h AS (SELECT *, {{'n': len(t), 'lead': t[1:{depth}]}} AS leaf FROM m WHERE {taken}),
 rl AS (SELECT leaf FROM h GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
 held AS (SELECT h.* FROM h SEMI JOIN rl USING (leaf)),
 rf AS (SELECT t, min(doc_id) AS first FROM held GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
@@ -174,13 +186,13 @@ plain AS (SELECT doc_id, pos FROM held JOIN rf USING (t) WHERE doc_id <> first),
 tok AS (SELECT leaf, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM held),
 votes AS (SELECT leaf, p, token, count(*) AS n FROM tok GROUP BY ALL),
 top AS (SELECT leaf, p, token, n FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY n DESC, encode(token)) = 1),
-g AS (SELECT leaf, p, CASE WHEN 2 * n >= (SELECT count(*) FROM held x WHERE x.leaf = top.leaf) THEN token ELSE '<*>' END AS token FROM top),
-gl AS (SELECT leaf, list(token ORDER BY p) AS g FROM g GROUP BY leaf),
+sizes AS (SELECT leaf, count(*) AS m FROM held GROUP BY leaf),
+gl AS (SELECT leaf, list(CASE WHEN 2 * n >= m THEN token ELSE '<*>' END ORDER BY p) AS g FROM top JOIN sizes USING (leaf) GROUP BY leaf),
 alike AS (SELECT doc_id, pos, leaf FROM held JOIN gl USING (leaf)
-          WHERE len(list_filter(list_zip(t, g), lambda z: z[1] = z[2] AND z[2] <> '<*>')) >= 0.7 * len(t)),
+          WHERE len(list_filter(list_zip(t, g), lambda z: z[1] = z[2] AND z[2] <> '<*>')) >= {share} * len(t)),
 rg AS (SELECT leaf, min(doc_id) AS first FROM alike GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
 varied AS (SELECT doc_id, pos FROM alike JOIN rg USING (leaf) WHERE doc_id <> first),
-gone AS (SELECT * FROM plain UNION SELECT * FROM varied),
+{more}gone AS (SELECT * FROM plain UNION SELECT * FROM varied{also}),
 out AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_dropped
         FROM l LEFT JOIN gone USING (doc_id, pos) GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_dropped, 0)::INT AS n_dropped,
@@ -188,3 +200,18 @@ SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_dropped, 0)::I
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(out.text, '')) END AS text_md5
 FROM documents d LEFT JOIN out USING (doc_id)
 """
+
+#: What whole adds: long lines from the second document on, and several templates a leaf.
+_MORE = r"""long AS (SELECT * FROM h WHERE len(t) >= {long} OR length(regexp_replace(line,
+           '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}\p{{Tibetan}}]+', '', 'g')) >= {long}),
+rp AS (SELECT leaf, raw, min(doc_id) AS first FROM long GROUP BY leaf, raw HAVING count(DISTINCT doc_id) >= 2),
+passages AS (SELECT doc_id, pos FROM long JOIN rp USING (leaf, raw) WHERE doc_id <> first),
+places AS (SELECT leaf, t, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT DISTINCT leaf, t FROM held)),
+kept AS (SELECT leaf, t, list({{'p': p, 'token': token}} ORDER BY n DESC, p) AS kept FROM places JOIN votes USING (leaf, p, token)
+         WHERE p > {depth} AND token <> '<*>' AND n >= 10 GROUP BY leaf, t),
+needs AS (SELECT doc_id, pos, leaf, coalesce(kept, []) AS kept,
+            ceil({share} * len(t))::INT - len(list_filter(t[1:{depth}], lambda x: x <> '<*>')) AS need FROM held LEFT JOIN kept USING (leaf, t)),
+found AS (SELECT doc_id, pos, leaf, list_slice(kept, 1, greatest(0, need)) AS template FROM needs WHERE len(kept) >= need),
+rt AS (SELECT leaf, template, min(doc_id) AS first FROM found GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
+several AS (SELECT doc_id, pos FROM found JOIN rt USING (leaf, template) WHERE doc_id <> first),
+"""

@@ -43,13 +43,13 @@ def _lines_left(out: DataFrame) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of three tokens and more only, as its SQL has them."""
-    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents")))
+    """Lines as the pipeline drops them: long ones from the second document on, short ones, several templates a leaf."""
+    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents"), whole=True))
 
 
-def op5_whole_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the pipeline drops lines; beyond SQL."""
-    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents"), whole=True))
+def line_templates_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup by masked lines and general forms of three tokens and more alone."""
+    return _lines_left(lines.drop_recurring_lines(_table(spark, sf_dir, "documents")))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,10 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_samples(_table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op5_whole_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling, line_templates_only)}
 ORACLE_SQL: dict[str, str] = {
-    "op5_line_dedup": lines.ORACLE,
+    "op5_line_dedup": lines.oracle(whole=True),
+    "line_templates_only": lines.oracle(whole=False),
     "op7_url_filters": urls.ORACLE,
     "op9_exact_dedup": exact.ORACLE,
 }
