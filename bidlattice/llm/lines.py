@@ -32,15 +32,15 @@ _SPACE = r"[ \t\x0B\f\r]"
 _NOT_FIRST = "first is null or doc_id is null or doc_id <> first"
 
 
-def _tokens(line):
-    """Masked tokens of a line; one empty token where it has none."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*", "<*>")).otherwise(line)
-    return F.split(F.regexp_replace(masked, rf"^{_SPACE}+|{_SPACE}+$", ""), _SPACE + "+")
+def _split(line):
+    """Tokens of a line as they are; one empty token where it has none."""
+    return F.split(F.trim(line, F.lit(" \t\x0b\f\r")), _SPACE + "+")
 
 
-def _split(line):
-    """Tokens of a line as they are."""
-    return F.split(F.regexp_replace(line, rf"^{_SPACE}+|{_SPACE}+$", ""), _SPACE + "+")
+def _tokens(line):
+    """Masked tokens of a line. A field is looked for where a token begins only, so that long tokens take linear time."""
+    field = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*+"
+    return _split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, "<*>")).otherwise(line))
 
 
 def _fields(rows: DataFrame, *columns: str, whole: bool) -> DataFrame:
@@ -48,7 +48,9 @@ def _fields(rows: DataFrame, *columns: str, whole: bool) -> DataFrame:
     its tokens as they are."""
     rows = rows.select(*columns, "line", _tokens(F.col("line")).alias("t"))
     if whole:
-        bare = (F.size("t") < MIN_TOKENS) & F.forall("t", lambda x: x == "<*>")
+        bare = F.lit(False)
+        for n in range(1, MIN_TOKENS):
+            bare = bare | (F.col("t") == F.array(*[F.lit("<*>")] * n))
         rows = rows.select(*columns, "line", F.when(bare, _split(F.col("line"))).otherwise(F.col("t")).alias("t"))
     return rows
 
@@ -96,7 +98,10 @@ def _templates(held: DataFrame, forms: DataFrame, votes: DataFrame, min_docs: in
 def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     """(doc, doc_id, drop): the numbers of the lines that go, for each document that loses any."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = _fields(lines, "doc", "doc_id", "pos", whole=whole).where(F.element_at("t", 1) != "" if whole else F.size("t") >= MIN_TOKENS)
+    if whole:  # blank lines go before the line is split: a test of its tokens would be pushed down and split it again
+        lines = _fields(lines.where(F.col("line").rlike(r"[^ \t\x0B\f\r]")), "doc", "doc_id", "pos", whole=True)
+    else:
+        lines = _fields(lines, "doc", "doc_id", "pos", whole=False).where(F.size("t") >= MIN_TOKENS)
     exact = [F.when(_long(F.col("line"), F.col("t")), F.xxhash64(_split(F.col("line")))).alias("exact")] if whole else []
     hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"), *exact)
     hashes = stash(hashes)

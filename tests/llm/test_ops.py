@@ -1,5 +1,6 @@
 """The training-data operators: against brute force, and on null, empty, long, tied, repeated and clashing rows."""
 
+import re
 import hashlib
 import math
 import random
@@ -373,6 +374,15 @@ def test_whole_line_dedup(spark):
     assert all(passage.rsplit(" ", 1)[0] in out[i].text and thai[1:] in out[i].text for i in (8, 9))
 
 
+def test_line_tokens(spark):
+    seen = ["", " \t\x0b\f\r", " a1b  c\t2 ", "\u3000 x9", "x" * 300_000 + " 7", "7" + "x" * 300_000, "a\u00a01 b"]
+    rows = spark.createDataFrame(list(enumerate(seen)), "i int, line string")
+    got = {r.i: r.t for r in lines._fields(rows, "i", whole=False).select("i", "t").collect()}
+    for i, line in enumerate(seen):
+        words = re.split(r"[ \t\x0b\f\r]+", line.strip(" \t\x0b\f\r"))
+        assert got[i] == ["<*>" if re.search("[0-9]", w) else w for w in words]
+
+
 def test_whole_line_dedup_several_templates(spark):
     """Three templates of one leaf, and one amid more ordinary lines, are each found whatever else the leaf holds."""
     word = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
