@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, htmltext, langid, lines, minhash, mixing, pieces, quality, urls
+from . import exact, exponion, hilbert, htmltext, langid, lines, minhash, mixing, personal, pieces, prefixes, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,30 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_samples(_table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters, op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling, line_templates_only)}
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_digests(personal.personal_spans(_table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.clusters_with_inertia(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_nearest_neighbours, op5_line_dedup, op6_quality_classifier, op7_url_filters,
+        op8_source_mixing, op9_exact_dedup, op10_sentencepiece_sampling, op11_personal_data, op12_conversation_prefixes, op13_centroid_clustering, line_templates_only,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.oracle(whole=True),
     "line_templates_only": lines.oracle(whole=False),
     "op7_url_filters": urls.ORACLE,
     "op9_exact_dedup": exact.ORACLE,
+    "op12_conversation_prefixes": prefixes.ORACLE,
+    "op13_centroid_clustering": exponion.oracle(),
 }
