@@ -13,7 +13,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,9 +31,6 @@ INLINE = frozenset(
     " math mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable"
     " mtd mtext mtr munder munderover semantics object".split()
 )
-#: Open elements whose marks count; a page nested deeper is read whole, its further levels add no features. Also how far
-#: up a start tag looks for an element that it closes.
-LEVELS = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of these names (up to the nearest container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -70,10 +67,11 @@ def _marks(attributes: str) -> tuple[str, ...]:
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(start, end, name, whether it ends an element, attributes) of each tag, and of what is no text with an empty name.
 
-    Each character is looked at a bounded number of times: a tag's end is searched for with its quotes, and without them
-    where they don't close; scans that lead nowhere may read a few times the page in all, after which quotes are ignored.
+    A tag ends at the next > outside of quotes, or at the next > at all where its quotes don't close. Linear: places after a
+    quote from which no end was found are remembered, so that a later scan that comes there gives up at once.
     """
-    at, last, spare, unclosed = 0, page.rfind(">"), 8 * len(page) + 64, set()
+    at, last, unclosed = 0, page.rfind(">"), set()
+    last_quote, dead = {q: page.rfind(q) for q in "\"'"}, set()
     while (at := page.find("<", at)) >= 0:
         begin = at
         if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
@@ -93,16 +91,19 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if not m:
             at += 1
             continue
-        i, end = m.end(), -1
-        while spare > 0 and (stop := _STOP.search(page, i)):
+        i, end, trail = m.end(), -1, []
+        while stop := _STOP.search(page, i):
             if stop[0] == ">":
                 end = stop.start()
                 break
+            if stop.start() == last_quote[stop[0]]:
+                break
             i = page.find(stop[0], stop.end()) + 1
-            if not i:
+            if i in dead:
                 break
+            trail.append(i)
         if end < 0:
-            spare -= len(page) - begin
+            dead.update(trail)
             end = page.find(">", m.end())
         name, at = m[0].lower(), end + 1
         attributes = page[m.end() : end]
@@ -128,12 +129,18 @@ class _Open(NamedTuple):
     leaf: str
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order, without those of white space only; linear in the page's size."""
+def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The blocks of a page in order, without those of white space only.
+
+    Only features in `known` are noted, if that is given: with a fixed set of them an element of any depth holds a bounded
+    set, shared with its parent where it adds nothing, and the work is linear in the page's size.
+    """
     blocks: list[Block] = []
+    noted = lambda x: known is None or x in known
     root = _Open("", frozenset(["outside"]), "")
     stack: list[_Open] = []
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements of a name
+    containers: list[int] = []
     parts: list[str] = []
     linked = 0
     page = page or ""
@@ -151,12 +158,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if count.get("a"):
+            if places.get("a"):
                 linked += len(text.strip())
 
     def close(i: int) -> None:
         for x in stack[i:]:
-            count[x.name] -= 1
+            places[x.name].pop()
+            if x.name in CONTAINERS:
+                containers.pop()
         del stack[i:]
 
     at = 0
@@ -170,29 +179,26 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             flush()
         if slash:
-            if count.get(name):
-                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
+            if places.get(name):
+                close(places[name][-1])
             continue
         closes = CLOSES.get(name) or ({"p"} if name not in INLINE else ())
-        if any(count.get(x) for x in closes):
-            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - LEVELS), -1):
-                if stack[i].name in closes:
-                    close(i)
-                    break
-                if stack[i].name in CONTAINERS:
-                    break
+        nearest = max((places[x][-1] for x in closes if places.get(x)), default=-1)
+        if nearest > (containers[-1] if containers else -1):
+            close(nearest)
         if name not in VOID and not attributes.endswith("/"):
             top = stack[-1] if stack else root
             inside = top.inside
-            if len(stack) < LEVELS:
-                if name in ("article", "main") and "outside" in inside:
-                    inside = inside - {"outside"}
-                if (own := f"in {name}") not in inside:
-                    inside = inside | {own}
-                if attributes and not (marks := {f"mark {w}" for w in _marks(attributes)}) <= inside:
-                    inside = inside | marks
+            if name in ("article", "main") and "outside" in inside:
+                inside = inside - {"outside"}
+            if (own := f"in {name}") not in inside and noted(own):
+                inside = inside | {own}
+            if attributes and (marks := {m for w in _marks(attributes) if noted(m := f"mark {w}") and m not in inside}):
+                inside = inside | marks
+            places.setdefault(name, []).append(len(stack))
+            if name in CONTAINERS:
+                containers.append(len(stack))
             stack.append(_Open(name, inside, top.leaf if name in INLINE else name))
-            count[name] = count.get(name, 0) + 1
     add(page[at:])
     flush()
     return blocks
@@ -291,12 +297,20 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: f
 # --- labelled pages by rule -------------------------------------------------------------------------------------
 
 _MAIN = ("<article>|</article>", "<main>|</main>", '<div id="content">|</div>', '<div class="post">|</div>', '<div class="entry-content">|</div>',
-         '<main><article class="story">|</article></main>', '<div class="article-body">|</div>', "<table><tr><td>|</td></tr></table>", "|")
+         '<main><article class="story">|</article></main>', '<div class="article-body">|</div>', "<table><tr><td>|</td></tr></table>", "|",
+         "<section class='text'>|</section>", '<div role="main">|</div>', "<article><div><div>|</div></div></article>", "<article><section>|</section></article>")
+#: What the class, id or role of a part that is not main text may say.
 _SIDE_WORDS = {
-    "nav": "nav menu navbar breadcrumb breadcrumbs pagination toc skip topbar", "header": "header masthead site-header branding logo",
-    "footer": "footer site-footer copyright bottom legal", "aside": "sidebar side widget related recommended popular tags share social",
-    "ad": "ad ads advert advertisement banner promo sponsored sponsor", "notice": "notice cookie cookies consent banner popup modal alert gdpr",
-    "form": "form search login signup newsletter subscribe", "comments": "comments comment comment-list reply replies respond discussion disqus",
+    "nav": "nav navigation menu menubar navbar breadcrumb breadcrumbs pagination pager toc skip topbar tabs", "header": "header masthead site-header banner branding logo",
+    "footer": "footer site-footer copyright bottom legal contentinfo", "aside": "sidebar side widget related recommended popular tags share social complementary rail",
+    "ad": "ad ads advert advertisement banner promo promotion sponsored sponsor", "notice": "notice cookie cookies cookie-notice cookie-consent consent popup modal alert gdpr dialog overlay",
+    "form": "form search login signup newsletter subscribe subscription contact-form",
+    "comments": "comments comment commentlist comment-list comment-thread replies respond discussion disqus", "hidden": "x",
+}
+#: Elements of each kind; the marked ones always say their kind in an attribute.
+_SIDE_TAGS = {
+    "nav": "nav nav ul div div*", "header": "header div*", "footer": "footer footer div*", "aside": "aside aside div* section*", "ad": "div* section* p*",
+    "notice": "div* section* dialog p*", "form": "form form div*", "comments": "section* section* div* ol* ul*", "hidden": "div* section* p*",
 }
 
 
@@ -305,20 +319,36 @@ def _words(rng: random.Random, n: int) -> str:
     return " ".join(words).capitalize() + rng.choice([".", ".", ".", ".", "!", "?", "", ","])
 
 
+def _prose(rng: random.Random, most: int) -> str:
+    """One or more paragraphs of any length, as an article has them."""
+    tag = rng.choice(["p", "p", "p", "div", "div", "section", "span", "li"])
+    return "".join(f"<{tag}>{_words(rng, rng.choice([1, 3, 8, 20, 50, 90]))}</{tag}>" for _ in range(rng.randint(1, most)))
+
+
 def _side(rng: random.Random, kind: str) -> str:
-    tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
-    if rng.random() < 0.4:
-        tag = "div"
-    mark = "" if tag not in ("div", "section") and rng.random() < 0.5 else f' {rng.choice(["class", "id"])}="{rng.choice(_SIDE_WORDS[kind].split())}"'
+    tag = rng.choice(_SIDE_TAGS[kind].split())
+    marked, tag = tag.endswith("*") or (tag in ("div", "ul", "section")), tag.rstrip("*")
+    mark = f' {rng.choice(["class", "class", "id", "role"])}="{rng.choice(_SIDE_WORDS[kind].split())}"' if marked or rng.random() < 0.4 else ""
+    if kind == "hidden":
+        mark = rng.choice([" hidden", " style='display:none'", ' aria-hidden="true"'])
     short = lambda: _words(rng, rng.randint(1, 5)).rstrip(".,!?")
-    if kind == "nav":
-        body = "<ul>" + "".join(f'<li><a href="/x">{short()}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>"
+    if tag == "p":
+        body = _words(rng, rng.randint(2, 40))
+    elif tag in ("ol", "ul") and kind == "comments":
+        body = "".join(f"<li>{_prose(rng, 2)}</li>" for _ in range(rng.randint(1, 4)))
+    elif rng.random() < 0.4:
+        body = (f"<h3>{short()}</h3>" if rng.random() < 0.3 else "") + _prose(rng, 3)
+    elif kind == "nav" or tag == "ul":
+        linked = rng.random() < 0.7
+        items = "".join(f'<li><a href="/x">{short()}</a></li>' if linked else f"<li>{short()}" for _ in range(rng.randint(2, 8)))
+        body = items if tag == "ul" else f"<ul>{items}</ul>"
     elif kind == "footer":
         body = f"&copy; {short()} &middot; {_words(rng, rng.randint(1, 14))}" + ('<p><a href="/y">' + short() + "</a></p>") * rng.randint(0, 1)
     elif kind == "form":
         body = f"<label>{short()}</label><input name=q><button>{short()}</button>" + f"<p>{_words(rng, rng.randint(3, 12))}</p>" * rng.randint(0, 1)
     elif kind == "comments":
-        body = f"<h3>{short()}</h3>" + "".join(f'<div class="comment"><b>{short()}</b><p>{_words(rng, rng.randint(1, 40))}</p></div>' for _ in range(rng.randint(1, 4)))
+        own = rng.choice(['div class="comment"', "div", "article class=comment", "p"])
+        body = f"<h3>{short()}</h3>" + "".join(f"<{own}><b>{short()}</b>{_prose(rng, 1) if own != 'p' else _words(rng, 9)}</{own.split()[0]}>" for _ in range(rng.randint(1, 4)))
     elif kind in ("aside", "header"):
         body = f"<h3>{short()}</h3>" + "".join(f'<p><a href="/z">{short()}</a></p>' if rng.random() < 0.6 else f"<p>{_words(rng, rng.randint(2, 25))}</p>" for _ in range(rng.randint(0, 4)))
     else:
@@ -327,18 +357,24 @@ def _side(rng: random.Random, kind: str) -> str:
 
 
 def _body(rng: random.Random) -> list[str]:
+    """The parts of an article. Its paragraphs have one tag for the most part, with or without a class that says nothing."""
     out = [f"<h1>{_words(rng, rng.randint(2, 10))}</h1>"] if rng.random() < 0.8 else []
+    usual = rng.choice(["p", "p", "p", "div", "div", "section", "dd"])
     for _ in range(rng.randint(1, 12)):
         p = rng.random()
         n = rng.choice([1, 2, 6, 20, 50, 90])
+        tag = usual if rng.random() < 0.8 else rng.choice(["p", "div", "div", "section", "figure", "details"])
+        said = f" class='{rng.choice(['note', 'text', 'lead', 'intro', 'wide', 'box', 'caption', 'quote', 'para', 'section', 'body', 'first', 'author'])}'" if rng.random() < 0.2 else ""
         if p < 0.62:
-            out.append(f"<p>{_words(rng, n)} <a href='/w'>{_words(rng, 2)}</a> {_words(rng, n)}</p>" if rng.random() < 0.2 else f"<p>{_words(rng, n)}</p>")
+            link = f" <a href='/w'>{_words(rng, 2)}</a> {_words(rng, n)}" if rng.random() < 0.2 else ""
+            out.append(f"<{tag}{said}>{_words(rng, n)}{link}</{tag}>")
         elif p < 0.7:
             out.append(f"<p><b>{_words(rng, n)}<br>")
         elif p < 0.78:
             out.append(f"<h{rng.choice('234')}>{_words(rng, 4)}</h2>")
         elif p < 0.86:
-            out.append("<ul>" + "".join(f"<li>{_words(rng, rng.randint(1, 15))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            kind = rng.choice(["ul", "ul", "ol"])
+            out.append(f"<{kind}>" + "".join(f"<li>{_words(rng, rng.randint(1, 15))}</li>" for _ in range(rng.randint(2, 5))) + f"</{kind}>")
         elif p < 0.93:
             out.append(f"<blockquote>{_words(rng, n)}</blockquote>")
         else:
@@ -346,14 +382,14 @@ def _body(rng: random.Random) -> list[str]:
     return out
 
 
-def sample_pages(count: int = 300, seed: int = 4) -> Iterator[tuple[str, list[int]]]:
+def sample_pages(count: int = 1000, seed: int = 4) -> Iterator[tuple[str, list[int]]]:
     """Pages with a label for each leaf block, 1 for main text."""
     rng = random.Random(seed)
     for _ in range(count):
         sides = lambda kinds, p: [(_side(rng, k), 0) for k in kinds if rng.random() < p]
         main = [(x, 1) for x in _body(rng)]
-        for kind in ("ad", "aside", "form"):  # some stand inside the article
-            if rng.random() < 0.15:
+        for kind in ("ad", "aside", "form", "notice", "nav", "comments", "hidden"):  # some stand inside the article
+            if rng.random() < 0.2:
                 main.insert(rng.randint(0, len(main)), (_side(rng, kind), 0))
         inside = sides(["comments"], 0.2)
         opening, closing = rng.choice(_MAIN).split("|")
@@ -372,7 +408,7 @@ def train(pages: Iterable[tuple[str, list[int]]]) -> Field:
 
 
 def main_text(field: Field, page: str | None) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.weights)
     return "\n\n".join(b.text for b, y in zip(blocks, viterbi(field, block_features(blocks)), strict=True) if y)
 
 
@@ -394,7 +430,8 @@ def extract_main_text(pages: DataFrame, field: Field) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages, which needs page_id, url and html.
 
     Character references are decoded, white space inside a block becomes one space, blocks join by two \\n in page
-    order. Null or empty html, and a page without a main block, give an empty text. Repeated rows stay.
+    order. Null or empty html, and a page without a main block, give an empty text. Repeated rows stay. Elements may be
+    nested to any depth. A tag whose quotes don't close ends at its next >.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field)
     return pages.select("page_id", "url", "html").mapInArrow(common.releasing(_extract(shared)), "page_id long, url string, text string, n_chars long")

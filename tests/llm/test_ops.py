@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[1]))
 import brute
-from bidlattice.llm import components, exact, hilbert, htmltext, langid, lines, minhash, mixing, pieces, quality, queries, urls
+from bidlattice.llm import components, exact, exponion, hilbert, htmltext, langid, lines, minhash, mixing, personal, pieces, prefixes, quality, queries, urls
 from oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +42,7 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
@@ -233,6 +233,70 @@ def test_main_text_of_unseen_layouts(field):
     assert right >= 0.97 * total
 
 
+SENTENCE = "The quick brown fox jumps over the lazy dog and runs away from the big bear."
+SIDE = "Something beside that is long enough to be prose, with a few words more."
+
+
+def page_of(main):
+    return f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{main}<footer>&copy; x</footer></body></html>"
+
+
+@pytest.mark.parametrize("body", [
+    "<div>{0}</div><div>{0}</div><div>{0}</div>", "<p>{0}</p><div>{0}</div><p>{0}</p>", "<p>{0}</p><div class='note'>{0}</div><p>{0}</p>", "<section><div><div>{0}</div></div></section><p>{0}</p><section>{0}</section>",
+])
+def test_paragraphs_of_any_element_are_main_text(field, body):
+    assert htmltext.main_text(field, page_of(f"<article><h1>Title here</h1>{body.format(SENTENCE)}</article>")) == "\n\n".join(["Title here"] + [SENTENCE] * 3)
+
+
+@pytest.mark.parametrize("part", [
+    "<aside><p>{}</p></aside>", "<form><p>{}</p></form>", "<div class='cookie-notice'><p>{}</p></div>", "<div role=navigation><p>{}</p></div>", "<dialog><p>{}</p></dialog>", "<div class=ad>{}</div>",
+    "<ol class='commentlist'><li><p>{0}</p></li><li>{0}</li></ol>", "<section id='comments'><p>{}</p></section>", "<div hidden><p>{}</p></div>", "<ul class=menu><li>one<li>two</ul>",
+])
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_parts_inside_and_behind_the_article_go(field, part, place):
+    at = [part.format(SIDE) if i == place else "" for i in range(3)]
+    page = page_of(f"<article><h1>Title here</h1><p>{SENTENCE}</p>{at[0]}<p>{SENTENCE}</p>{at[1]}</article>{at[2]}")
+    assert htmltext.main_text(field, page) == "\n\n".join(["Title here", SENTENCE, SENTENCE])
+
+
+def test_depth_changes_no_text(field):
+    article = f"<article><h1>Title here</h1><div>{SENTENCE}</div><aside><p>{SIDE}</p></aside></article>"
+    got = {htmltext.main_text(field, page_of("<div class=w>" * n + article + "</div>" * n)) for n in (1, 300, 100_000)}
+    assert got == {f"Title here\n\n{SENTENCE}"}
+    deep = "<dl><dt>a" + "<span>" * 5000 + "<dd>b"  # a start tag closes an element any number of levels up
+    assert [b.leaf for b in htmltext.leaf_blocks(deep)] == ["dt", "dd"]
+
+
+def test_given_pages_are_their_articles(spark, field):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = "<article>" + r.html.split("<article>")[1].split("</article>")[0] + "</article>"
+        assert htmltext.main_text(field, r.html) == "\n\n".join(b.text for b in htmltext.leaf_blocks(article))
+
+
+def test_gradient_of_the_likelihood(field):
+    """One step of fitting against differences of the likelihood, taken by enumeration of all label sequences."""
+    from itertools import product
+
+    f, y = [["bias", "a"], ["bias"], ["bias", "b"]], [1, 0, 1]
+    free = {"bias": 0.0, "a": 0.0, "b": 0.0}
+
+    def likelihood(w, steps):
+        of = lambda ys: sum((w[x] if v else -w[x]) for v, x_ in zip(ys, f, strict=True) for x in x_) + sum(steps[p][q] for p, q in zip(ys[:-1], ys[1:], strict=True))
+        return of(y) - math.log(sum(math.exp(of(ys)) for ys in product((0, 1), repeat=3)))
+
+    zero = ((0.0, 0.0), (0.0, 0.0))
+    got = htmltext.fit([(f, y)], epochs=1, rate=1e-4, l2=0.0)
+    # AdaGrad divides a first step by sqrt(1 + g^2); each feature of a page steps as often as it occurs, so take those that occur once
+    for x in ("a", "b"):
+        g = (likelihood(free | {x: 1e-5}, zero) - likelihood(free | {x: -1e-5}, zero)) / 2e-5
+        assert abs(got.weights[x] - 1e-4 * g / math.sqrt(1 + g * g)) < 1e-8
+    for a, b in product((0, 1), repeat=2):
+        plus = [[1e-5 * ((i, j) == (a, b)) for j in (0, 1)] for i in (0, 1)]
+        minus = [[-v for v in row] for row in plus]
+        g = (likelihood(free, plus) - likelihood(free, minus)) / 2e-5
+        assert abs(got.steps[a][b] - 1e-4 * g / math.sqrt(1 + g * g)) < 1e-7
+
+
 def test_main_text_details(field):
     page = (
         '<html><head><title>no</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><article><h1>T &amp; U</h1><p>a <b>b</b>c\n\t d<p>e&nbsp;f'
@@ -265,13 +329,14 @@ def test_viterbi_against_enumeration(field):
         assert abs(of(htmltext.viterbi(field, f)) - max(map(of, product((0, 1), repeat=len(f))))) < 1e-9
 
 
-@pytest.mark.parametrize("part", ["<a ", '<a x="', "<div>", "<div>a", "<svg>", "</p>", "<li class=b>c", "<!--", "<x y='\""])
+@pytest.mark.parametrize("part", ["<a ", '<a x="', "<div>", "<div>a", "<svg>", "</p>", "<li class=b>c", "<!--", "<x y='\"", '>" <b "', "<ul><b><dd>", "<dl><dt><ul><i><dd></dd>", "<div class=a%d>"])
 @pytest.mark.parametrize("end", ["", ">"])
-def test_malformed_pages_take_linear_time(part, end):
+def test_malformed_pages_take_linear_time(field, part, end):
     import time
 
-    page, begin = part * ((1 << 20) // len(part)) + end, time.process_time()
-    htmltext.block_features(htmltext.leaf_blocks(page))
+    many = (1 << 20) // len(part)
+    page, begin = ("".join(part % i for i in range(many)) if "%d" in part else part * many) + end, time.process_time()
+    htmltext.block_features(htmltext.leaf_blocks(page, field.weights))
     assert time.process_time() - begin < 10
 
 
