@@ -36,6 +36,8 @@ SUPPORT, SPEAKS, ACCEPT, ROUNDS = 3, 0.5, 0.8, 6
 GAP = 4
 #: log2 of the bits of the bitmap of contexts: 2 MB, whatever the corpus holds.
 BITMAP = 24
+#: Counts that a task holds before it sums them up.
+HELD = 1 << 19
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -224,20 +226,40 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(kind))], names=["doc_id", "mentions"])
 
 
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, at.ravel(), np.concatenate(counts))
+    return code, total
+
+
 def _count(shared):
-    """(code, n) of the words and word pairs of the texts whose bit is set."""
+    """(code, n) of the words and word pairs of a task's texts whose bit is set, summed over HELD of them or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         held = lambda x: x[(bits[(x >> np.uint64(67 - BITMAP)).astype(np.int64)] >> ((x >> np.uint64(64 - BITMAP)) & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        codes, counts, waiting = [], [], 0
         for whole in batches:
             for batch in common.text_slices(whole):
                 data, offsets = common.utf8(batch.column("text"))
                 words, row = _words(common.lower_ascii(data), offsets)
-                if len(words):
-                    pairs = _pair(words[:-1], words[1:])[row[1:] == row[:-1]]
-                    code, n = np.unique(np.concatenate([held(_pair(words, np.zeros(1, np.uint64))), held(pairs)]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(code)), pa.array(n.astype(np.int64))], names=["code", "n"])
+                if not len(words):
+                    continue
+                pairs = _pair(words[:-1], words[1:])[row[1:] == row[:-1]]
+                code, n = np.unique(np.concatenate([held(_pair(words, np.zeros(1, np.uint64))), held(pairs)]), return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                waiting += len(code)
+                if waiting > HELD:
+                    code, n = _summed(codes, counts)
+                    codes, counts, waiting = [code], [n], len(code)
+                    if waiting > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(_signed(code)), pa.array(n)], names=["code", "n"])
+                        codes, counts, waiting = [], [], 0
+        if codes:
+            code, n = _summed(codes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(code)), pa.array(n)], names=["code", "n"])
 
     return run
 
@@ -303,7 +325,8 @@ def personal_spans(docs: DataFrame) -> DataFrame:
         mentions.select("kind", "value", "seed", sides.alias("s")).where("s.code is not null")
         .groupBy("kind", "s.side", "s.code", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     )
-    often = edges.groupBy(*PATTERN).agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("code").distinct()
+    # of use are patterns that can find something: with SUPPORT instances, one of them a candidate
+    often = edges.groupBy(*PATTERN).agg(F.count("*").alias("n"), F.min("seed").alias("seeds")).where((F.col("n") >= SUPPORT) & ~F.col("seeds")).select("code").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
     counted = docs.select("text").where("text is not null").mapInArrow(common.releasing(_count(shared)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     trusted = _trusted(edges, counted)
