@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; one longer text is taken alone.
@@ -93,6 +93,22 @@ def met(rows: DataFrame, found: DataFrame, keys: list[str], count: str, total: i
     return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark's expressions and schemas read it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df by name, for a frame that has them too."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def numbered(df: DataFrame, *kept: str) -> DataFrame:
+    """df with numbers for the names of all columns but the kept ones: functions on Arrow batches take no names with dots."""
+    taken = {c.lower() for c in kept}
+    return df.toDF(*[c if c.lower() in taken else f"c{i}_" for i, c in enumerate(df.columns)])
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names with as many underscores behind them as keep them apart from the columns of df."""
     taken = {c.lower() for c in df.columns}

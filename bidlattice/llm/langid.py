@@ -21,6 +21,8 @@ from . import common
 
 BITS, ORDERS, UNKNOWN = 14, (1, 2, 3), "und"
 _SALTS = 32
+#: Most languages that a model learns.
+LANGUAGES = 500
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -138,7 +140,9 @@ def train(docs: DataFrame, per_language: int = 640) -> Model | None:
     """Fit on doc_id, text and lang of docs with both text and lang; None if there are none.
 
     At most per_language documents of each language are used, the first by hash of doc_id within each of 32 salts, so
-    that no language needs to pass through one task. The document frequencies cover all of docs.
+    that no language needs to pass through one task. A doc_id counts once a language, with its smallest text, so what
+    reaches the driver is bounded by per_language times the number of languages; more than LANGUAGES of these are an
+    error, since weights are a row each. The document frequencies cover all of docs, repeated rows included.
     """
     held = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     df = held.select("text").mapInArrow(common.releasing(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -151,9 +155,12 @@ def train(docs: DataFrame, per_language: int = 640) -> Model | None:
     idf[0] = 0
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))
     first = F.row_number().over(W.partitionBy("lang", salt).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
-    ids = held.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= -(-per_language // _SALTS)).select("doc_id")
-    chosen = held.join(F.broadcast(ids.distinct()), "doc_id", "left_semi") if ids.count() <= 50_000 else held.join(ids, "doc_id", "left_semi")
-    table = chosen.mapInArrow(common.releasing(_bags), "doc_id long, lang string, x array<int>, tf array<float>").toArrow().sort_by("doc_id")
+    if held.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the lang column holds something else")
+    ids = held.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= -(-per_language // _SALTS)).select("doc_id", "lang").distinct()
+    small = F.broadcast(ids) if ids.count() <= 50_000 else ids
+    chosen = held.join(small, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    table = chosen.mapInArrow(common.releasing(_bags), "doc_id long, lang string, x array<int>, tf array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     langs = sorted(set(table.column("lang").to_pylist()))
     number = {g: i for i, g in enumerate(langs)}
     bags = [

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import met, spare, stash
+from .common import met, quoted, spare, stash
 
 DEPTH, MIN_TOKENS, SIMILAR = 3, 3, 0.7
 LONG = 50
@@ -55,10 +55,10 @@ def _fields(rows: DataFrame, *columns: str, whole: bool) -> DataFrame:
     return rows
 
 
-def _long(line, tokens):
-    """A line of LONG tokens or of LONG characters of scripts without spaces, which take three bytes or more each."""
+def _long(line, tokens, long: int):
+    """A line of so many tokens, or so many characters of scripts without spaces, which take three bytes or more each."""
     marks = F.octet_length(line) - F.length(line)
-    return (F.size(tokens) >= LONG) | ((marks >= 2 * LONG) & (F.length(F.regexp_replace(line, _SPACED, "")) >= LONG))
+    return (F.size(tokens) >= long) | ((marks >= 2 * long) & (F.length(F.regexp_replace(line, _SPACED, "")) >= long))
 
 
 def _leaf(tokens):
@@ -66,58 +66,63 @@ def _leaf(tokens):
 
 
 def _recurring(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
-    """Keys in at least min_docs documents, how many these are, and the smallest doc_id that has one."""
+    """Keys in at least min_docs documents, how many lines have them, and the smallest doc_id that has one."""
     return (
-        rows.select(*keys, "doc", "doc_id").distinct()
-        .groupBy(*keys).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-        .where(F.col("docs") >= min_docs)
+        rows.groupBy(*keys, "doc", "doc_id").agg(F.count("*").alias("rows"))
+        .groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.min("doc_id").alias("first"))
+        .where(F.col("docs") >= min_docs).drop("docs")
     )
 
 
-def _templates(held: DataFrame, forms: DataFrame, votes: DataFrame, min_docs: int) -> DataFrame:
-    """held with the template of each line that has one.
+def _templates(held: DataFrame, forms: DataFrame, votes: DataFrame, min_docs: int, total: int) -> DataFrame:
+    """held, of total rows at most, with the template of each line that has one.
 
     Lines with the same kept tokens rank them alike, so two lines that share more tokens than are needed, all frequent
     ones, share the needed ones too: one key a line is enough.
     """
-    places = forms.select("leaf", F.xxhash64("t").alias("form"), F.posexplode("t").alias("p", "token"))
+    named = forms.select("leaf", F.xxhash64("t").alias("form"), "t", F.col("n").alias("rows"))
+    places = named.select("leaf", "form", F.posexplode("t").alias("p", "token"))
     free = lambda d: d.where((F.col("p") >= DEPTH) & (F.col("token") != "<*>"))
     frequent = free(votes).where(F.col("n") >= min_docs)
-    kept = (
-        free(places).join(frequent.hint("merge"), ["leaf", "p", "token"])
+    n_places = named.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n")).first().n
+    some = (
+        met(free(places), frequent, ["leaf", "p", "token"], "forms", n_places)
         .groupBy("leaf", "form").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "token"))).alias("kept"))
     )
+    kept = named.drop("t").join(some.hint("merge"), ["leaf", "form"], "left")  # a row a form on either side
     fixed = F.size(F.filter(F.slice("t", 1, DEPTH), lambda x: x != "<*>"))
     need = (F.ceil(SIMILAR * F.size("t")) - fixed).cast("int")
-    lines = held.withColumn("form", F.xxhash64("t")).join(kept.hint("merge"), ["leaf", "form"], "left")
+    lines = met(held.withColumn("form", F.xxhash64("t")), kept, ["leaf", "form"], "rows", total)
     lines = lines.select("doc", "doc_id", "pos", "leaf", need.alias("need"), F.coalesce("kept", F.expr("array()")).alias("kept"))
     best = F.slice("kept", F.lit(1), F.greatest(F.lit(0), F.col("need")))
     return lines.where(F.size("kept") >= F.col("need")).select("doc", "doc_id", "pos", "leaf", F.xxhash64("leaf", best).alias("template"))
 
 
-def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
+def _dropped(docs: DataFrame, min_docs: int, whole: bool, long: int) -> DataFrame:
     """(doc, doc_id, drop): the numbers of the lines that go, for each document that loses any."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     if whole:  # blank lines go before the line is split: a test of its tokens would be pushed down and split it again
         lines = _fields(lines.where(F.col("line").rlike(r"[^ \t\x0B\f\r]")), "doc", "doc_id", "pos", whole=True)
     else:
         lines = _fields(lines, "doc", "doc_id", "pos", whole=False).where(F.size("t") >= MIN_TOKENS)
-    exact = [F.when(_long(F.col("line"), F.col("t")), F.xxhash64(_split(F.col("line")))).alias("exact")] if whole else []
+    exact = [F.when(_long(F.col("line"), F.col("t"), long), F.xxhash64(_split(F.col("line")))).alias("exact")] if whole else []
     hashes = lines.select("doc", "doc_id", "pos", F.xxhash64("t").alias("form"), _leaf(F.col("t")).alias("leaf"), *exact)
     hashes = stash(hashes)
     total = hashes.count()
-    leafed = stash(met(hashes, _recurring(hashes, ["leaf"], min_docs), ["leaf"], "docs", total).drop("first"))
-    plain = met(leafed, _recurring(leafed, ["leaf", "form"], min_docs), ["leaf", "form"], "docs", total).where(_NOT_FIRST)
+    leafed = stash(met(hashes, _recurring(hashes, ["leaf"], min_docs), ["leaf"], "rows", total).drop("first"))
+    plain = met(leafed, _recurring(leafed, ["leaf", "form"], min_docs), ["leaf", "form"], "rows", total).where(_NOT_FIRST)
 
     wanted = leafed.groupBy("doc", "doc_id").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
     wanted = wanted.withColumnRenamed("doc_id", "own")
-    held = docs.join(wanted.hint("merge"), "doc").where(F.col("doc_id").eqNullSafe(F.col("own"))).select("doc", "doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    held = held.select("doc", "doc_id", "at.pos", "at.leaf", F.element_at("lines", F.col("at.pos") + 1).alias("line"))
+    bound = F.array(F.struct(F.split("text", "\n").alias("lines"), F.col("at")))  # split once a row, not once a line of it
+    read = F.get(F.transform(bound, lambda z: F.transform(z["at"], lambda a: F.struct(a["pos"].alias("pos"), a["leaf"].alias("leaf"), F.get(z["lines"], a["pos"]).alias("line")))), F.lit(0))
+    held = docs.join(wanted.hint("merge"), "doc").where(F.col("doc_id").eqNullSafe(F.col("own"))).select("doc", "doc_id", F.explode(read).alias("at"))
+    held = held.select("doc", "doc_id", "at.pos", "at.leaf", "at.line")
     held = stash(_fields(held, "doc", "doc_id", "pos", "leaf", whole=whole).drop("line"))
-    forms = held.groupBy("leaf", "t").agg(F.count("*").alias("n"))
+    forms = stash(held.groupBy("leaf", "t").agg(F.count("*").alias("n")))
     at = forms.select("leaf", "n", F.posexplode("t").alias("p", "token"))
-    votes = at.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
-    size = held.groupBy("leaf").agg(F.count("*").alias("m"))
+    votes = at.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+    size = forms.groupBy("leaf").agg(F.sum("n").alias("m"))
     general = (
         votes.groupBy("leaf", "p").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("top"))
         .join(size, "leaf")
@@ -128,50 +133,60 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool) -> DataFrame:
     agree = F.aggregate(F.zip_with("t", "g", lambda a, b: (a.eqNullSafe(b) & (b != "<*>")).cast("int")), F.lit(0), lambda s, x: s + x)
     alike = met(held, general, ["leaf"], "m", total).where(agree >= SIMILAR * F.size("t")).select("doc", "doc_id", "pos", "leaf")
     alike = stash(alike)
-    varied = met(alike, _recurring(alike, ["leaf"], min_docs), ["leaf"], "docs", total).where(_NOT_FIRST)
+    varied = met(alike, _recurring(alike, ["leaf"], min_docs), ["leaf"], "rows", total).where(_NOT_FIRST)
     at = ["doc", "doc_id", "pos"]
     gone = plain.select(*at).unionByName(varied.select(*at))
     if whole:
         passages = hashes.where("exact is not null")
-        passages = met(passages, _recurring(passages, ["leaf", "exact"], 2), ["leaf", "exact"], "docs", total).where(_NOT_FIRST)
-        several = stash(_templates(held, forms, votes, min_docs))
-        several = met(several, _recurring(several, ["leaf", "template"], min_docs), ["leaf", "template"], "docs", total).where(_NOT_FIRST)
+        passages = met(passages, _recurring(passages, ["leaf", "exact"], 2), ["leaf", "exact"], "rows", total).where(_NOT_FIRST)
+        several = stash(_templates(held, forms, votes, min_docs, total))
+        several = met(several, _recurring(several, ["leaf", "template"], min_docs), ["leaf", "template"], "rows", total).where(_NOT_FIRST)
         gone = gone.unionByName(passages.select(*at)).unionByName(several.select(*at))
     gone = gone.distinct()
     return gone.groupBy("doc", "doc_id").agg(F.collect_list("pos").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = False) -> DataFrame:
+def _without(lines, drop):
+    """lines joined without those at the places of drop: the runs between dropped places, so the work is linear in both."""
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort(drop), F.array(F.size(lines)))
+    bound = F.array(F.struct(lines.alias("lines"), edges.alias("edges")))  # evaluated once a row, not once a run
+    at = lambda z, k: F.get(z["edges"], k)
+    runs = lambda z: F.transform(F.sequence(F.lit(0), F.size(z["edges"]) - 2), lambda k: F.slice(z["lines"], at(z, k) + 2, at(z, k + 1) - at(z, k) - 1))
+    return F.get(F.transform(bound, lambda z: F.array_join(F.flatten(runs(z)), "\n")), F.lit(0))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, whole: bool = False, long: int = LONG) -> DataFrame:
     """docs with text without its recurring lines, plus n_lines and n_dropped.
 
     docs needs doc_id and text; all other columns pass through (columns named n_lines or n_dropped are replaced).
     Lines are parted by \\n. Lines of fewer than MIN_TOKENS tokens always stay, unless whole; blank ones stay then too. A null text stays null and has 0
     lines, an empty one has 1. Rows with the same doc_id and text count as one document and get the same result; of
     rows with the same doc_id and other texts each is a document. A null doc_id never owns a template. A text that
-    loses every line is empty.
+    loses every line is empty. With whole, a line of `long` tokens goes from its second document on. Keys are hashes of
+    64 bits for the leaf and 64 more within it.
     """
     docs = docs.drop("n_lines", "n_dropped")
     doc, own, drop = spare(docs, "doc", "own", "drop")
     keyed = docs.withColumn(doc, F.xxhash64("doc_id", "text"))
     rows = keyed.select(F.col(doc).alias("doc"), "doc_id", "text").where("text is not null")
-    gone = stash(_dropped(rows, min_docs, whole).select(F.col("doc").alias(doc), F.col("doc_id").alias(own), F.col("drop").alias(drop)))
+    gone = stash(_dropped(rows, min_docs, whole, long).select(F.col("doc").alias(doc), F.col("doc_id").alias(own), F.col("drop").alias(drop)))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    kept = _without(lines, F.col(drop))
     joined = keyed.join(gone.hint("merge"), [keyed[doc] == gone[doc], keyed["doc_id"].eqNullSafe(gone[own])], "left").drop(gone[doc])
     return joined.select(
-        *[F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(quoted(c)) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).alias("n_dropped"),
     )
 
 
-def oracle(whole: bool) -> str:
+def oracle(whole: bool, long: int = LONG) -> str:
     """SQL of drop_recurring_lines for min_docs = 10, with doc_id unique and not null."""
     share = f"{SIMILAR}::DOUBLE"
     bare = f"len(t) < {MIN_TOKENS} AND len(list_filter(t, lambda x: x <> '<*>')) = 0"
     fields = f"CASE WHEN {bare} THEN raw ELSE t END" if whole else "t"
     taken = "t[1] <> ''" if whole else f"len(t) >= {MIN_TOKENS}"
-    more = _MORE.format(long=LONG, depth=DEPTH, share=share) if whole else ""
+    more = _MORE.format(long=long, depth=DEPTH, share=share) if whole else ""
     also = " UNION SELECT * FROM passages UNION SELECT * FROM several" if whole else ""
     return _ORACLE.format(fields=fields, taken=taken, more=more, also=also, depth=DEPTH, share=share)
 

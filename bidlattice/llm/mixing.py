@@ -19,7 +19,7 @@ from .common import discard, spare, stash
 DIMS = ("source", "lang", "topic")
 #: Largest number of cells that are broadcast to the documents; beyond it the join shuffles.
 BROADCAST_CELLS = 50_000
-ROUNDS, ROUNDS_A_JOB, TOLERANCE = 60, 4, 1e-6
+ROUNDS, ROUNDS_A_JOB, TOLERANCE = 200, 4, 1e-6
 
 
 def token_count(text: Column) -> Column:
@@ -51,7 +51,8 @@ def tempered_targets(cells: DataFrame, exponents: Mapping[str, float]) -> dict[s
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
-    """cells (one row for each combination, with tokens > 0) plus weight: proportional to tokens within the marginals.
+    """cells (one row for each combination, with tokens > 0) plus weight, proportional to tokens within the marginals, and
+    deviation: by which share of its target the marginal of the cell that is farthest off was off in the last round.
 
     Each of targets has one row (value, target) per value; values without a target keep weight 0. Stops once no
     marginal is off by more than TOLERANCE relatively, or after ROUNDS with a warning that says by how much: marginals that
@@ -62,6 +63,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
     for dim, target in targets.items():
         cells = cells.join(target.select(dim, F.col("target").alias(f"to_{dim}")), dim, "left").fillna(0.0, [f"to_{dim}"])
     dims = list(targets)
+    s = spare(cells, "s")[0]
     live = F.lit(True)
     for dim in dims:
         live = live & (F.col(f"to_{dim}") > 0)
@@ -71,20 +73,21 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
         for _ in range(ROUNDS_A_JOB):
             off = []
             for dim in dims:
-                now = now.withColumn("s", F.sum("weight").over(W.partitionBy(dim)))
+                now = now.withColumn(s, F.sum("weight").over(W.partitionBy(dim)))
                 off.append(F.col(f"off_{dim}"))
-                now = now.withColumn(f"off_{dim}", F.when(F.col("weight") > 0, F.abs(F.col("s") / F.col(f"to_{dim}") - 1)).otherwise(0.0))
-                now = now.withColumn("weight", F.when(F.col("s") > 0, F.col("weight") * F.col(f"to_{dim}") / F.col("s")).otherwise(0.0)).drop("s")
+                now = now.withColumn(f"off_{dim}", F.when(F.col("weight") > 0, F.abs(F.col(s) / F.col(f"to_{dim}") - 1)).otherwise(0.0))
+                now = now.withColumn("weight", F.when(F.col(s) > 0, F.col("weight") * F.col(f"to_{dim}") / F.col(s)).otherwise(0.0)).drop(s)
         now = stash(now.withColumn("off", F.array_max(F.array(*off))))
         discard(held)
         held = now
         worst = now.agg(F.max("off").alias("x")).first().x
-        now = now.drop("off", *[f"off_{d}" for d in dims])
+        done = now.drop(*[f"off_{d}" for d in dims])
+        now = done.drop("off")
         if worst is None or worst <= TOLERANCE:
             break
     else:
         warnings.warn(f"the rake has not settled in {ROUNDS} rounds: a marginal is off by {worst:.2g} of its target", stacklevel=2)
-    return now.drop(*[f"to_{d}" for d in dims])
+    return done.withColumnRenamed("off", "deviation").drop(*[f"to_{d}" for d in dims])
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
@@ -118,13 +121,14 @@ def mix_sources(
     seed: int = 17,
     exponents: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """docs plus topic, tokens, weight (of its cell), probability and sampled.
+    """docs plus topic, tokens, weight (of its cell), deviation (how far the rake was from the cell's targets), probability
+    and sampled.
 
     docs needs doc_id, text, source and lang. Without targets each marginal is the present one flattened by its
     exponent. A null source or lang is a value of its own. The budget is fraction of all tokens; documents without
     words belong to no cell: probability 0. Columns by the new names are replaced. Repeated rows share their fate.
     """
-    docs = docs.drop("topic", "tokens", "weight", "probability", "sampled")
+    docs = docs.drop("topic", "tokens", "weight", "deviation", "probability", "sampled")
     sized = docs.withColumns({"topic": topic_of(F.col("text")), "tokens": token_count(F.col("text"))})
     names = dict(zip(DIMS, spare(docs, *[f"k_{d}" for d in DIMS]), strict=True))
     keys = {names[d]: _key(d) for d in DIMS}
@@ -140,11 +144,11 @@ def mix_sources(
     raked = rake(cells, wanted)
     total = cells.agg(F.sum("tokens").alias("n")).first().n or 0
     scale = _scale(raked, fraction * total)
-    chance = raked.select(*keys, "weight", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight") / F.col("tokens")).alias("probability"))
+    chance = raked.select(*keys, "weight", "deviation", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight") / F.col("tokens")).alias("probability"))
     if raked.count() <= BROADCAST_CELLS:
         chance = F.broadcast(chance)
     out = sized.withColumns(keys).join(chance, list(keys), "left").drop(*keys)
     live = F.col("tokens") > 0
     return out.withColumns(
-        {"weight": F.when(live, F.col("weight")).otherwise(0.0), "probability": F.when(live, F.col("probability")).otherwise(0.0)}
+        {"weight": F.when(live, F.col("weight")).otherwise(0.0), "deviation": F.when(live, F.col("deviation")).otherwise(0.0), "probability": F.when(live, F.col("probability")).otherwise(0.0)}
     ).withColumn("sampled", uniform(F.col("doc_id"), seed=seed) < F.col("probability"))

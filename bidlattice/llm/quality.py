@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -170,14 +171,18 @@ def _score(shared, tail: int, cut: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Model:
-    """Fit on at most limit labelled documents; grade 0 toxic, 1 poor, 2 good. Labels that are null are not used."""
+    """Fit on at most limit labelled documents; grade 0 toxic, 1 poor, 2 good. Labels that are null are not used.
+
+    A doc_id counts once: of its labels the worst grade, of its rows the smallest text, so what reaches the driver is
+    bounded by limit whatever repeats.
+    """
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").select(
         "doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2).alias("grade")
     )
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = (
         docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "grade", "text").mapInArrow(common.releasing(_featurise), "doc_id long, grade int, x array<int>")
+        .groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("doc_id", "grade", "text").mapInArrow(common.releasing(_featurise), "doc_id long, grade int, x array<int>")
     )
     table = rows.toArrow().sort_by("doc_id")
     xs = table.column("x").to_numpy()
@@ -191,5 +196,6 @@ def grade_documents(docs: DataFrame, model: Model, tail: int = 2, cut: float = 0
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("expected_grade", "tail_probability", "accepted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(common.releasing(_score(shared, tail, cut)), f"{schema}, expected_grade double, tail_probability double, accepted boolean")
+    plain = common.numbered(docs, "text")
+    schema = T.StructType(list(plain.schema.fields)).add("expected_grade", "double").add("tail_probability", "double").add("accepted", "boolean")
+    return plain.mapInArrow(common.releasing(_score(shared, tail, cut)), schema).toDF(*docs.columns, "expected_grade", "tail_probability", "accepted")
