@@ -11,24 +11,24 @@ from bidlattice.llm import common, lines, minhash, mixing, pieces, quality, quer
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labels of these documents, takes for good."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.grade_documents(docs, model).where("accepted").select(*docs.columns)
+    return quality.grade_documents(docs, model).where("accepted").select(*common.columns_of(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines; one that loses all its lines goes. n_chars follows the text."""
     out = lines.drop_recurring_lines(docs, whole=True).where("n_dropped = 0 or trim(text) <> ''")
-    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(common.quoted(c)) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that with the smallest doc_id."""
     found = minhash.near_duplicates(docs, width=5, percent=80)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*common.columns_of(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents that holds the raked source, language and topic weights."""
-    return mixing.mix_sources(docs).where("sampled").select(*docs.columns)
+    return mixing.mix_sources(docs).where("sampled").select(*common.columns_of(docs))
 
 
 def sentencepiece_sampling(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
