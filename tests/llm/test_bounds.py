@@ -54,7 +54,8 @@ def test_odd_column_names_pass_through(spark):
     assert pieces.decode_samples(last, queries.tokenizer_path()).columns == [*last.columns, "text"]
 
 
-def test_deviation_of_the_rake(spark):
+def test_deviation_of_the_rake(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 12)
     cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "s string, l string, tokens long")
     ask = lambda s, l: {"s": spark.createDataFrame(s, "s string, target double"), "l": spark.createDataFrame(l, "l string, target double")}
     fine = mixing.rake(cells, ask([("a", 0.3), ("b", 0.7)], [("x", 0.3), ("y", 0.7)])).collect()
