@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import extraction, kernel, lifecycle, matching, publishing, records, retrieval, scalars  # noqa: F401
+from . import extraction, kernel, lifecycle, matching, notices, publishing, records, retrieval, scalars  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
