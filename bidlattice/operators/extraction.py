@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ ANCHORS = (
     Anchor("safety_license", "hard", "资质", r"安全生产许可证", True),
     Anchor("business_license", "hard", "资质", r"营业执照", False),
     Anchor("pm_registered_builder", "hard", "人员", r"(注册)?建造师", True),
-    Anchor("pm_b_cert", "hard", "人员", r"安全生产考核合格证[^。；\n]{0,6}B|B\s*(类|本|证)", True),
+    Anchor("pm_b_cert", "hard", "人员", r"安全生产考核合格证[^。；]{0,6}B|B(类|本|证)", True),
     Anchor("pm_no_active", "hard", "人员", r"(无|没有|不得有)在建", True),
     Anchor("pm_social_security", "hard", "人员", r"社(会)?保(险|障)?[^。；\n]{0,20}(月|证明|缴纳)", True),
     Anchor("safety_officer", "hard", "人员", r"(专职)?安全(生产管理人)?员", True),
@@ -60,7 +62,17 @@ ANCHORS = (
     Anchor("action_open", "action", "开标", r"开标(时间|地点)", False),
     Anchor("action_q_and_a", "action", "答疑/质疑", r"(答疑|质疑)", False),
     Anchor("action_site_visit", "action", "踏勘", r"踏勘", False),
+    Anchor("pm_similar_performance", "hard", "人员", r"项目经理[^。；]{0,30}?(担任|主持|完成)[^。；]{0,30}?(类似|同类)[^。；，]{0,20}?(业绩|项目|工程)", False),
+    Anchor("scoring_similar_performance", "scored", "技术标明标/类似业绩", r"(类似|同类)[^。；]{0,12}?(业绩|工程)[^。；]{0,20}?[得加]\d+分", True),
+    Anchor("scoring_pm", "scored", "技术标/人员评分", r"项目经理[^。；]{0,30}?[得加]\d+分", False),
+    Anchor("scoring_business_credit", "scored", "商务标/信用", r"信用[^。；]{0,10}?\d+分", False),
+    Anchor("scoring_enterprise_honor", "scored", "商务标/企业信誉", r"(鲁班奖|优质工程|安全文明工地|AAA)[^。；]{0,30}?分", False),
+    Anchor("action_bid_bond_due", "action", "保证金到账", r"保证金(递交|到账|缴纳)(时间|截止)?", False),
 )
+#: Ticked boxes; anchors whose polarity is read from their own text, so that their boxes don't matter; how
+#: many characters before a hit its box and clause number are looked for; clause numbers.
+TICKED, TICKED_OR_NOT, BEFORE_HIT = "☑■√☒✓✔", ("consortium",), 24
+CLAUSE_NUMBER = re.compile(r"(?<![\d.])(\d{1,2}(?:\.\d{1,2}){1,3})(?![\d.])")
 #: Fields of the main card and their labels.
 MAIN_CARD = {
     "project_name": "项目名称", "tender_no": "(?:招标|项目)编号", "tenderee": "招标人", "agency": "(?:招标)?代理(?:机构)?", "region": "(?:建设)?地点",
@@ -73,7 +85,6 @@ TERMS = {
     "advance_payment": "预付款", "performance_bond": "履约(?:保证金|担保)", "retention_money": "(?:质量)?保证金|质保金", "warranty": "(?:质量)?保修期|缺陷责任期",
     "provisional_sum": "暂列金额", "downward_rate": "下浮率", "safety_fee": "安全文明施工费", "tech_standard": "技术(?:标准|规范)", "subcontract": "分包",
 }
-CLAUSE = r"(?m)^\s*((?:第[一二三四五六七八九十百]+[章条节])|\d+(?:\.\d+){0,4})"
 
 
 def html_to_text(html: Column) -> Column:
@@ -97,27 +108,65 @@ def listing_links(pages: DataFrame, key: str = "page_id", html: str = "html", ba
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
 
+def _squeezed(raw: str) -> tuple[str, list[int]]:
+    """Text without white space, and the place of each of its characters in the original."""
+    at = [i for i, c in enumerate(raw) if c not in " \t\r\n\f"]
+    return "".join(raw[i] for i in at), at
+
+
+def _not_ticked(before: str, hit: str) -> bool:
+    """An open box in the sentence before a hit or at its beginning, and no ticked one up to its end."""
+    own = re.split("[。；;]", before)[-1]
+    return "□" in own + hit[:3] and not re.search(f"[{TICKED}]", own + hit)
+
+
+def _clause_number(before: str, hit: str) -> str | None:
+    """The last number of the sentence before a hit, else the first one in it."""
+    near = CLAUSE_NUMBER.findall(re.split("[。；;]", before)[-1])
+    return near[-1] if near else next(iter(CLAUSE_NUMBER.findall(hit)), None)
+
+
+def _anchor_hits(anchors: Sequence[Anchor]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = [re.compile(a.pattern) for a in anchors]
+        for batch in batches:
+            rows, ids = [], []
+            for i, raw in enumerate(batch.column("body").to_pylist()):
+                bare, places = _squeezed(raw or "")
+                for n, (anchor, form) in enumerate(zip(anchors, forms, strict=True)):
+                    for m in form.finditer(bare):
+                        before = bare[max(0, m.start() - BEFORE_HIT) : m.start()]
+                        if m[0] and (anchor.key in TICKED_OR_NOT or not _not_ticked(before, m[0])):
+                            start, end = places[m.start()], places[m.end() - 1] + 1
+                            rows.append((n, m.start(), m[0], raw[start:end], start, end, _clause_number(before, m[0])))
+                            ids.append(i)
+                            break
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            keys = [batch.column(c).take(pa.array(ids, pa.int64())) for c in ("doc", "page")]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "page", "anchor", "at", "hit", "quote", "start", "end", "clause_ref"])
+
+    return run
+
+
 def anchor_candidates(pages: DataFrame, anchors: Sequence[Anchor] = ANCHORS, doc: str = "doc_id", page: str = "page_no", body: str = "text") -> DataFrame:
-    """For each document and anchor the first page and quote that fit, unless the quote's box is not ticked; anchors
-    that must be reported and are nowhere get a row with the missing mark.
+    """For each document and anchor the first hit of its pages whose box, if it has one, is ticked; anchors that must be
+    reported and are nowhere get a row with the missing mark.
 
-    All anchors are tested in one pass over a page; the rest is a least-page aggregate.
+    Anchors are matched on the page without white space, so a clause may be broken over lines anywhere; all hits of a page
+    are tried until one is ticked. assertion is the hit without white space (300 characters, then …), quote the original
+    slice [start, end) for it. A page is read once for all anchors; the rest is a least-page aggregate.
     """
-    hits = F.array_compact(F.array(*[
-        F.when(F.regexp_extract(body, a.pattern, 0) != "", F.struct(F.lit(i).alias("anchor"), F.regexp_extract(body, a.pattern, 0).alias("hit"), F.regexp_instr(F.col(body), F.lit(a.pattern)).alias("at")))
-        for i, a in enumerate(anchors)
-    ]))
-    found = pages.select(doc, page, body, F.explode(hits).alias("h"))
-    sentence = F.concat(F.regexp_extract(F.left(body, F.col("h.at") - 1), r"([^。；\n]*)$", 1), F.regexp_extract(F.substr(F.col(body), F.col("h.at")), r"^([^。；\n]*)", 1))
-    unticked = sentence.contains("□") & ~sentence.rlike("[☑√■]")
-    clause = F.element_at(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1)), -1)
-    found = found.where(~unticked).select(doc, page, F.col("h.anchor").alias("anchor"), F.col("h.hit").alias("quote"), F.col("h.at").alias("at"), F.when(F.size(F.regexp_extract_all(F.left(body, F.col("h.at")), F.lit(CLAUSE), F.lit(1))) > 0, clause).alias("clause_ref"))
-    first = found.groupBy(doc, "anchor").agg(F.min(F.struct(page, "at", "quote", "clause_ref")).alias("f")).select(doc, "anchor", f"f.{page}", "f.quote", "f.clause_ref")
+    kinds = dict(pages.dtypes)
+    schema = f"doc {kinds[doc]}, page {kinds[page]}, anchor int, at int, hit string, quote string, start int, end int, clause_ref string"
+    found = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(body).alias("body")).mapInArrow(_anchor_hits(tuple(anchors)), schema)
+    first = found.groupBy("doc", "anchor").agg(F.min(F.struct("page", "at", "hit", "quote", "start", "end", "clause_ref")).alias("f")).select(F.col("doc").alias(doc), "anchor", "f.*")
     table = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip((i, *a[:3], a.must), ("anchor", "anchor_key", "req_type", "category", "must"), strict=True)]) for i, a in enumerate(anchors)])
     wanted = pages.select(doc).distinct().select(doc, F.inline(table))
+    cut = F.when(F.length("hit") > 300, F.concat(F.left("hit", F.lit(300)), F.lit("…"))).otherwise(F.col("hit"))
     return (
-        wanted.join(first, [doc, "anchor"], "left").where(F.col("quote").isNotNull() | F.col("must"))
-        .select(doc, "anchor_key", "req_type", "category", page, F.coalesce("quote", F.lit(MISSING)).alias("assertion"), "clause_ref", F.col("quote").isNull().alias("missing"))
+        wanted.join(first, [doc, "anchor"], "left").where(F.col("hit").isNotNull() | F.col("must"))
+        .select(doc, "anchor_key", "req_type", "category", F.col("page").alias(page), F.coalesce(cut, F.lit(MISSING)).alias("assertion"), "quote", "start", "end", "clause_ref", F.col("hit").isNull().alias("missing"))
     )
 
 

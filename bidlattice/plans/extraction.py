@@ -49,14 +49,6 @@ def _sample(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(SAMPLE), "doc_id string, page_no int, text string")
 
 
-@query("""SELECT * FROM (VALUES ('d1', 'qualification_grade', 1, false, '1.1'), ('d1', 'safety_license', 1, false, '1.1'), ('d1', 'bid_validity', 2, false, '2.3'), ('d1', 'consortium', NULL, true, NULL), ('d1', 'bid_bond', NULL, true, NULL), ('d1', 'safety_officer', NULL, true, NULL),
- ('d2', 'qualification_grade', NULL, true, NULL), ('d2', 'safety_license', NULL, true, NULL), ('d2', 'bid_validity', NULL, true, NULL), ('d2', 'consortium', NULL, true, NULL), ('d2', 'bid_bond', 2, false, '3.1'), ('d2', 'safety_officer', 2, false, '3.1')) v(doc_id, anchor_key, page_no, missing, clause_ref)""")
-def j1_anchor_candidates(t: Tables) -> DataFrame:
-    keys = ("qualification_grade", "safety_license", "bid_validity", "consortium", "bid_bond", "safety_officer")
-    out = ex.anchor_candidates(_sample(t), [a for a in ex.ANCHORS if a.key in keys])
-    return out.select("doc_id", "anchor_key", "page_no", "missing", "clause_ref")
-
-
 @query("""SELECT * FROM (VALUES ('d2', 'project_name', 1, '滨河路改造工程'), ('d2', 'tenderee', 1, '某市建设局'), ('d2', 'ceiling_price', 1, '1200万元'), ('d2', 'deadline_bid', 1, '2026年9月2日9:30'), ('d2', 'bid_bond_amount', 2, '人民币20万元')) v(doc_id, field, page_no, value)""")
 def j3_main_card(t: Tables) -> DataFrame:
     return ex.labelled_fields(_sample(t), ex.MAIN_CARD, max_pages=12).select("doc_id", "field", "page_no", "value")

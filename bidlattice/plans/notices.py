@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clauses
+from ..operators import extraction as ex
 from .registry import Tables, query
 
 #: Field, its clause, its value: {a} is a number of two digits, {d} one of one digit, both of the supplier's key.
@@ -71,3 +72,46 @@ def o1_folded_documents(t: Tables) -> DataFrame:
     piece = F.substring(F.col("text"), first + 1, F.get(own, F.size(own) - 1) - first + 1)
     same = F.regexp_replace(piece, r"\s+", " ") == F.substring(F.col("folded"), F.col("at") + 1, F.lit(512))
     return parts.groupBy("doc_id").agg(F.first(F.length("folded")).alias("size"), F.first(F.md5("folded")).alias("folded_md5"), F.every(F.coalesce(same, F.size("offsets") == 0)).alias("led_back"))
+
+
+#: Anchor, a sentence that meets it and no earlier one, and the hit.
+SENTENCES = (
+    ("qualification_grade", "资质等级为二级", "资质等级为二级"), ("safety_license", "持有安全生产许可证", "安全生产许可证"), ("business_license", "持有营业执照", "营业执照"),
+    ("pm_registered_builder", "须为注册建造师", "注册建造师"), ("pm_b_cert", "安全生产考核合格证B", "安全生产考核合格证B"), ("pm_no_active", "无在建", "无在建"),
+    ("pm_social_security", "社保三个月", "社保三个月"), ("safety_officer", "专职安全员", "专职安全员"), ("tech_lead", "设技术负责人", "技术负责人"), ("tech_team", "设施工员", "施工员"),
+    ("design_lead", "设设计负责人", "设计负责人"), ("construction_lead", "设施工负责人", "施工负责人"), ("financial_audit", "财务审计报告", "财务审计报告"),
+    ("tax_social_proof", "完税凭证", "完税凭证"), ("credit_no_loser", "非失信被执行人", "失信被执行人"), ("credit_blacklist", "未列入黑名单", "黑名单"),
+    ("no_major_violation", "无重大违法记录", "重大违法记录"), ("consortium", "接受联合体", "联合体"), ("bid_validity", "投标有效期90", "投标有效期90"),
+    ("bid_bond", "交投标保证金", "投标保证金"), ("ceiling_price", "设最高投标限价", "最高投标限价"), ("similar_performance_hard", "有类似工程业绩", "类似工程业绩"),
+    ("prequalification_method", "资格后审", "资格后审"), ("evaluation_method", "综合评估法", "综合评估法"), ("scoring_tech", "技术标满分", "技术标满分"),
+    ("scoring_price", "报价得分", "报价得分"), ("scoring_construction_plan", "施工组织设计", "施工组织设计"), ("scoring_equipment", "机械设备", "机械设备"),
+    ("action_file_acquisition", "凭证报名", "报名"), ("action_deadline_bid", "投标截止时间", "投标截止时间"), ("action_open", "开标时间", "开标时间"),
+    ("action_q_and_a", "答疑", "答疑"), ("action_site_visit", "踏勘", "踏勘"), ("pm_similar_performance", "项目经理担任过同类项目", "项目经理担任过同类项目"),
+    ("scoring_similar_performance", "同类工程每项得3分", "同类工程每项得3分"), ("scoring_pm", "项目经理有职称得2分", "项目经理有职称得2分"),
+    ("scoring_business_credit", "信用满80分", "信用满80分"), ("scoring_enterprise_honor", "鲁班奖计分", "鲁班奖计分"), ("action_bid_bond_due", "保证金到账", "保证金到账"),
+)
+
+
+def _pages(t: Tables) -> DataFrame:
+    """Two pages of each supplier, by its key: a clause whose box is open and later a ticked one; a numbered clause on the
+    first page; a clause on the second page that is broken after every character."""
+    kind = F.col("s_suppkey") % 3
+    joined = lambda before, each: F.concat(*[F.concat(F.lit(before), each(F.lit(s)), F.lit("。\n")) for _, s, _ in SENTENCES])
+    same = lambda s: s
+    one = F.when(kind == 0, joined("□1.1 ", same)).when(kind == 1, joined("3.4 ", same)).otherwise("总则。")
+    two = F.when(kind == 0, joined("☑ 1.2 ", same)).when(kind == 1, "附则。").otherwise(joined("", lambda s: F.regexp_replace(s, "(.)", "$1 \n")))
+    return t.supplier.select("s_suppkey", F.posexplode(F.array(one, two)).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
+
+
+_SENTENCES = ", ".join(f"('{k}', '{h}')" for k, _, h in SENTENCES)
+
+
+@query(f"""SELECT s_suppkey, anchor_key, CASE WHEN s_suppkey % 3 = 1 OR s_suppkey % 3 = 0 AND anchor_key = 'consortium' THEN 1 ELSE 2 END AS page_no, assertion,
+ CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN anchor_key = 'consortium' THEN '1.1' ELSE '1.2' END WHEN 1 THEN '3.4' END AS clause_ref, true AS quoted
+ FROM supplier, (VALUES {_SENTENCES}) v(anchor_key, assertion)""")
+def j1_anchor_candidates(t: Tables) -> DataFrame:
+    """All anchors on all pages; quoted: the quote is the slice of the page that its span names."""
+    pages = _pages(t)
+    found = ex.anchor_candidates(pages, doc="s_suppkey").where("not missing").join(pages, ["s_suppkey", "page_no"])
+    own = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select("s_suppkey", "anchor_key", "page_no", "assertion", "clause_ref", (own == F.col("quote")).alias("quoted"))

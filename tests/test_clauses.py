@@ -81,3 +81,32 @@ def test_long_clauses_say_that_they_are_cut(spark):
 def test_required_fields_get_a_row(spark):
     got = clauses.prescreen_fields(spark.createDataFrame([(1, "无"), (1, "无"), (2, "")], SCHEMA)).groupBy("doc_id").agg(F.count("*").alias("n"), F.every("missing").alias("m")).collect()
     assert [tuple(r) for r in got] == [(1, 14, True)]
+
+
+def test_anchors_take_the_first_ticked_hit_anywhere():
+    from bidlattice.operators import extraction as ex
+
+    bond = next(a for a in ex.ANCHORS if a.key == "bid_bond")
+    run = ex._anchor_hits([bond])
+    import pyarrow as pa
+
+    def hits(*pages):
+        batch = pa.RecordBatch.from_arrays([pa.array([1] * len(pages)), pa.array(range(len(pages))), pa.array(list(pages))], names=["doc", "page", "body"])
+        return [(r["page"], r["quote"], r["clause_ref"]) for b in run([batch]) for r in b.to_pylist()]
+
+    assert hits("□3.4 须交投标保证金。☑3.5 须交投标 保\n证金。") == [(0, "投标 保\n证金", "3.5")]  # an open box, then a ticked one on the same page
+    assert hits("□须交投标保证金。", "投标保证金") == [(1, "投标保证金", None)]
+    assert hits("□不要求 ☑要求提交投标保证金") == [(0, "投标保证金", None)]
+    assert hits(None, "", "□投标保证金") == []
+    far = "□" + "很" * 30 + "投标保证金"
+    assert [h[0] for h in hits(far)] == [0]  # the box is beyond the characters that are looked at
+
+
+def test_missing_anchors(spark):
+    from bidlattice.operators import extraction as ex
+
+    pages = spark.createDataFrame([(1, 1, "投标保证金" * 2 + "长" * 400), (2, 1, None), (2, 1, None)], "doc_id long, page_no int, text string")
+    got = ex.anchor_candidates(pages).collect()
+    must = sum(a.must for a in ex.ANCHORS)
+    assert len(got) == 2 * must and {r.assertion for r in got if r.doc_id == 2} == {ex.MISSING}
+    assert [(r.anchor_key, r.start, r.end) for r in got if not r.missing] == [("bid_bond", 0, 5)]
