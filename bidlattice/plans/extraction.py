@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as ex
 from ..sources import readers
-from .registry import Tables, query
+from .registry import Tables, filled, filled_sql, query
 
 
 @query()
@@ -39,28 +39,28 @@ def a6_source_registry(t: Tables) -> DataFrame:
     return readers.source_registry(t.spark).groupBy("level").agg(F.count("*").alias("n"), F.count_if("collectable").alias("collectable"))
 
 
-SAMPLE = (
-    ("d1", 1, "第一章 总则\n1.1 投标人资质要求：建筑工程施工总承包二级。投标人须具有有效的安全生产许可证。"), ("d1", 2, "2.3 本项目接受联合体投标：□接受。投标有效期为90日历天。"),
-    ("d2", 1, "项目名称：滨河路改造工程\n招标人：某市建设局\n最高投标限价：1200万元\n投标截止时间：2026年9月2日9:30"), ("d2", 2, "3.1 投标保证金：人民币20万元。专职安全员不少于3名。"),
+#: Field, kind, proposed quote, the page that holds it, its number, why it is refused.
+QUOTES = (
+    ("ceiling", "amount", "最高投标限价：{a}00万元", 1, "{a}000000", None), ("bond", "amount", "投标保证金：人民币{a}万元", 2, "{a}0000", None), ("validity", "duration", "投标有效期为{a}日历天", 2, "{a}", None),
+    ("price", "amount", "报价不高于{a}万", None, None, "quote_not_found"), ("grade", "percent", "施工总承包{d}级", 1, None, "no_value"),
 )
 
 
-def _sample(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(SAMPLE), "doc_id string, page_no int, text string")
+def _quote_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The proposed quotes of each supplier, and its pages, which hold those with a page."""
+    on = lambda n: F.concat(F.lit("正文。"), *[F.concat(filled(q, "s_suppkey"), F.lit("。")) for _, _, q, p, _, _ in QUOTES if p == n])
+    pages = t.supplier.select("s_suppkey", F.posexplode(F.array(on(1), on(2))).alias("n", "text")).select("s_suppkey", (F.col("n") + 1).alias("page_no"), "text")
+    asked = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), filled(q, "s_suppkey").alias("quote")) for f, k, q, *_ in QUOTES])
+    return t.supplier.select("s_suppkey", F.inline(asked)), pages
 
 
-@query("""SELECT * FROM (VALUES ('d2', 'project_name', 1, '滨河路改造工程'), ('d2', 'tenderee', 1, '某市建设局'), ('d2', 'ceiling_price', 1, '1200万元'), ('d2', 'deadline_bid', 1, '2026年9月2日9:30'), ('d2', 'bid_bond_amount', 2, '人民币20万元')) v(doc_id, field, page_no, value)""")
-def j3_main_card(t: Tables) -> DataFrame:
-    return ex.labelled_fields(_sample(t), ex.MAIN_CARD, max_pages=12).select("doc_id", "field", "page_no", "value")
+_WANTED = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in (f, p, x, r)) + ")" for f, _, _, p, x, r in QUOTES)
 
 
-QUOTES = (("d2", "ceiling", "amount", "最高投标限价：1200万元"), ("d2", "bond", "amount", "投标保证金：人民币20万元"), ("d1", "validity", "duration", "投标有效期为90日历天"), ("d1", "price", "amount", "报价不高于一百万"), ("d1", "grade", "percent", "施工总承包二级"))
-
-
-@query("""SELECT * FROM (VALUES ('d2', 'ceiling', 1, 12000000.0, NULL), ('d2', 'bond', 2, 200000.0, NULL), ('d1', 'validity', 2, 90.0, NULL), ('d1', 'price', NULL, NULL, 'quote_not_found'), ('d1', 'grade', 1, NULL, 'no_value')) v(doc_id, field, page_no, number, reject_reason)""")
+@query(f"SELECT s_suppkey, field, page_no::INT AS page_no, {filled_sql('number', 's_suppkey')}::DOUBLE AS number, reject_reason FROM supplier, (VALUES {_WANTED}) v(field, page_no, number, reject_reason)")
 def j6_o5_verified_quotes(t: Tables) -> DataFrame:
-    q = t.spark.createDataFrame(list(QUOTES), "doc_id string, field string, kind string, quote string")
-    return ex.verified_quotes(q, _sample(t)).select("doc_id", "field", "page_no", F.col("value").cast("double").alias("number"), "reject_reason")
+    quotes, pages = _quote_rows(t)
+    return ex.verified_quotes(quotes, pages, "s_suppkey").select("s_suppkey", "field", "page_no", F.col("value").cast("double").alias("number"), "reject_reason")
 
 
 @query()

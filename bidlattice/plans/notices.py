@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clauses
+from ..operators import cards, clauses
 from ..operators import extraction as ex
-from .registry import Tables, query
+from .registry import Tables, filled, filled_sql, query
 
 #: Field, its clause, its value: {a} is a number of two digits, {d} one of one digit, both of the supplier's key.
 CLAUSES = (
@@ -30,25 +30,18 @@ CLAUSES = (
 )
 
 
-def _filled(template: str, key: str) -> Column:
-    """template with the numbers of a key in it."""
-    a, d = (F.col(key) % 90 + 10).cast("string"), (F.col(key) % 9 + 1).cast("string")
-    return F.replace(F.replace(F.lit(template), F.lit("{a}"), a), F.lit("{d}"), d)
-
-
 def _notices(t: Tables) -> DataFrame:
     """A notice of each supplier: all clauses in order, between white space of lengths that its key sets. Of every seventh
     key it doesn't state the duration."""
     gap = F.repeat(F.lit(" \n"), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    parts = [F.when((F.lit(f) == "duration") & (F.col("s_suppkey") % 7 == 0), F.lit("")).otherwise(F.concat(gap, _filled(c, "s_suppkey"), F.lit("。"))) for f, c, _ in CLAUSES]
+    parts = [F.when((F.lit(f) == "duration") & (F.col("s_suppkey") % 7 == 0), F.lit("")).otherwise(F.concat(gap, filled(c, "s_suppkey"), F.lit("。"))) for f, c, _ in CLAUSES]
     return t.supplier.select("s_suppkey", F.concat(*parts, gap).alias("text"))
 
 
 _WANTED = ", ".join(f"('{f}', '{v}')" for f, _, v in CLAUSES)
-_FILL = "replace(replace({}, '{{a}}', (s_suppkey % 90 + 10)::VARCHAR), '{{d}}', (s_suppkey % 9 + 1)::VARCHAR)"
 
 
-@query(f"""SELECT s_suppkey, field, CASE WHEN gone THEN NULL ELSE {_FILL.format("v")} END AS value, gone AS missing, NOT gone AS quoted
+@query(f"""SELECT s_suppkey, field, CASE WHEN gone THEN NULL ELSE {filled_sql("v", "s_suppkey")} END AS value, gone AS missing, NOT gone AS quoted
  FROM (SELECT s_suppkey, field, v, field = 'duration' AND s_suppkey % 7 = 0 AS gone FROM supplier, (VALUES {_WANTED}) w(field, v))""")
 def j5_o1_o4_prescreened_notices(t: Tables) -> DataFrame:
     """Every anchor on every notice; quoted: the quote is the slice of the original that its span names."""
@@ -115,3 +108,76 @@ def j1_anchor_candidates(t: Tables) -> DataFrame:
     found = ex.anchor_candidates(pages, doc="s_suppkey").where("not missing").join(pages, ["s_suppkey", "page_no"])
     own = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     return found.select("s_suppkey", "anchor_key", "page_no", "assertion", "clause_ref", (own == F.col("quote")).alias("quoted"))
+
+
+def _card_pages(t: Tables) -> DataFrame:
+    """By the supplier's key modulo 3: all on the first pages; the region behind the notice and no closing date; no name, and
+    what a table says."""
+    kind, none = F.col("s_suppkey") % 3, F.lit("")
+    fill = lambda s: filled(s, "s_suppkey")
+    first = fill("第{a}号道路工程 已由发改委批准，施工招标公告。项目编号：ZB-2026{a}。招 标人为：第一建设局，代理机构为：诚信咨询公司。最高投标限价{a}00万元。")
+    one = (
+        F.when(kind == 0, F.concat(first, F.lit("建设地点：河北省石家\n庄市长安区。"), fill("投标截止时间为2026年3月{d}日9时30分。请于2026年1月{d}日8:00前报名。")))
+        .when(kind == 1, F.concat(first, F.lit("建设地点：见前附表。"))).otherwise("目录。设计招标。")
+    )
+    far = F.when(kind == 1, fill("工程地点：中山路{a}号院。")).otherwise(none)
+    return t.supplier.select("s_suppkey", F.explode(F.array(F.struct(F.lit(1).alias("page_no"), one.alias("text")), F.struct(F.lit(13).alias("page_no"), far.alias("text")))).alias("p")).select("s_suppkey", "p.*")
+
+
+def _card_cells(t: Tables) -> DataFrame:
+    rows = (("1.1.2 招标人", "", "名称：石家庄第{a}建设局 地址：中山路"), ("10.1 招标控制价", "{a}0万元整", ""), ("建设地点", "详见图纸", ""), ("说明", "", ""))
+    cells = [F.struct(F.lit(i).alias("row_no"), F.lit(j).alias("col_no"), filled(c, "s_suppkey").alias("cell")) for i, r in enumerate(rows) for j, c in enumerate(r)]
+    return t.supplier.select("s_suppkey", F.lit(2).alias("page_no"), F.lit(0).alias("table_no"), F.explode(F.array(*cells)).alias("c")).select("s_suppkey", "page_no", "table_no", "c.*")
+
+
+_CARDS = (
+    (0, "project_name", "第{a}号道路工程", 1), (0, "tender_no", "ZB-2026{a}", 1), (0, "tenderee", "第一建设局", 1), (0, "agency", "诚信咨询公司", 1), (0, "region", "河北省石家庄市长安区", 1), (0, "ceiling_price", "{a}00万元", 1),
+    (0, "deadline_bid", "2026-03-0{d} 09:30", 1), (0, "deadline_signup", "2026-01-0{d} 08:00", 1), (0, "project_type", "工程（施工招标）", None),
+    (1, "project_name", "第{a}号道路工程", 1), (1, "tender_no", "ZB-2026{a}", 1), (1, "tenderee", "第一建设局", 1), (1, "agency", "诚信咨询公司", 1), (1, "region", "中山路{a}号院", 13), (1, "ceiling_price", "{a}00万元", 1),
+    (1, "deadline_bid", ex.MISSING, None), (1, "project_type", "工程（施工招标）", None),
+    (2, "project_name", ex.MISSING, None), (2, "tenderee", "石家庄第{a}建设局", 2), (2, "ceiling_price", "{a}0万元", 2), (2, "region", ex.MISSING, None), (2, "deadline_bid", ex.MISSING, None), (2, "project_type", "工程（设计招标）", None),
+)
+_CARD_ROWS = ", ".join(f"({k}, '{f}', '{v}', {'NULL' if p is None else p})" for k, f, v, p in _CARDS)
+
+
+@query(f"""SELECT s_suppkey, field, {filled_sql("v", "s_suppkey")} AS value, p::INT AS page_no, v = '{ex.MISSING}' AS missing FROM supplier JOIN (VALUES {_CARD_ROWS}) w(k, field, v, p) ON k = s_suppkey % 3""")
+def j3_main_card(t: Tables) -> DataFrame:
+    return cards.main_card(_card_pages(t), _card_cells(t), "s_suppkey").select("s_suppkey", "field", "value", "page_no", "missing")
+
+
+#: Anchor, number of the proposal, quote, the page that it stands on, why it is refused.
+PROPOSALS = (
+    ("bid_bond", 1, "投标 保证金{a}万元", 2, None), ("bid_bond", 2, "保证金{a}万元", 2, "late"), ("ceiling_price", 1, "最高限价详见附件", 1, "no_value"), ("bid_validity", 1, "工期为{a}天", 1, "topic"),
+    ("consortium", 1, "关于联合体的规定", 2, "polarity"), ("consortium", 2, "本项目不接受联合体", 1, None), ("safety_license", 1, "安全生产许可证{a}号", None, "not_verbatim"), ("scoring_pm", 1, "项目经理按职称计分", 1, "no_guard"),
+    ("qualification_grade", 1, "资质为二级", 1, "not_missing"), ("pm_registered_builder", 1, "项目经理为\n一级建造师", 2, None), ("similar_performance_hard", 1, "业绩良好", 2, "topic"),
+)
+
+
+def _proposed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, proposals and pages of each supplier."""
+    fill = lambda s: filled(s, "s_suppkey")
+    on = lambda n: F.concat(F.lit("正文。"), *[F.concat(fill(q.replace(" ", "")), F.lit("。\n")) for _, _, q, p, _ in PROPOSALS if p == n])
+    pages = t.supplier.select("s_suppkey", F.posexplode(F.array(on(1), on(2))).alias("n", "text")).select("s_suppkey", (F.col("n") + 1).alias("page_no"), "text")
+    keys = list(dict.fromkeys(k for k, *_ in PROPOSALS))
+    cand = t.supplier.select("s_suppkey", F.explode(F.array(*[F.lit(k) for k in keys])).alias("anchor_key")).withColumn("missing", F.col("anchor_key") != "qualification_grade")
+    cand = cand.withColumns({"assertion": F.when(F.col("missing"), ex.MISSING).otherwise("资质等级"), "page_no": F.when(~F.col("missing"), 1)})
+    asked = [F.struct(F.lit(k).alias("anchor_key"), F.lit(n).alias("seq"), fill(q).alias("quote")) for k, n, q, _, _ in PROPOSALS]
+    return cand, t.supplier.select("s_suppkey", F.inline(F.array(*asked))), pages
+
+
+_JUDGED = ", ".join(f"('{k}', {n}, {'NULL' if r in ('not_missing', 'not_verbatim') else p}, {'NULL' if r is None else repr(r)})" for k, n, _, p, r in PROPOSALS)
+
+
+@query(f"SELECT s_suppkey, anchor_key, seq, page_no::INT AS page_no, reject_reason FROM supplier, (VALUES {_JUDGED}) v(anchor_key, seq, page_no, reject_reason)")
+def o8_judged_proposals(t: Tables) -> DataFrame:
+    return cards.judged_proposals(*_proposed(t), doc="s_suppkey").select("s_suppkey", "anchor_key", "seq", "page_no", "reject_reason")
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES {_JUDGED}) v(anchor_key, seq, page_no, reason)),
+ w AS (SELECT anchor_key, max(page_no) FILTER (reason IS NULL) AS p, string_agg(reason, ',' ORDER BY seq) AS r FROM v GROUP BY 1)
+ SELECT s_suppkey, anchor_key, CASE WHEN anchor_key = 'qualification_grade' THEN '资质等级' WHEN anchor_key = 'bid_bond' THEN '投标保证金' || (s_suppkey % 90 + 10) || '万元' WHEN anchor_key = 'consortium' THEN '本项目不接受联合体'
+ WHEN anchor_key = 'pm_registered_builder' THEN '项目经理为一级建造师' ELSE '{ex.MISSING}' END AS assertion, CASE WHEN anchor_key = 'qualification_grade' THEN 1 ELSE p END::INT AS page_no,
+ p IS NULL AND anchor_key <> 'qualification_grade' AS missing, CASE WHEN p IS NULL AND anchor_key <> 'qualification_grade' THEN r END AS refused FROM supplier, w""")
+def o8_replaced_rules(t: Tables) -> DataFrame:
+    out = cards.replaced_rules(*_proposed(t), doc="s_suppkey")
+    return out.select("s_suppkey", "anchor_key", "assertion", "page_no", "missing", F.array_join("refused", ",").alias("refused"))

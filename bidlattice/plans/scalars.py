@@ -1,4 +1,4 @@
-"""Scalar functions (inventory I) over the driver's tables and over small fixed rows."""
+"""Scalar functions (inventory I) over the driver's tables, or over texts that their keys fill."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text, values
 from ..operators import relational as rel
-from .registry import Tables, query
+from .registry import Tables, cases, cases_sql, query
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(translate(text, '，。！？：；（）', ',。!?:;()'), '[\s]+', '', 'g')) AS name_md5, len(regexp_extract_all(text, '[A-Za-z0-9]+|[\x{4e00}-\x{9fff}]'))::INT AS tokens, 2 * length(text)::INT - length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\n]', '', 'g'))::INT AS width FROM
@@ -41,24 +41,24 @@ def i17_i63_i65_keys_and_hashes(t: Tables) -> DataFrame:
 
 
 TITLES = (
-    ("某市道路工程招标公告", "tender", "某市道路工程"), ("某市道路工程中标候选人公示", "win", "某市道路工程"), ("设备采购竞争性磋商公告", "procure", "设备采购竞争性"), ("桥梁项目资格预审公告", "prequal", "桥梁项目"),
-    ("桥梁项目更正公告", "change", "桥梁项目更正公告"), ("商铺出租公告", "lease", "商铺出租公告"), ("3号楼施工招标公告", "other", "3号楼施工"), ("", "other", ""), ("管网改造一标段招标公告", "tender", "管网改造"),
+    ("某市道路{a}工程招标公告", "tender", "某市道路{a}工程"), ("某市道路{a}工程中标候选人公示", "win", "某市道路{a}工程"), ("设备{a}采购竞争性磋商公告", "procure", "设备{a}采购竞争性"), ("桥梁{a}项目资格预审公告", "prequal", "桥梁{a}项目"),
+    ("桥梁{a}项目更正公告", "change", "桥梁{a}项目更正公告"), ("商铺{a}出租公告", "lease", "商铺{a}出租公告"), ("{d}号楼施工招标公告", "other", "{d}号楼施工"), ("", "other", ""), ("管网{a}改造一标段招标公告", "tender", "管网{a}改造"),
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TITLES) + ") v(title, kind, project)")
+@query("SELECT p_partkey, kind, project FROM (" + cases_sql("part", "p_partkey", TITLES, ("raw", "kind", "project")) + ")")
 def i26_i27_title_types(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(x[0],) for x in TITLES], "title string")
-    return d.select("title", classify.title_type(F.col("title")).alias("kind"), classify.project_key(F.col("title")).alias("project"))
+    d = cases(t.part, "p_partkey", [x[0] for x in TITLES])
+    return d.select("p_partkey", classify.title_type(F.col("raw")).alias("kind"), classify.project_key(F.col("raw")).alias("project"))
 
 
-AMOUNTS = (("合同额1,234.5万元", "12345000.0000"), ("3亿", "300000000.0000"), ("500元整", "500.0000"), ("没有数字", None), ("12.34", "12.3400"))
+AMOUNTS = (("合同额1,2{a}.5万元", "12{a}5000"), ("{d}亿", "{d}00000000"), ("5{a}元整", "5{a}"), ("没有数字", None), ("{a}.34", "{a}.34"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b or 'NULL'}::DOUBLE)" for a, b in AMOUNTS) + ") v(raw, yuan)")
+@query("SELECT p_partkey, yuan::DOUBLE AS yuan FROM (" + cases_sql("part", "p_partkey", AMOUNTS, ("raw", "yuan")) + ")")
 def i53_amounts(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(a,) for a, _ in AMOUNTS], "raw string")
-    return d.select("raw", values.normalise_amount(F.col("raw")).cast("double").alias("yuan"))
+    d = cases(t.part, "p_partkey", [a for a, _ in AMOUNTS])
+    return d.select("p_partkey", values.normalise_amount(F.col("raw")).cast("double").alias("yuan"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * 10000, 2) AS yuan FROM lineitem")
@@ -67,21 +67,21 @@ def i53_amounts_from_text(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", values.normalise_amount(raw).cast("double").alias("yuan"))
 
 
-CAPITALS = (("人民币壹佰贰拾叁万肆仟元整", 1234000), ("贰亿零伍万元", 200050000), ("拾伍元", 15), ("捌仟零玖元", 8009), ("无", None))
+CAPITALS = (("人民币{c}佰贰拾叁万肆仟元整", "{d}234000"), ("{c}亿零伍万元", "{d}00050000"), ("拾{c}元", "1{d}"), ("捌仟零{c}元", "800{d}"), ("无", None))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b}::BIGINT)" for a, b in CAPITALS) + ") v(raw, yuan)")
+@query("SELECT p_partkey, yuan::BIGINT AS yuan FROM (" + cases_sql("part", "p_partkey", CAPITALS, ("raw", "yuan")) + ")")
 def i54_capital_amounts(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(a,) for a, _ in CAPITALS], "raw string")
-    return d.select("raw", values.capital_amount(F.col("raw")).alias("yuan"))
+    d = cases(t.part, "p_partkey", [a for a, _ in CAPITALS])
+    return d.select("p_partkey", values.capital_amount(F.col("raw")).alias("yuan"))
 
 
-DATES = (("2026-09-02", "2026-09-02"), ("2026/9/2", "2026-09-02"), ("2026.09.02", "2026-09-02"), ("2026年9月2日", "2026-09-02"), ("2026年9月", "2026-09-01"), ("2026-13-40", None), ("soon", None))
+DATES = (("2026-09-{a}", None), ("2026-09-0{d}", "2026-09-0{d}"), ("2026/{d}/2", "2026-0{d}-02"), ("2026.09.0{d}", "2026-09-0{d}"), ("2026年9月{d}日", "2026-09-0{d}"), ("2026年{d}月", "2026-0{d}-01"), ("2026-13-4{d}", None), ("soon {d}", None))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)}::DATE)" for a, b in DATES) + ") v(raw, day)")
+@query("SELECT p_partkey, CASE WHEN raw LIKE '2026-09-__' AND right(raw, 2) BETWEEN '10' AND '30' THEN raw ELSE day END::DATE AS day FROM (" + cases_sql("part", "p_partkey", DATES, ("raw", "day")) + ")")
 def i47_dates(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(a,) for a, _ in DATES], "raw string").select("raw", values.normalise_date(F.col("raw")).alias("day"))
+    return cases(t.part, "p_partkey", [a for a, _ in DATES]).select("p_partkey", values.normalise_date(F.col("raw")).alias("day"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS week, (date_trunc('week', o_orderdate)::DATE - 7) AS previous_start, date_trunc('week', o_orderdate)::DATE AS monday FROM orders""")
@@ -102,22 +102,24 @@ def i68_json_fields(t: Tables) -> DataFrame:
     return t.events.select("event_id", s["value"].alias("value"), s["missing"].alias("missing"))
 
 
-CLAUSES = (("本项目接受联合体投标。", "allowed", None), ("本项目不接受联合体投标。", "refused", None), ("联合体投标：☑不接受 □接受", "refused", None), ("中标后不允许分包。", None, "refused"), ("另见附件。", None, None))
+CLAUSES = (
+    ("第{a}标段接受联合体投标。", "allowed", None), ("第{a}标段不接受联合体投标。", "refused", None), ("联合体投标：☑不接受 □接受，见{a}页", "refused", None), ("第{a}标段中标后不允许分包。", None, "refused"), ("另见附件{a}。", None, None),
+)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)}, {'NULL' if c is None else repr(c)})" for a, b, c in CLAUSES) + ") v(clause, consortium, subcontract)")
+@query("SELECT s_suppkey, consortium, subcontract FROM (" + cases_sql("supplier", "s_suppkey", CLAUSES, ("raw", "consortium", "subcontract")) + ")")
 def i35_polarity_fields(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(a[0],) for a in CLAUSES], "clause string")
-    return d.select("clause", *[classify.polarity(F.col("clause"), *classify.POLARITY_FIELDS[k]).alias(k) for k in ("consortium", "subcontract")])
+    d = cases(t.supplier, "s_suppkey", [a[0] for a in CLAUSES])
+    return d.select("s_suppkey", *[classify.polarity(F.col("raw"), *classify.POLARITY_FIELDS[k]).alias(k) for k in ("consortium", "subcontract")])
 
 
-LEVELS = (("建筑工程壹级资质", "一级", 4, 3), ("特级", "特级", 5, 4), ("工程设计乙级", "乙级", 3, 2), ("不详", None, None, -1))
+LEVELS = (("建筑工程{a}壹级资质", "一级", 4, 3), ("{a}特级", "特级", 5, 4), ("工程设计{a}乙级", "乙级", 3, 2), ("不详{a}", None, None, -1))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)}, {'NULL' if c is None else c}::INT, {d}::INT)" for a, b, c, d in LEVELS) + ") v(raw, level, proof_rank, rule_rank)")
+@query("SELECT s_suppkey, level, proof_rank::INT AS proof_rank, rule_rank::INT AS rule_rank FROM (" + cases_sql("supplier", "s_suppkey", LEVELS, ("raw", "level", "proof_rank", "rule_rank")) + ")")
 def i21_i22_levels(t: Tables) -> DataFrame:
     level = text.normalise_level(F.col("raw"))
-    return t.spark.createDataFrame([(x[0],) for x in LEVELS], "raw string").select("raw", level.alias("level"), text.proof_level_rank(level).alias("proof_rank"), text.rule_level_rank(level).alias("rule_rank"))
+    return cases(t.supplier, "s_suppkey", [x[0] for x in LEVELS]).select("s_suppkey", level.alias("level"), text.proof_level_rank(level).alias("proof_rank"), text.rule_level_rank(level).alias("rule_rank"))
 
 
 @query("""SELECT part.p_partkey, abs(p_retailprice - p_size * 30) / greatest(p_retailprice, p_size * 30) AS gap, round(25 * (p_size / 50.0) + 25 * (p_partkey % 2) + 25 + 15 * 0.5 + 10, 2) AS score FROM part""")
