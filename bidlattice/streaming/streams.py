@@ -66,24 +66,6 @@ def limited(events: DataFrame, key: str, ts: str, min_gap_s: int = 30) -> DataFr
     return _timed(events, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the newest row of each key; each batch writes a version of its own.
-
-    A batch that runs again writes the same version again, so a restart leaves nothing twice.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v={batch_id - 1}").drop("v"), allowMissingColumns=True)
-        rest = [c for c in batch.columns if c not in keys]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return write
-
-
 def routed_jobs(handlers: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that hands each kind of job to its handler; other kinds are left alone."""
 
