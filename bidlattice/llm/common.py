@@ -120,16 +120,21 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def releasing(run):
-    """Let a task give freed memory back to the system when it ends: its Python worker lives on for later stages."""
+    """Let a task give freed memory back when it ends: its Python worker lives on for later stages."""
 
     def task(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # glibc only
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return task
 

@@ -184,9 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Model:
         docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("doc_id", "grade", "text").mapInArrow(common.releasing(_featurise), "doc_id long, grade int, x array<int>")
     )
-    table = rows.toArrow().sort_by("doc_id")
-    xs = table.column("x").to_numpy()
-    return fit([(g, np.asarray(x, np.int64)) for g, x in zip(table.column("grade").to_pylist(), xs, strict=True)])
+    table = rows.toArrow().sort_by("doc_id").combine_chunks()
+    bags = table.column("x").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, at = bags.values.to_numpy(), bags.offsets.to_numpy()  # slices of one array: the driver holds the sample once
+    model = fit([(g, flat[a:b]) for g, a, b in zip(table.column("grade").to_pylist(), at[:-1], at[1:], strict=True)])
+    del table, bags, flat
+    common.trim()
+    return model
 
 
 def grade_documents(docs: DataFrame, model: Model, tail: int = 2, cut: float = 0.5) -> DataFrame:
