@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 
 MISSING = "__待补__"
+#: Characters of a labelled value; passages that are broadcast at once, and as many keys of passages.
+VALUE, PASSAGES, KEYS = 220, 10_000, 1_000_000
 
 
 class Anchor(NamedTuple):
@@ -171,15 +173,18 @@ def anchor_candidates(pages: DataFrame, anchors: Sequence[Anchor] = ANCHORS, doc
 
 
 def labelled_fields(pages: DataFrame, labels: dict[str, str], doc: str = "doc_id", page: str = "page_no", body: str = "text", max_pages: int | None = None) -> DataFrame:
-    """The first value after each label (`label: value`, up to the sentence's end) with its place in the page."""
+    """The first value after each label (`label: value`, up to the sentence's end) with its place in the page.
+
+    A value longer than VALUE characters is cut, and truncated says so.
+    """
     src = pages if max_pages is None else pages.where(F.col(page) <= max_pages)
-    p = {k: rf"(?:{v})\s*[:：]\s*([^。；;\n]{{1,220}})" for k, v in labels.items()}
+    p = {k: rf"(?:{v})\s*[:：]\s*([^。；;\n]+)" for k, v in labels.items()}
     hits = F.array_compact(F.array(*[
-        F.when(F.regexp_extract(body, q, 1) != "", F.struct(F.lit(k).alias("field"), F.trim(F.regexp_extract(body, q, 1)).alias("value"), F.regexp_instr(F.col(body), F.lit(q)).alias("at")))
+        F.when(F.regexp_extract(body, q, 1) != "", F.struct(F.lit(k).alias("field"), F.trim(F.left(F.regexp_extract(body, q, 1), F.lit(VALUE))).alias("value"), (F.length(F.regexp_extract(body, q, 1)) > VALUE).alias("truncated"), F.regexp_instr(F.col(body), F.lit(q)).alias("at")))
         for k, q in p.items()
     ]))
-    found = src.select(doc, page, body, F.explode(hits).alias("h")).select(doc, page, F.col("h.field").alias("field"), F.col("h.value").alias("value"), F.col("h.at").alias("at"), values.quote_at(F.col(body), F.col("h.value")).alias("span"))
-    return found.groupBy(doc, "field").agg(F.min(F.struct(page, "at", "value", "span")).alias("f")).select(doc, "field", f"f.{page}", "f.value", "f.span")
+    found = src.select(doc, page, body, F.explode(hits).alias("h")).select(doc, page, F.col("h.field").alias("field"), F.col("h.value").alias("value"), F.col("h.truncated").alias("truncated"), F.col("h.at").alias("at"), values.quote_at(F.col(body), F.col("h.value")).alias("span"))
+    return found.groupBy(doc, "field").agg(F.min(F.struct(page, "at", "value", "span", "truncated")).alias("f")).select(doc, "field", f"f.{page}", "f.value", "f.span", "f.truncated")
 
 
 def rule_parameters(anchor: Column, quote: Column) -> Column:
@@ -276,8 +281,9 @@ def passage_links(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", ite
 
     Both sides meet on a hash of `words` words in a row. Those of a passage are its second and following ones, since its
     first and last may stand inside longer words of the document; a passage with fewer words between its ends gives as many
-    as it has. What meets is confirmed on whole texts. Passages of one or two words have no inner word and are compared with
-    every text. Empty and null passages link with nothing.
+    as it has. What meets is confirmed on whole texts. Up to KEYS of these keys are counted and then tested where the
+    documents are read; beyond that, both sides are shuffled. Passages of one or two words have no inner word and are
+    compared with every text, PASSAGES of them at a time. Empty and null passages link with nothing.
     """
     tokens = F.split(body, r"[ \t\n\x0B\f\r]+")
     p = passages.where(F.col(body) != "").select(item, F.col(body).alias("__passage"), tokens.alias("__w")).withColumn("__n", F.least(F.lit(words), F.size("__w") - 2))
@@ -286,10 +292,16 @@ def passage_links(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", ite
     at = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice(w, i, F.lit(n))))
     keys = text.bound(tokens, lambda w: F.array_distinct(F.concat(*[at(w, n) for n in sizes]))) if sizes else F.array().cast("array<bigint>")
     d = docs.select(doc, F.explode(keys).alias("__key"))
-    met = d.join(keyed.select(item, "__key"), "__key").select(doc, item).distinct()
+    few = keyed.limit(KEYS + 1).count() <= KEYS
+    met = d.join(F.broadcast(keyed.select(item, "__key")) if few else keyed.select(item, "__key"), "__key").select(doc, item).distinct()
     long = met.join(keyed.select(item, "__passage"), item).join(docs.select(doc, body), doc)
-    short = docs.select(doc, body).crossJoin(p.where("__n <= 0").select(item, "__passage"))
-    return long.unionByName(short, allowMissingColumns=True).where(F.col(body).contains(F.col("__passage"))).select(doc, item).distinct()
+    out = long.where(F.col(body).contains(F.col("__passage"))).select(doc, item)
+    tiny = p.where("__n <= 0").select(item, "__passage")
+    rounds = -(-tiny.count() // PASSAGES)
+    for i in range(rounds):  # a part of so many rows is broadcast, and no row leaves that doesn't hold it
+        part = tiny.where(F.pmod(F.xxhash64(item, "__passage"), F.lit(rounds)) == i)
+        out = out.unionByName(docs.select(doc, body).join(F.broadcast(part), F.col(body).contains(F.col("__passage"))).select(doc, item))
+    return out.distinct()
 
 
 def folded(c: Column) -> Column:

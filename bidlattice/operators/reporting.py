@@ -13,11 +13,24 @@ from ..functions import classify, values
 SECTIONS = ("urgent", "deadline", "new", "change", "result")
 
 
+def primary_of(events: DataFrame, group: str, order: Sequence[Column], key: str) -> DataFrame:
+    """each group's first row by the order and the group's size: one aggregate state, however many rows a group has."""
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")))
+    return events.groupBy(group).agg(first.alias("first"), F.count("*").cast("int").alias("group_size")).select(group, F.col("first.id").alias(key), "group_size")
+
+
+def primary_links(events: DataFrame, group: str, order: Sequence[Column], key: str) -> DataFrame:
+    """F2 in rows: every row's key with the key of its group's first row. A group of any size stays in rows; its join may be
+    split. Rows without a group are a group of their own kind: null meets null."""
+    best = primary_of(events, group, order, key).select(F.col(group).alias("__g"), F.col(key).alias("primary"), "group_size")
+    return events.select(group, key).join(best, F.col(group).eqNullSafe(F.col("__g"))).select(key, "primary", "group_size", F.col("primary").eqNullSafe(F.col(key)).alias("is_primary"))
+
+
 def pick_primary(events: DataFrame, group: str, order: Sequence[Column], key: str) -> DataFrame:
     """each group's first row by the order, with the ids of the others, in order, and the group's size.
 
     The order's columns travel in one struct, so a group is one aggregate state and not a sorted partition; a group
-    is as wide as it has sources.
+    is as wide as it has sources. Where groups may be large, primary_links gives the same in rows.
     """
     ranked = events.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")))).alias("all"))
     ids = F.transform("all", lambda x: x["id"])
@@ -61,7 +74,7 @@ def daily_issue(events: DataFrame, pushed: DataFrame, now: Column, group: str, o
     sent = events.join(pushed.select("event_id").distinct().withColumn("sent", F.lit(True)), "event_id", "left")
     state = admission_state(F.col("signup"), F.col("bid"), now, F.col("gate"), F.coalesce("sent", F.lit(False)))
     fit = sent.withColumn("state", state).where("state = 'participable'").drop("sent")
-    best = pick_primary(fit, group, order, "event_id").select("event_id", "group_size")
+    best = primary_of(fit, group, order, "event_id").select("event_id", "group_size")
     judged = fit.join(best, "event_id").withColumn("u", classify.urgency(F.col("signup"), F.col("bid"), now))
     return judged.select("*", "u.urgency", "u.basis", classify.section(F.col("title_type"), F.col("u.urgency"), F.col("u.basis"), ["change"], ["win"]).alias("section")).drop("u")
 

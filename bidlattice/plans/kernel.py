@@ -239,6 +239,12 @@ def f2_primary_source_pick(t: Tables) -> DataFrame:
     return rep.pick_primary(d, "digest", [F.col("source"), F.col("n_chars")], "doc_id").withColumn("backups", F.array_join("backups", ","))
 
 
+@query("""SELECT doc_id, first_value(doc_id) OVER w AS "primary", count(*) OVER (PARTITION BY md5(text))::INT AS group_size, first_value(doc_id) OVER w = doc_id AS is_primary FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY source, n_chars, doc_id)""")
+def f2_primary_links(t: Tables) -> DataFrame:
+    d = t.documents.withColumn("digest", F.md5("text"))
+    return rep.primary_links(d, "digest", [F.col("source"), F.col("n_chars")], "doc_id")
+
+
 @query("""SELECT event_id, user_id, CASE WHEN event_type IN ('view', 'click') THEN lead(event_id) OVER w END AS replaced_by,
  CASE WHEN event_type IN ('view', 'click') AND lead(event_id) OVER w IS NOT NULL THEN 'superseded' ELSE event_type END AS event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def f4_supersede(t: Tables) -> DataFrame:
