@@ -63,3 +63,21 @@ def test_deviation_of_the_rake(spark, monkeypatch):
     with pytest.warns(UserWarning, match="not settled"):  # a and x are one cell, so that 0.3 and 0.5 can't both hold
         never = mixing.rake(cells, ask([("a", 0.3), ("b", 0.7)], [("x", 0.5), ("y", 0.5)])).collect()
     assert all(r.deviation > 0.1 for r in never)
+
+
+def test_line_stage_against_sql(spark):
+    """The pipeline's line stage on whole documents against the SQL of the operator."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parents[1]))
+    import corpus_pipeline
+    from oracle import sql_rows
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.line_dedup(spark, docs, SF).select("doc_id", "n_chars", F.md5("text").alias("m")).collect()
+    names, rows = sql_rows(lines.oracle(whole=True), SF)
+    at = {n: i for i, n in enumerate(names)}
+    want = {r[at["doc_id"]]: (r[at["n_chars_kept"]], r[at["text_md5"]]) for r in rows if r[at["n_dropped"]] == 0 or r[at["n_chars_kept"]]}
+    blank = {i for i, (n, _) in want.items() if n} - {r.doc_id for r in kept}  # white space alone goes too
+    assert {r.doc_id: (r.n_chars, r.m) for r in kept} == {i: v for i, v in want.items() if i not in blank} and len(blank) < 5
