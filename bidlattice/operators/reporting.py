@@ -185,3 +185,26 @@ def stage_plan(actions: DataFrame) -> DataFrame:
 def staged_actions(actions: DataFrame) -> DataFrame:
     """Actions with whether their whole stage is done; page by (stage, action_id) to list a stage in order."""
     return actions.join(stage_plan(actions).select("stage", "ready"), "stage")
+
+
+def issue_changes(stored: DataFrame, items: DataFrame, issue: str, item: str, place: str, forced: Column) -> DataFrame:
+    """(issue, item, version, old_place, place, change) of each issue that is generated again.
+
+    stored (issue, item, place, version) holds the newest snapshot of each issue, items a new selection. An issue that is
+    not stored gets version 1, all its items `added`. A stored one stays as it is unless the condition `forced` on the issue
+    holds: then it gets version + 1, and items are `added`, `removed` (place null), `moved` or `same`. One full join on
+    (issue, item); versions meet their issue by a row each.
+    """
+    old = stored.select(F.col(issue).alias("__i"), F.col(item).alias("__k"), F.col(place).alias("old_place"))
+    versions = stored.groupBy(F.col(issue).alias("__v")).agg(F.max("version").alias("was"))
+    both = items.select(issue, item, place).join(old, (F.col(issue) == F.col("__i")) & (F.col(item) == F.col("__k")), "full")
+    both = both.select(F.coalesce(issue, "__i").alias(issue), F.coalesce(item, "__k").alias(item), "old_place", place)
+    seen = both.join(versions, F.col(issue) == F.col("__v"), "left").where(F.col("was").isNull() | forced)
+    change = F.when(F.col("old_place").isNull(), "added").when(F.col(place).isNull(), "removed").when(F.col("old_place") != F.col(place), "moved").otherwise("same")
+    return seen.select(issue, item, (F.coalesce("was", F.lit(0)) + 1).alias("version"), "old_place", place, change.alias("change"))
+
+
+def next_snapshot(stored: DataFrame, changes: DataFrame, issue: str, item: str, place: str) -> DataFrame:
+    """The newest snapshot of each issue after issue_changes: rows of changed issues, and the stored rows of the others."""
+    fresh = changes.where(F.col("change") != "removed").select(issue, item, place, "version")
+    return stored.select(issue, item, place, "version").join(changes.select(issue).distinct(), issue, "left_anti").unionByName(fresh)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -120,3 +121,32 @@ def n19_weekly_report(t: Tables) -> DataFrame:
     from ..functions.values import iso_week
 
     return _runs(t).groupBy(iso_week(F.col("day")).alias("week")).agg(F.count("*").alias("runs"), F.sum("raw").alias("raw_items"), F.countDistinct("source_id").alias("sources"))
+
+
+#: First and second selection of each day's events, numbered by time and by value; every third day is forced, later ones are new.
+_ISSUES = """e AS (SELECT ts::DATE AS day, event_id, event_type, value, ts FROM events), cut AS (SELECT max(day) - 5 AS d FROM e),
+ s AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY ts, event_id)::INT AS place, (day(day) % 2 + 1)::INT AS version FROM e, cut WHERE day < d),
+ n AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY value DESC NULLS LAST, event_id)::INT AS place FROM e WHERE event_type <> 'error'),
+ j AS (SELECT coalesce(s.day, n.day) AS day, coalesce(s.event_id, n.event_id) AS event_id, s.place AS old_place, n.place AS place FROM s FULL JOIN n ON s.day = n.day AND s.event_id = n.event_id),
+ c AS (SELECT j.*, coalesce(was, 0) + 1 AS version, CASE WHEN old_place IS NULL THEN 'added' WHEN place IS NULL THEN 'removed' WHEN old_place <> place THEN 'moved' ELSE 'same' END AS change
+  FROM j LEFT JOIN (SELECT day, max(version) AS was FROM s GROUP BY 1) v USING (day) WHERE was IS NULL OR day(day) % 3 = 0)"""
+
+
+def _issues(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t.events.withColumn("day", F.to_date("ts"))
+    last = e.agg(F.max("day").alias("d")).first().d
+    number = lambda *order: F.row_number().over(W.partitionBy("day").orderBy(*order))
+    stored = e.where(F.col("day") < F.date_sub(F.lit(last), 5)).select("day", "event_id", number(F.col("ts"), F.col("event_id")).alias("place"), (F.day("day") % 2 + 1).alias("version"))
+    items = e.where("event_type <> 'error'").select("day", "event_id", number(F.col("value").desc_nulls_last(), F.col("event_id")).alias("place"))
+    return stored, items
+
+
+@query(f"WITH {_ISSUES} SELECT day, event_id, version::INT AS version, old_place, place, change FROM c")
+def n18_issue_changes(t: Tables) -> DataFrame:
+    return rep.issue_changes(*_issues(t), "day", "event_id", "place", F.day("day") % 3 == 0)
+
+
+@query(f"WITH {_ISSUES} SELECT day, event_id, place, version::INT AS version FROM c WHERE change <> 'removed' UNION ALL SELECT day, event_id, place, version FROM s WHERE day NOT IN (SELECT day FROM c)")
+def n18_next_snapshots(t: Tables) -> DataFrame:
+    stored, items = _issues(t)
+    return rep.next_snapshot(stored, rep.issue_changes(stored, items, "day", "event_id", "place", F.day("day") % 3 == 0), "day", "event_id", "place")
