@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cards, clauses
 from ..operators import extraction as ex
-from .registry import Tables, filled, filled_sql, query
+from ..operators import submissions as subs
+from .registry import Tables, cases, cases_sql, filled, filled_sql, query
 
 #: Field, its clause, its value: {a} is a number of two digits, {d} one of one digit, both of the supplier's key.
 CLAUSES = (
@@ -181,3 +182,21 @@ def o8_judged_proposals(t: Tables) -> DataFrame:
 def o8_replaced_rules(t: Tables) -> DataFrame:
     out = cards.replaced_rules(*_proposed(t), doc="s_suppkey")
     return out.select("s_suppkey", "anchor_key", "assertion", "page_no", "missing", F.array_join("refused", ",").alias("refused"))
+
+
+#: Clause, type, evidence kind, branch.
+SUBMISSIONS = (
+    ("应附技术负责人{a}的职称证、养老保险证明扫描件", "hard", "", "package"), ("须交投标保证金{a}万元", "hard", "", "bond"), ("须交第{a}号凭证", "hard", "bid_bond", "bond"), ("信用记录由评委查询，第{a}条", "hard", "", "credit"),
+    ("附项目业主同意更换第{a}号证明", "hard", "", "replacement"), ("企业主要负责人具有安全生产考核合格证书{a}", "hard", "", "principals"), ("项目经理具有安全生产考核合格证书{a}", "hard", "", "manager_b"),
+    ("持有安全生产考核合格证书{a}", "hard", "manager_profile", "manager_b"), ("由建设行政主管部门核发的证书{a}", "hard", "", "grade"), ("法定代表人授权书{a}", "hard", "", "mandate"), ("营业执照{a}", "hard", "", "business_license"),
+    ("具备安全生产许可证{a}", "hard", "", "safety_license"), ("专职安全生产管理人员配备{d}名", "hard", "", "safety_officer"), ("项目经理为注册建造师{a}", "hard", "", "manager"), ("到场{a}", "action_requirement", "", "action"), ("其他{a}", "hard", "", "other"),
+)
+_SUBMITTED = ", ".join(f"('{b}', {str(r).lower()}, '{s}', {'NULL' if m is None else repr(m)})" for b, (r, s, m) in subs.MATERIALS.items())
+
+
+@query(f"SELECT p_partkey, branch, required, CASE WHEN branch = 'action' AND p_partkey % 3 = 0 THEN '开标' ELSE stage END AS stage, materials FROM ({cases_sql('part', 'p_partkey', [(b,) for *_, b in SUBMISSIONS], ('branch',))}) c JOIN (VALUES {_SUBMITTED}) m(branch, required, stage, materials) USING (branch)")
+def o11_submission_metadata(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in SUBMISSIONS]), (k % len(SUBMISSIONS)).cast("int"))
+    rows = cases(t.part, "p_partkey", [x[0] for x in SUBMISSIONS])
+    return rows.select("p_partkey", subs.submission_metadata(F.col("raw"), pick(1), F.array(pick(2)), F.when(k % 3 == 0, "开标")).alias("s")).select("p_partkey", "s.*")
