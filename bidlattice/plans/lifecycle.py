@@ -74,11 +74,12 @@ def l13_n15_waivers(t: Tables) -> DataFrame:
     return lc.waivers_expired(t.orders.select(F.col("o_orderkey").alias("approval_id"), state.alias("state")), waivers, today()).select("approval_id", "state")
 
 
-@query("""WITH e AS (SELECT c_custkey AS fingerprint, CASE c_custkey % 4 WHEN 0 THEN 'closed' ELSE 'open' END AS was FROM customer WHERE c_custkey % 2 = 0), c AS (SELECT DISTINCT o_custkey AS fingerprint, true AS now FROM orders WHERE o_totalprice > 200000)
+@query("""WITH e AS (SELECT c_custkey AS fingerprint, CASE c_custkey % 4 WHEN 0 THEN 'closed' ELSE 'open' END AS was FROM customer), c AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS fingerprint, true AS now FROM orders WHERE o_totalprice > 200000)
  SELECT fingerprint, CASE WHEN was IS NULL THEN 'create' WHEN now AND was = 'open' THEN 'touch' WHEN now THEN 'reopen' WHEN was = 'open' THEN 'close' ELSE 'keep' END AS action FROM e FULL JOIN c USING (fingerprint)""")
 def n13_task_sync(t: Tables) -> DataFrame:
-    e = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("fingerprint"), F.when(F.col("c_custkey") % 4 == 0, "closed").otherwise("open").alias("state"))
-    c = t.orders.where("o_totalprice > 200000").select(F.col("o_custkey").alias("fingerprint")).distinct()
+    """Every customer has a task; of the dear orders every third asks for one that is not there."""
+    e = t.customer.select(F.col("c_custkey").alias("fingerprint"), F.when(F.col("c_custkey") % 4 == 0, "closed").otherwise("open").alias("state"))
+    c = t.orders.where("o_totalprice > 200000").select(F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("fingerprint")).distinct()
     return lc.task_sync(e, c).select("fingerprint", "action")
 
 
