@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
@@ -101,6 +101,73 @@ def n8_evaluate(t: Tables) -> DataFrame:
     return ev.admission(m, open_).select("run_id", "satisfied", "not_satisfied", "missing_data", "manual_review", "score", "max_score", "gaps", "qualification_result", "conclusion")
 
 
+#: The types of rule of `n4_rule_types` in the order of their positions.
+TYPES = ("bid_bond", "ceiling_price", "quote_cap", "credit", "response", "technical_team", "tech_team", "social_security", "safety_license", "business_license")
+
+
+def _lot_evidence(t: Tables) -> DataFrame:
+    """Customers as bonds, prices, responses and proofs of their nation's lot, parts as members, suppliers as licences and credit reports."""
+    day = lambda x: F.lit(x).cast("date")
+
+    def rows(df: DataFrame, k: Column, lot: Column, verified: Column | None = None, until: Column | None = None, **fields: Column) -> DataFrame:
+        until = F.lit(None).cast("date") if until is None else until
+        refs = F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(k.cast("string")))
+        return df.select(
+            k.cast("string").alias("record_id"), F.lit("active").alias("status"), (day("1998-01-01") if verified is None else verified).alias("verified_at"), F.lit(None).cast("date").alias("valid_from"),
+            until.alias("valid_until"), lot.cast("string").alias("lot_id"), refs.alias("refs"), *[v.alias(c) for c, v in fields.items()],
+        )
+
+    c, p, s = F.col("c_custkey"), F.col("p_partkey"), F.col("s_suppkey")
+    of_c, of_s = F.col("c_nationkey"), F.col("s_nationkey")
+    every = rel.union_kinds({
+        "bid_bond": rows(t.customer, c, of_c, amount=(c % 4 * 1000).cast("decimal(18,2)"), form=F.col("c_mktsegment")),
+        "bid_price_input": rows(t.customer, c, of_c, type=F.when(c % 3 == 0, "cost").otherwise("quoted_price"), amount=F.when(c % 5 != 0, (c % 100 * 100).cast("decimal(18,2)"))),
+        "credit_check_report": rows(t.supplier, s, of_s, negative=F.col("s_acctbal") < 0), "response_document": rows(t.customer, c, F.when(c % 2 == 0, of_c).otherwise(-1)),
+        "technical_team_member": rows(t.part, p, F.when(p % 4 != 0, p % 25), specialty=F.concat(F.lit("m"), (p % 6).cast("string"))),
+        "social_security_proof": rows(t.customer, c, of_c, subject=F.when(c % 2 == 0, "project_manager").otherwise("member"), continuous_months=(c % 12).cast("int")),
+        "safety_license": rows(t.supplier, s, of_s, until=F.when(s % 3 == 0, day("1998-06-01"))), "business_license": rows(t.supplier, s, of_s, verified=F.lit(None).cast("date")),
+    })
+    return every.select("kind", "record_id", "status", "verified_at", "valid_from", "valid_until", "lot_id", "refs", *[(F.col(c) if c in every.columns else F.lit(None)).cast(x).alias(c) for c, x in ev.FIELDS.items()])
+
+
+def _lot_requirements(t: Tables) -> DataFrame:
+    """Each supplier is a tender of its nation's lot, with one requirement of each type in TYPES."""
+    r, p = F.col("run_id"), F.col("position")
+    base = t.supplier.select(F.col("s_suppkey").cast("long").alias("run_id"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey").cast("string")).alias("lot_id"), F.explode(F.sequence(F.lit(1), F.lit(len(TYPES)))).alias("position"))
+    member = lambda k: F.concat(F.lit("m"), k.cast("string"))
+    params = {
+        "amount": F.when((p == 1) & (r % 5 != 0), r % 4 * 1000), "form": F.when((p == 1) & (r % 2 == 0), "BUILDING"), "max_amount": F.when(p.isin(2, 3) & (r % 6 != 0), F.when(p == 2, F.lit(2000)).otherwise(r % 20 * 500)),
+        "specialties": F.when((p == 6) & (r % 3 == 0), F.array().cast("array<string>")).when(p == 6, F.array(member(r % 6), member((r + 1) % 6))).when(p == 7, F.array(member(r % 8))), "continuous_months": F.when(p == 8, r % 12),
+    }
+    return base.select(
+        "run_id", F.format_string("R%d-%d", r, p).alias("requirement_id"), "position", F.lit("hard_requirement").alias("req_type"), F.element_at(F.array(*[F.lit(x) for x in TYPES]), p).alias("rule_type"),
+        F.lit("admission").alias("decision_scope"), "lot_id", *[params.get(c, F.lit(None)).cast(x).alias(c) for c, x in ev.PARAMS.items()],
+    )
+
+
+@query(f"""WITH e AS (SELECT 'bid_bond' AS kind, c_custkey AS k, c_nationkey::VARCHAR AS lot, c_custkey % 4 * 1000 AS amount, c_mktsegment AS a, 0 AS n FROM customer
+ UNION ALL SELECT 'price', c_custkey, c_nationkey::VARCHAR, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 100 * 100 END, CASE WHEN c_custkey % 3 = 0 THEN 'cost' ELSE 'quoted_price' END, 0 FROM customer
+ UNION ALL SELECT 'credit', s_suppkey, s_nationkey::VARCHAR, NULL, NULL, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END FROM supplier
+ UNION ALL SELECT 'response', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE '-1' END, NULL, NULL, 0 FROM customer
+ UNION ALL SELECT 'team', p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 25)::VARCHAR END, NULL, 'm' || (p_partkey % 6), 0 FROM part
+ UNION ALL SELECT 'social_security', c_custkey, c_nationkey::VARCHAR, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'project_manager' ELSE 'member' END, c_custkey % 12 FROM customer
+ UNION ALL SELECT 'safety_license', s_suppkey, s_nationkey::VARCHAR, NULL, NULL, 0 FROM supplier WHERE s_suppkey % 3 <> 0),
+ r AS (SELECT s_suppkey AS run_id, i AS p, CASE WHEN s_suppkey % 7 <> 0 THEN s_nationkey::VARCHAR END AS lot, ['bid_bond', 'price', 'price', 'credit', 'response', 'team', 'team', 'social_security', 'safety_license', 'business_license'][i] AS kind FROM supplier, generate_series(1, 10) x(i)),
+ m AS (SELECT run_id, p, k, a, amount, n, CASE p WHEN 1 THEN amount = run_id % 4 * 1000 AND run_id % 5 <> 0 AND (run_id % 2 <> 0 OR a = 'BUILDING') WHEN 2 THEN a = 'quoted_price' AND amount <= 2000 AND run_id % 6 <> 0
+  WHEN 3 THEN a = 'quoted_price' AND amount <= run_id % 20 * 500 AND run_id % 6 <> 0 WHEN 4 THEN n = 0 WHEN 6 THEN run_id % 3 <> 0 AND a IN ('m' || (run_id % 6), 'm' || ((run_id + 1) % 6)) WHEN 7 THEN a = 'm' || (run_id % 8)
+  WHEN 8 THEN a = 'project_manager' AND n >= run_id % 12 ELSE k IS NOT NULL END AS hit FROM r LEFT JOIN e ON e.kind = r.kind AND (e.lot IS NULL OR e.lot = r.lot)),
+ g AS (SELECT run_id, p, count(k) AS v, count(*) FILTER (hit) AS ok, count(*) FILTER (hit AND k % 10 <> 0) AS rn, count(*) FILTER (a = 'quoted_price') AS q, count(*) FILTER (a = 'quoted_price' AND amount IS NOT NULL) AS priced, count(*) FILTER (n = 1) AS bad, count(DISTINCT a) FILTER (hit) AS members FROM m GROUP BY 1, 2),
+ w AS (SELECT *, CASE WHEN p = 1 AND v = 0 OR p = 4 AND v = 0 OR p = 2 AND run_id % 6 <> 0 AND q = 0 THEN 'not_applicable/not_applicable' WHEN p = 3 AND q = 0 THEN 'unverifiable/authorized_input_missing' WHEN p = 3 AND priced = 0 THEN 'unverifiable/validity_date_missing'
+  WHEN p = 1 AND run_id % 5 = 0 OR p IN (2, 3) AND run_id % 6 = 0 OR p = 6 AND run_id % 3 = 0 THEN 'manual_review/rule_unstructured' WHEN p = 4 AND bad > 0 THEN 'not_satisfied/profession_mismatch'
+  WHEN p IN (6, 7) THEN CASE WHEN members = 8 - p THEN 'ok' WHEN v = 0 THEN 'unverifiable/evidence_pending_verification' ELSE 'unverifiable/evidence_missing' END
+  WHEN ok > 0 OR p = 2 AND priced = 0 THEN 'ok' WHEN p <= 3 THEN 'not_satisfied/grade_below_requirement' WHEN p = 5 OR p = 8 AND v > 0 THEN 'unverifiable/evidence_missing' WHEN p = 9 THEN 'not_satisfied/certificate_expired' ELSE 'unverifiable/evidence_pending_verification' END AS s FROM g),
+ f AS (SELECT run_id, p, CASE WHEN s <> 'ok' THEN s WHEN rn > 0 THEN 'satisfied/' ELSE 'manual_review/evidence_refs_missing' END AS s FROM w)
+ SELECT run_id, {list(TYPES)}[p] AS rule_type, split_part(s, '/', 1) AS match_result, nullif(split_part(s, '/', 2), '') AS reason_code FROM f""")
+def n4_rule_types(t: Tables) -> DataFrame:
+    """The types of rule that `n4_match_matrix` leaves out, on evidence of lots."""
+    return ev.match_matrix(_lot_requirements(t), _lot_evidence(t), at()).select("run_id", "rule_type", "match_result", "reason_code")
+
+
 @query("""WITH e AS (SELECT 'similar_performance' AS kind, o_orderkey AS k, NULL::DATE AS vf, NULL::DATE AS vu FROM orders UNION ALL SELECT 'financial_report', o_orderkey, o_orderdate::DATE, o_orderdate::DATE + 700 FROM orders WHERE o_orderkey % 4 = 0
  UNION ALL SELECT 'qualification_record', p_partkey, NULL, CASE WHEN p_partkey % 3 = 0 THEN DATE '1998-06-01' END FROM part UNION ALL SELECT 'safety_officer_cert', s_suppkey, NULL, NULL FROM supplier)
  SELECT kind, count(*) AS ledger_n, count(*) FILTER (k % 6 = 0) AS unverified_n, count(*) FILTER (k % 6 <> 0 AND vu < DATE '1999-01-01') AS expired_n, count(*) FILTER (k % 6 <> 0 AND coalesce(vu >= DATE '1999-01-01', true) AND vf > DATE '1999-01-01') AS early_n FROM e GROUP BY 1""")
