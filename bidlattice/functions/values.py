@@ -121,10 +121,10 @@ def first_number(c: Column) -> Column:
     return F.when(found != "", found.cast("double"))
 
 
-def relative_gap(a: Column, b: Column) -> Column:
-    """|a - b| by the larger of both, null unless both are known; 0 for two zeros."""
+def relative_gap(a: Column, b: Column, of_zeros: float = 0.0) -> Column:
+    """|a - b| by the larger of both, null unless both are known; of_zeros for two zeros."""
     top = F.greatest(F.abs(a), F.abs(b))
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(top == 0, 0.0).otherwise((F.abs(a - b) / top).cast("double")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(top == 0, F.lit(of_zeros)).otherwise((F.abs(a - b) / top).cast("double")))
 
 
 def content_hash(c: Column, length: int = 16) -> Column:

@@ -279,11 +279,12 @@ def person_plans(people: DataFrame, rules: DataFrame) -> DataFrame:
     return plans.join(best, "role", "left").withColumn("primary", F.coalesce(F.col("person_id") == F.col("primary_id"), F.lit(False))).drop("primary_id", "refs", "rank")
 
 
-def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str], budget: str = "budget_amount", deadline: str = "bid_deadline") -> DataFrame:
+def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str], budget: str = "budget_amount", deadline: str = "bid_deadline", of_zeros: float = 0.0) -> DataFrame:
     """Expected against actual identity fields of each project: conflicts, warnings and a status.
 
     Columns are named e_<field> and a_<field>. Only fields known on both sides count: codes must agree; names agree from
     a Dice of 0.60 and conflict below 0.35; budgets may differ by 5 in 100; nothing comparable is a warning.
+    of_zeros is what two budgets of 0 count as: no difference, unless a caller wants them looked at.
     """
     known = lambda f: (F.coalesce(F.col(f"e_{f}").cast("string"), F.lit("")) != "") & (F.coalesce(F.col(f"a_{f}").cast("string"), F.lit("")) != "")
     conflicts, warnings, compared = [], [], F.lit(False)
@@ -299,7 +300,7 @@ def identity_check(pairs: DataFrame, codes: Sequence[str], names: Sequence[str],
         warnings.append(F.when(known(f) & alike.between(0.35, 0.5999), f))
     from ..functions.values import relative_gap
 
-    warnings.append(F.when(known(budget) & (relative_gap(F.col(f"e_{budget}"), F.col(f"a_{budget}")) > 0.05), budget))
+    warnings.append(F.when(known(budget) & (relative_gap(F.col(f"e_{budget}"), F.col(f"a_{budget}"), of_zeros) > 0.05), budget))
     warnings.append(F.when(known(deadline) & (F.to_date(f"e_{deadline}") != F.to_date(f"a_{deadline}")), deadline))
     warnings.append(F.when(~(compared | known(budget) | known(deadline)), "nothing_comparable"))
     out = pairs.withColumns({"conflicts": F.array_compact(F.array(*conflicts)), "warnings": F.array_compact(F.array(*warnings))})
