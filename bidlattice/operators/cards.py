@@ -151,7 +151,7 @@ def judged_proposals(candidates: DataFrame, proposals: DataFrame, pages: DataFra
     asked = candidates.where("missing").select(doc, "anchor_key").distinct().withColumn("asked", F.lit(True))
     p = proposals.select(*keys, "quote", squeezed(F.col("quote")).alias("bare")).join(asked, [doc, "anchor_key"], "left")
     texts = pages.select(doc, page, squeezed(F.col(body)).alias("text_"))
-    place = p.where("asked and bare <> ''").join(texts, doc).where(F.col("text_").contains(F.col("bare"))).groupBy(*keys, "bare").agg(F.min(page).alias(page))
+    place = p.where("asked and bare <> ''").join(texts.hint("merge"), doc).where(F.col("text_").contains(F.col("bare"))).groupBy(*keys, "bare").agg(F.min(page).alias(page))
     reason = F.when(F.col("asked").isNull(), "not_missing").when(F.col(page).isNull(), "not_verbatim").otherwise(guard_reason(F.col("anchor_key"), F.col("bare")))
     judged = p.join(place, [*keys, "bare"], "left").withColumn("reject_reason", reason)
     first = F.min(F.when(F.col("reject_reason").isNull(), F.col("seq"))).over(W.partitionBy(doc, "anchor_key"))

@@ -131,7 +131,7 @@ def _clause_number(before: str, hit: str) -> str | None:
 def _anchor_hits(anchors: Sequence[Anchor]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = [re.compile(a.pattern) for a in anchors]
-        for batch in batches:
+        for batch in text.slices(batches, "body"):
             rows, ids = [], []
             for i, raw in enumerate(batch.column("body").to_pylist()):
                 bare, places = _squeezed(raw or "")
@@ -204,7 +204,7 @@ def verified_quotes(proposals: DataFrame, pages: DataFrame, doc: str = "doc_id",
 
     proposals (doc, field, kind, quote). A quote that no page holds, or that states no value of its kind, is rejected.
     """
-    joined = proposals.join(pages.select(doc, page, body), doc, "left").withColumn("span", values.quote_at(F.col(body), F.col("quote")))
+    joined = proposals.join(pages.select(doc, page, body).hint("merge"), doc, "left").withColumn("span", values.quote_at(F.col(body), F.col("quote")))
     first = joined.groupBy(doc, "field", "kind", "quote").agg(F.min(F.when(F.col("span").isNotNull(), F.struct(page, "span"))).alias("f"))
     value = values.derive_value(F.col("kind"), F.col("quote"))
     reason = F.when(F.col("f").isNull(), "quote_not_found").when(value.isNull(), "no_value")

@@ -31,3 +31,21 @@ def test_identity_of_balances_without_size(spark, tmp_path):
     odd = F.when(F.col("c_custkey") % 3 == 0, 0.0).when(F.col("c_custkey") % 7 == 0, -0.0).when(F.col("c_custkey") % 8 == 0, F.lit(None)).otherwise(F.col("c_acctbal"))
     sf = folder(spark, tmp_path, customer=c.withColumn("c_acctbal", odd))
     assert differences(catalogue.QUERIES["n12_identity_check"](spark, sf), catalogue.ORACLE_SQL["n12_identity_check"], sf) == ""
+
+
+def test_texts_built_from_keys_are_not_broadcast(spark):
+    for name in ("j5_o1_o4_prescreened_notices", "j1_anchor_candidates", "j6_o5_verified_quotes"):
+        joins = [x for x in plan_of(catalogue.QUERIES[name](spark, SF)).splitlines() if "HashJoin" in x or "MergeJoin" in x]
+        assert any("SortMergeJoin" in x for x in joins)
+    assert "Broadcast" not in plan_of(catalogue.QUERIES["j5_o1_o4_prescreened_notices"](spark, SF))
+
+
+def test_slices_hold_all_rows_and_few_bytes():
+    import pyarrow as pa
+
+    from bidlattice.functions import text
+
+    batch = pa.RecordBatch.from_pydict({"body": ["x" * 40, None, "", "y" * 70, "z" * 200, "w"]})
+    parts = list(text.slices([batch, batch.slice(0, 0)], "body", 100))
+    assert [r for p in parts for r in p.column("body").to_pylist()] == batch.column("body").to_pylist()
+    assert [p.num_rows for p in parts] == [3, 1, 1, 1, 0]
