@@ -49,3 +49,12 @@ def test_slices_hold_all_rows_and_few_bytes():
     parts = list(text.slices([batch, batch.slice(0, 0)], "body", 100))
     assert [r for p in parts for r in p.column("body").to_pylist()] == batch.column("body").to_pylist()
     assert [p.num_rows for p in parts] == [3, 1, 1, 1, 0]
+
+
+def test_folding_copies_no_text(spark, tmp_path):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    twice = d.unionByName(d).unionByName(d.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit(None).cast("string")}))
+    sf = folder(spark, tmp_path, documents=twice)
+    df = catalogue.QUERIES["o1_folded_documents"](spark, sf)
+    assert differences(df, catalogue.ORACLE_SQL["o1_folded_documents"], sf) == ""
+    assert not {w for w in ("Exchange", "Join", "Generate") if w in plan_of(df)}
