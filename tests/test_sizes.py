@@ -58,3 +58,30 @@ def test_folding_copies_no_text(spark, tmp_path):
     df = catalogue.QUERIES["o1_folded_documents"](spark, sf)
     assert differences(df, catalogue.ORACLE_SQL["o1_folded_documents"], sf) == ""
     assert not {w for w in ("Exchange", "Join", "Generate") if w in plan_of(df)}
+
+
+def test_nearest_of_blocks_ranks_as_spark_does(spark, tmp_path, monkeypatch):
+    from pyspark.sql import Window as W
+
+    from bidlattice.functions import values
+    from bidlattice.operators import retrieval as ret
+    from bidlattice.plans import retrieval as plans
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").limit(120).select("vec_id", "embedding", "label")
+    k = F.col("vec_id")
+    odd = F.when(k % 13 == 5, F.lit(None)).when(k % 17 == 3, F.transform("embedding", lambda x: x * 0)).when(k % 11 < 4, F.array(*[F.lit(float(i)).cast("float") for i in range(64)])).otherwise(F.col("embedding"))
+    e = e.withColumn("embedding", odd).localCheckpoint()
+    sf = folder(spark, tmp_path, embeddings=e.where("vec_id % 13 <> 5 and vec_id % 17 <> 3"))
+    q = e.where("vec_id % 10 = 0").withColumn("b", F.lit(1))
+    got = q.groupBy("b").cogroup(e.withColumn("b", F.lit(1)).groupBy("b")).applyInArrow(ret.nearest_of_blocks(30), "query long, item long, place long, hit boolean")
+    near = F.round(values.cosine(F.col("q.embedding"), F.col("e.embedding")), 6)
+    order = W.partitionBy("query").orderBy(F.desc("near"), "item")
+    want = q.alias("q").join(e.alias("e"), F.col("q.vec_id") != F.col("e.vec_id")).select(F.col("q.vec_id").alias("query"), F.col("e.vec_id").alias("item"), near.alias("near"), F.coalesce(F.col("q.label") == F.col("e.label"), F.lit(False)).alias("hit"))
+    want = want.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("query", "item", "rank", "hit")
+    got = got.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("place", "item"))).select("query", "item", "rank", "hit")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(plans, "ROW_BLOCK", 40)
+    monkeypatch.setattr(plans, "QUERY_BLOCK", 3)
+    df = catalogue.QUERIES["e27_mrr_recall_metrics"](spark, sf)
+    assert "CoGroups" in plan_of(df) and "zip_with" not in plan_of(df)
+    assert differences(df, catalogue.ORACLE_SQL["e27_mrr_recall_metrics"], sf) == ""
