@@ -27,6 +27,8 @@ PARAMS = {
     "subject": "string", "continuous_months": "int", "since": "date", "min_area": "double", "min_amount": "decimal(18,2)",
     "project_type": "string", "max_score": "double", "score_nature": "string", "formula": "string", "review_status": "string", "requires_quote": "boolean",
 }
+#: Parameters that are compared with records.
+COMPARED = ("category", "level", "max_amount", "years", "amount", "form", "require_c_cert", "specialties", "subject", "continuous_months", "since", "min_area", "min_amount", "project_type")
 FIELDS = {
     "category": "string", "level": "string", "year": "int", "negative": "boolean", "amount": "decimal(18,2)", "form": "string", "type": "string",
     "cert_type": "string", "specialty": "string", "subject": "string", "continuous_months": "int", "completed_at": "date", "area": "double",
@@ -184,7 +186,12 @@ def match_matrix(requirements: DataFrame, evidence: DataFrame, at: Column, exemp
     reqs = requirements.select("run_id", "requirement_id", "position", "req_type", "rule_type", "decision_scope", "lot_id", *[F.col(c).alias(f"r_{c}") for c in PARAMS])
     asked = reqs.withColumn("kind", F.explode_outer(F.try_element_at(kinds, F.col("rule_type"))))
     live = as_of(evidence, at, status=("active", "valid")).select("kind", "record_id", "refs", F.col("lot_id").alias("e_lot"), F.col("kind").alias("e_kind"), *[F.col(c).alias(f"e_{c}") for c in FIELDS])
-    met = live.join(asked, "kind").where(F.col("e_lot").isNull() | (F.col("e_lot") == F.col("lot_id")))  # the smaller side, as a rule the requirements, may be broadcast
+    # requirements that ask the same are one question, put to the records of a kind and lot; records of no lot are asked once for all lots
+    question = F.struct("rule_type", *[F.col(f"r_{c}") for c in COMPARED])
+    seen_lots = F.array_distinct(F.array(F.col("lot_id").cast("string"), F.lit(None).cast("string")))
+    asks = asked.withColumn("__lot", F.explode(seen_lots)).select("run_id", "requirement_id", F.struct(F.col("kind"), F.col("__lot").alias("lot"), question.alias("question")).alias("ask"))
+    each = asks.select("ask").distinct().select("ask", F.struct("ask.kind", "ask.lot").alias("at_"), "ask.question.*")
+    met = live.withColumn("at_", F.struct("kind", F.col("e_lot").alias("lot"))).drop("kind").join(each, "at_")  # the questions may be broadcast
     flags = _flags(at)
     ok = F.lit(False)
     for kind, flag in flags.items():
@@ -192,18 +199,22 @@ def match_matrix(requirements: DataFrame, evidence: DataFrame, at: Column, exemp
     there = F.lit(True)
     quote = F.coalesce(F.col("e_type") == "quoted_price", F.lit(False))
     category_ok = F.col("r_category").isNull() | F.coalesce(text.mutual_containment(F.col("r_category"), F.col("e_category")), F.lit(False))
-    seen = met.withColumn("ok", ok).groupBy("run_id", "requirement_id").agg(
+    heard = met.withColumn("ok", ok).groupBy("ask").agg(
         F.count_if(there).alias("valid_n"), F.count_if("ok").alias("ok_n"), F.count_if(there & category_ok).alias("category_n"),
         F.count_if(quote).alias("quote_n"), F.count_if(quote & F.col("e_amount").isNotNull()).alias("priced_n"), F.count_if(quote & F.col("e_entered_by").isNotNull()).alias("entered_n"),
         F.count_if(there & F.coalesce(F.col("e_negative"), F.lit(False))).alias("bad_n"),
         F.collect_set(F.when(there, F.col("e_specialty"))).alias("covered"),
-        F.min_by("refs", F.when(F.col("ok"), F.col("record_id"))).alias("first_refs"), F.count_if(F.col("ok") & (F.size("refs") > 0)).alias("with_refs"),
+        F.min(F.when(F.col("ok"), F.col("record_id"))).alias("first_id"), F.min_by("refs", F.when(F.col("ok"), F.col("record_id"))).alias("first_refs"), F.count_if(F.col("ok") & (F.size("refs") > 0)).alias("with_refs"),
+    )
+    counts = ("valid_n", "ok_n", "category_n", "quote_n", "priced_n", "entered_n", "bad_n", "with_refs")
+    seen = asks.join(heard, "ask").groupBy("run_id", "requirement_id").agg(
+        *[F.sum(c).alias(c) for c in counts], F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.min_by("first_refs", "first_id").alias("first_refs"),
     )
     context = asked.select("run_id", "requirement_id", "kind").join(ledger_context(evidence, at), "kind", "left").groupBy("run_id", "requirement_id").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ledger_n", "unverified_n", "expired_n", "early_n")]
     )
     rows = reqs.join(seen, ["run_id", "requirement_id"], "left").join(context, ["run_id", "requirement_id"], "left")
-    rows = rows.fillna(0, ["valid_n", "ok_n", "category_n", "quote_n", "priced_n", "entered_n", "bad_n", "with_refs"])  # no record of the kind, or only of other lots
+    rows = rows.fillna(0, list(counts))  # no record of the kind, or only of other lots
     rows = rows.withColumn("score_class", F.when(F.col("req_type") == "scored_requirement", score_class()))
     rows = rows.withColumn("hard", _hard_result())
     rows = rows.withColumn(
