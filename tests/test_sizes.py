@@ -87,6 +87,18 @@ def test_nearest_of_blocks_ranks_as_spark_does(spark, tmp_path, monkeypatch):
     assert differences(df, catalogue.ORACLE_SQL["e27_mrr_recall_metrics"], sf) == ""
 
 
+def test_references_alone_go_to_python(spark):
+    import html
+
+    from bidlattice.functions import text
+
+    texts = ["", "no reference", "&", "a&b &amp;&lt;x&gt;&amp;lt; R&D &#65;&#x42;&#x1F600; &notit; &notin; &#0;&#1114112; é&eacute", "&amp", "&#12345678901234567890;", "&" * 5 + ";", "x&" + "y" * 40 + ";z\n&nbsp;", "&中\U0001f600;&copy2", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.unescape(F.col("t")).alias("u"), "t")
+    assert {r.i: r.u for r in d.collect()} == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    udf = [x for x in plan_of(d).splitlines() if "ArrowEvalPython" in x]
+    assert udf and all("regexp_extract_all" in x or "_unescape_all(pythonUDF" in x for x in udf)
+
+
 def test_requirements_that_ask_the_same_are_one_question(spark, tmp_path):
     """Rows of the join with records don't grow with the requirements."""
     s = spark.read.parquet(f"{SF}/supplier.parquet")
