@@ -375,7 +375,7 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
     return out
 
 
-def _rows(shared, key: str, k: int, seed: int, digest: bool):
+def _rows(shared, key: str, k: int, seed: int, digest: bool, keep: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for whole in batches:
@@ -404,22 +404,27 @@ def _rows(shared, key: str, k: int, seed: int, digest: bool):
                     ends = np.concatenate([[0], np.cumsum([len(s[2]) for s in every])]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))))
                     names.append("ids")
+                if keep:
+                    columns.append(batch.column(keep).take(pa.array(np.repeat(np.arange(len(many)), many))))
+                    names.append(keep)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def encode_samples(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 2, seed: int = 1, digest: bool = False) -> DataFrame:
+def encode_samples(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 2, seed: int = 1, digest: bool = False, keep: str | None = None) -> DataFrame:
     """(key, rank, score, log_prob, n_pieces, ids) for up to k distinct sampled segmentations of every text.
 
     docs needs the integer key and text; the model file is read on the driver and sent to all. With digest, ids are
     replaced by ids_md5, over their little-endian 32-bit form, and round_trip: whether decoding gives the text back.
     Rows with the same key and text get the same samples; a null key draws as 0. A null text gives no row.
+    keep names a text column of docs that every sample carries on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
     last = "ids_md5 string, round_trip boolean" if digest else "ids array<int>"
-    return docs.select(key, "text").mapInArrow(
-        common.releasing(_rows(shared, key, k, seed, digest)), f"{common.quoted(key)} long, rank int, score double, log_prob double, n_pieces long, {last}"
+    kept, columns = (f", {keep} string", [key, "text", keep]) if keep else ("", [key, "text"])
+    return docs.select(*columns).mapInArrow(
+        common.releasing(_rows(shared, key, k, seed, digest, keep)), f"{common.quoted(key)} long, rank int, score double, log_prob double, n_pieces long, {last}{kept}"
     )
 
 
@@ -427,7 +432,7 @@ def _decoded(shared, schema_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            texts = [None if ids is None else v.decode(np.asarray(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
+            texts = [v.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) if x.is_valid else None for x in batch.column("ids")]  # one row as numbers at a time
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*schema_names, "text"])
 
     return run

@@ -73,7 +73,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_samples(_table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+    """Every text, null as an empty one, encoded to ids and decoded again; round_trip compares what the ids spell with the text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own_md5", F.md5("text"))
+    decoded = pieces.decode_samples(pieces.encode_samples(docs, tokenizer_path(), keep="own_md5"), tokenizer_path())
+    return decoded.select("doc_id", "rank", "score", "log_prob", "n_pieces", "ids", "text", (F.md5("text") == F.col("own_md5")).alias("round_trip"))
 
 
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,15 @@ def test_requirements_that_ask_the_same_are_one_question(spark, tmp_path):
     assert differences(df, catalogue.ORACLE_SQL["n4_rule_types"], sf) == ""
     joins = [x for x in plan_of(df).splitlines() if "Join" in x and "at_" in x]
     assert joins and not any("run_id" in x for x in joins)
+
+
+def test_sentencepiece_query_encodes_and_decodes_every_document(spark, tmp_path):
+    import __spark_entry__
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(4)
+    d = d.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " a \u2581b\n")], "doc_id long, text string"))
+    sf = folder(spark, tmp_path, documents=d)
+    rows = __spark_entry__.queries()["op10_sentencepiece_sampling"](spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(r.text == texts[r.doc_id] and r.round_trip and len(r.ids) == r.n_pieces for r in rows)
