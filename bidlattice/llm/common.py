@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Largest number of keys that `met` broadcasts: those that hold at least one row of so many.
 HEAVY = 500
+#: Share of its limit beyond which the driver's heap is collected when a table has been stashed.
+GROWN = 0.5
 #: Stashed tables of this driver that still stand, oldest first.
 _standing: list[DataFrame] = []
 
@@ -50,11 +53,21 @@ def _file_system(df: DataFrame):
     return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown beyond GROWN of its limit. Plans with many exchanges leave
+    hundreds of MB of it; the JVM would take its whole limit first, and keep shuffles that nothing reads any more."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > GROWN * runtime.maxMemory():
+        gc.collect()  # Python's handles hold the JVM's frames
+        spark._jvm.java.lang.System.gc()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on an executor. The
     files go when they are discarded or swept, and with the session at the latest."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tidy(df.sparkSession)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held.stash_path = path
     fs, there = _file_system(held)

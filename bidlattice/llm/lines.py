@@ -135,13 +135,13 @@ def _dropped(docs: DataFrame, min_docs: int, whole: bool, long: int) -> DataFram
     alike = stash(alike)
     varied = met(alike, _recurring(alike, ["leaf"], min_docs), ["leaf"], "rows", total).where(_NOT_FIRST)
     at = ["doc", "doc_id", "pos"]
-    gone = plain.select(*at).unionByName(varied.select(*at))
+    gone = stash(plain.select(*at)).unionByName(stash(varied.select(*at)))  # one plan of all would hold every join's exchanges at once
     if whole:
         passages = hashes.where("exact is not null")
         passages = met(passages, _recurring(passages, ["leaf", "exact"], 2), ["leaf", "exact"], "rows", total).where(_NOT_FIRST)
         several = stash(_templates(held, forms, votes, min_docs, total))
         several = met(several, _recurring(several, ["leaf", "template"], min_docs), ["leaf", "template"], "rows", total).where(_NOT_FIRST)
-        gone = gone.unionByName(passages.select(*at)).unionByName(several.select(*at))
+        gone = gone.unionByName(stash(passages.select(*at))).unionByName(stash(several.select(*at)))
     gone = gone.distinct()
     return gone.groupBy("doc", "doc_id").agg(F.collect_list("pos").alias("drop"))
 

@@ -3,13 +3,14 @@
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import brute
 import corpus_pipeline as cp
-from bidlattice.llm import common, pieces, queries
+from bidlattice.llm import common, lines, pieces, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +93,28 @@ def test_mixing_stage_keeps_what_is_drawn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id for r in mixing.mix_sources(docs).collect() if r.probability > 0 and int(__import__("hashlib").md5(f"{r.doc_id}:17".encode()).hexdigest()[:13], 16) / (1 << 52) < r.probability}
     assert {r.doc_id for r in cp.source_mixing(spark, docs, SF).collect()} == want
+
+
+def test_stash_collects_the_drivers_garbage(spark, monkeypatch):
+    """Once the driver's heap has grown beyond its share, what earlier plans left goes with the next stash."""
+    monkeypatch.setattr(common, "GROWN", 0)
+    plan = spark._jvm.java.util.ArrayList()
+    left = spark._jvm.java.lang.ref.WeakReference(plan)
+    del plan
+    common.discard(common.stash(spark.range(1)))
+    assert left.get() is None
+
+
+def test_line_dedup_plans_stay_small(spark):
+    """The joins of the four kinds of recurring lines are written one by one: no plan of the stage holds them all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes, write = [], common.stash
+
+    def counted(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lines, "stash", counted)
+        lines.drop_recurring_lines(docs, whole=True)
+    assert max(sizes) <= 6 and len(sizes) >= 9
