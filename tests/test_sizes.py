@@ -60,6 +60,27 @@ def test_folding_copies_no_text(spark, tmp_path):
     assert not {w for w in ("Exchange", "Join", "Generate") if w in plan_of(df)}
 
 
+def test_every_place_of_folded_text_is_looked_at(spark, tmp_path, monkeypatch):
+    """Document i has a wrong place at its character i; a text that lost a word is found out as well."""
+    from bidlattice.operators import clauses
+
+    text = " \n" + "aa 中\U0001f600 \t b\u3000\x1c\x85c\ufeff\n" * 60 + "aa \n"
+    n = len(clauses.fold(text).text)
+    assert n > 512
+    rows = [(i, text) for i in range(n)] + [(-1, text), (-2, text), (-3, None), (-4, " \n"), (-5, "".join(f"{chr(c)}x" for c in range(1, 0x3100)))]
+    sf = folder(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    whole = clauses.folded_text
+    for by in (0, 1, -1, None):
+
+        def doctored(docs, by=by):
+            moved = F.transform("offsets", lambda o, i: F.when(i == F.col("doc_id"), o + F.lit(by).cast("int")).otherwise(o))
+            return whole(docs).withColumns({"offsets": F.when(F.col("doc_id") == -2, F.slice("offsets", 4, n)).otherwise(moved), "folded": F.when(F.col("doc_id") == -2, F.expr("substring(folded, 4)")).otherwise(F.col("folded"))})
+
+        monkeypatch.setattr(clauses, "folded_text", doctored)
+        got = {r.doc_id: r.led_back for r in catalogue.QUERIES["o1_folded_documents"](spark, sf).collect()}
+        assert got == {i: i != -2 and (by == 0 or i < 0) for i, _ in rows}
+
+
 def test_nearest_of_blocks_ranks_as_spark_does(spark, tmp_path, monkeypatch):
     from pyspark.sql import Window as W
 
